@@ -28,14 +28,10 @@ def change_record(status: Column, first: Column, second: Column) -> Column:
     path, and every other status has no old path.
     """
     scored = status.rlike("^[RC].")
-    return (
-        F.when(status.isNull() | (status == "") | first.isNull(), F.lit(None))
-        .when(scored & second.isNull(), F.lit(None))
-        .when(scored, _record(first, second))
-        .when(status == "D", _record(first, F.lit(None).cast("string")))
-        .when(status == "M", _record(first, first))
-        .otherwise(_record(F.lit(None).cast("string"), first))
-    )
+    old = F.when(scored | status.isin("D", "M"), first)
+    new = F.when(scored, second).when(status != "D", first)
+    valid = (status != "") & first.isNotNull() & (~scored | second.isNotNull())
+    return F.when(valid, F.struct(old.alias("old_path"), new.alias("new_path")))
 
 
 def change_record_of_line(line: Column) -> Column:
@@ -49,10 +45,6 @@ def is_in_place(record: Column) -> Column:
     return F.coalesce(record["old_path"] == record["new_path"], F.lit(False))
 
 
-def _record(old: Column, new: Column) -> Column:
-    return F.struct(old.alias("old_path"), new.alias("new_path"))
-
-
 def ancestors(path: Column) -> Column:
     """Directories above a file with their depth, ``.`` (the root) first."""
     parts = F.split(path, "/")

@@ -23,13 +23,19 @@ def running(
     lasts: dict[str, Column] | None = None,
     mins: dict[str, Column] | None = None,
     chunk: int = CHUNK,
+    keep_chunk: bool = False,
+    exclusive: bool = False,
 ) -> DataFrame:
-    """Add inclusive running sums, last non-null values and minima per key.
+    """Add running sums, last non-null values and minima per key.
 
+    They include the current row unless ``exclusive`` is set.
     ``position`` is an integer, unique within a key. ``sums`` count nulls as 0.
+    A second scan over the same keys reuses the ``_chunk`` column that
+    ``keep_chunk`` leaves, and with it the first scan's shuffle.
     """
     sums, lasts, mins = sums or {}, lasts or {}, mins or {}
-    base = df.withColumn("_chunk", F.floor(F.col(position) / F.lit(chunk)))
+    columns = [c for c in df.columns if c != "_chunk"]
+    base = df if "_chunk" in df.columns else df.withColumn("_chunk", F.floor(F.col(position) / F.lit(chunk)))
     for name, expr in {**sums, **lasts, **mins}.items():
         base = base.withColumn(f"_x_{name}", expr)
 
@@ -56,17 +62,18 @@ def running(
         .where(F.col("_seen") > 0)
         .drop("_seen")
     )
-    here = Window.partitionBy(*group).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    here = Window.partitionBy(*group).orderBy(position).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     local = base.select(
-        *df.columns,
+        *columns,
         "_chunk",
         *[F.sum(F.coalesce(F.col(f"_x_{n}"), F.lit(0))).over(here).alias(f"_l_{n}") for n in sums],
         *[F.last(f"_x_{n}", ignorenulls=True).over(here).alias(f"_l_{n}") for n in lasts],
         *[F.min(f"_x_{n}").over(here).alias(f"_l_{n}") for n in mins],
     )
     return local.join(carry, group, "left").select(
-        *df.columns,
-        *[(F.col(f"_l_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in sums],
+        *columns,
+        *(["_chunk"] if keep_chunk else []),
+        *[(F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in sums],
         *[F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in lasts],
         *[F.least(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in mins],
     )

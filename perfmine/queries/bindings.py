@@ -149,7 +149,7 @@ from lineitem""",
     "b_diff_lines": """
 select patch_id, seq,
        case when ln <= 2 then concat('@@ -', cast(pk % 100 + 1 as string), case when pk % 2 = 0 then ',9' else '' end, ' +', cast(pk % 90 + 1 as string), ',9 @@ void f()')
-            when ln = 6 and f = 'A' then '+++ b/x'
+            when ln = 6 and f = 'A' then concat('+++ b/x', cast(pk % 7 as string))
             when ln = 6 then 'diff --git a/x b/x'
             when f = 'A' then '+added' when f = 'R' then '-removed' else ' context' end as line
 from (select l_suppkey as patch_id, l_orderkey * 8 + l_linenumber as seq, min(l_linenumber) as ln,

@@ -52,6 +52,10 @@ def with_bindings(sql: str) -> str:
     used = [name for name in BINDINGS if name in _words(sql)]
     ctes = [f"{name} as ({BINDINGS[name].strip()})" for name in used]
     body = sql.strip()
+    if ctes and body.lower().startswith("with recursive "):
+        return "with recursive " + ",\n".join(ctes) + ",\n" + body[15:]
+    if ctes and body.lower().startswith("with \nrecursive "):
+        return "with recursive " + ",\n".join(ctes) + ",\n" + body[16:]
     if not ctes:
         return body
     if body.lower().startswith("with "):

@@ -1 +1,80 @@
-"""Queries."""
+"""Queries that run the streaming jobs over what the tables hold."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from perfmine.queries.registry import query
+from perfmine.queries.reports import _PRESSURE, _TIMES
+from perfmine.session import scratch_path
+from perfmine.sources import dataset as dataset_source
+from perfmine.streaming import jobs
+
+
+def stream_of(t, rows: DataFrame, name: str, files: int = 3) -> DataFrame:
+    """``rows`` as files, read as a stream of one file per batch."""
+    path = scratch_path(t.spark, f"stream-{name}")
+    rows.repartition(files).write.parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("str_01_upsert_stream", oracle="""
+select repo, after_commit, max(issue_number) as issue_number,
+       case when bool_or(exec_status is not null) then 'maven_execution_successful' else 'clone_and_checkout_repo' end as exec_status
+from b_dataset group by all""")
+def _(t):
+    data = t.bind("b_dataset")
+    started = data.select(
+        "repo", "after_commit", F.col("issue_number").cast("bigint").alias("issue_number"),
+        F.lit("clone_and_checkout_repo").alias("exec_status"), F.lit(0).alias("seq"),
+    )
+    done = data.where("exec_status is not null").select(
+        "repo", "after_commit", F.lit(None).cast("bigint").alias("issue_number"),
+        F.lit("maven_execution_successful").alias("exec_status"), F.lit(1).alias("seq"),
+    )
+    store = scratch_path(t.spark, "stored")
+    checkpoint = scratch_path(t.spark, "progress")
+    for rows, stage in ((started, "started"), (done, "done")):
+        jobs.upsert_results(stream_of(t, rows, stage, 1), store, f"{checkpoint}/{stage}").awaitTermination()
+    return dataset_source.load_dataset(t.spark, store).select("repo", "after_commit", "issue_number", "exec_status")
+
+
+@query("str_02_resumed_commits", oracle="""
+select distinct repo, sha from b_commits c
+where not exists (select 1 from b_dataset d where d.repo = c.repo and d.after_commit = c.sha and d.exec_status is not null)""")
+def _(t):
+    commits = t.bind("b_commits").select("repo", "sha")
+    path = scratch_path(t.spark, "fresh")
+    stream = stream_of(t, commits.unionAll(commits), "commits")
+    known = t.bind("b_dataset").where("exec_status is not null")
+    jobs.unseen_commits(stream, known, path, scratch_path(t.spark, "progress")).awaitTermination()
+    return t.spark.read.schema("repo string, sha string").parquet(path)
+
+
+def _pressure(t):
+    lines = t.bind("b_pressure").select("seq", "file", "line")
+    alerts, reports = scratch_path(t.spark, "alerts"), scratch_path(t.spark, "reports")
+    for job in jobs.pressure_alerts(stream_of(t, lines, "pressure"), alerts, reports, scratch_path(t.spark, "progress")):
+        job.awaitTermination()
+    return alerts, reports
+
+
+@query("str_03_pressure_alerts", oracle=f"""with {_PRESSURE}
+select seq, file, metric, value from (
+  select seq, file, 'avg10' as metric, avg10 as value from parsed union all select seq, file, 'avg60', avg60 from parsed
+  union all select seq, file, 'avg300', avg300 from parsed) where value > 10.0""")
+def _(t):
+    return t.spark.read.schema("seq bigint, file string, metric string, value double").parquet(_pressure(t)[0])
+
+
+@query("str_03_pressure_reports", oracle=f"with {_PRESSURE} select seq, file, greatest(avg10, avg60, avg300) as largest from parsed where seq % 12 = 0")
+def _(t):
+    return t.spark.read.schema("seq bigint, file string, largest double").parquet(_pressure(t)[1])
+
+
+@query("str_04_commit_times", oracle=f'with {_TIMES} select commit, start, "end" from times')
+def _(t):
+    path = scratch_path(t.spark, "times")
+    jobs.commit_times(stream_of(t, t.bind("b_app_log"), "app-log"), path, scratch_path(t.spark, "progress")).awaitTermination()
+    return jobs.latest_commit_times(t.spark, path)
