@@ -162,7 +162,7 @@ def covering_tests(changed: DataFrame, coverage: DataFrame) -> DataFrame:
 def without_modified_tests(tests: DataFrame, changed_tests: DataFrame) -> DataFrame:
     """FLT-25: drop tests whose file the commit changes."""
     file = F.concat(F.regexp_extract("test_path", r"^(.*)/[^/]*$", 1), F.lit(".java"))
-    changed = changed_tests.select("commit_id", F.col("path").alias("_file"))
+    changed = changed_tests.select("commit_id", F.col("path").alias("_file")).distinct()
     return tests.withColumn("_file", file).join(changed, ["commit_id", "_file"], "left_anti").drop("_file")
 
 

@@ -48,8 +48,8 @@ def with_status(dataset: DataFrame, status: str = SUCCESS_STATUS) -> DataFrame:
 
 
 def lookup(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    """SRC-15: an inline table; its size is that of the program text."""
-    return spark.createDataFrame(rows, names)
+    """SRC-15: an inline table. It is part of the program, so it may be broadcast."""
+    return F.broadcast(spark.createDataFrame(rows, names))
 
 
 def status_ranks(spark: SparkSession) -> DataFrame:

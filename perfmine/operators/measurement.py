@@ -223,6 +223,12 @@ def log_outcomes(lines: DataFrame, keys=COMMIT) -> DataFrame:
     plugin = r"(?i)maven-compiler-plugin"
     phase = r"(?i):(compile|testCompile)\b"
     line, at = F.col("line"), F.col("line_no")
+    # one test spares ordinary lines all the others
+    suspect = line.rlike(r"(?i)compil|execute goal")
+
+    def says(pattern: str) -> Column:
+        return suspect & line.rlike(pattern)
+
     anchored = F.lit(False)
     for pattern in logtext.COMPILE_ERROR_LINES:
         anchored = anchored | line.rlike(pattern)
@@ -231,14 +237,14 @@ def log_outcomes(lines: DataFrame, keys=COMMIT) -> DataFrame:
         at,
         F.contains(line, F.lit(logtext.SUCCESS_TEXT)).alias("success"),
         (F.contains(line, F.lit(logtext.FAILURE_TEXTS[0])) | F.contains(line, F.lit(logtext.FAILURE_TEXTS[1]))).alias("failure"),
-        anchored.alias("anchored"),
-        line.rlike(logtext.COMPILATION_FAILURE).alias("says_failure"),
-        line.rlike(goal).alias("a"),
-        line.rlike(plugin).alias("b"),
-        line.rlike(phase).alias("c"),
-        line.rlike(goal + ".*maven-compiler-plugin").alias("ab"),
-        line.rlike(plugin + r".*:(compile|testCompile)\b").alias("bc"),
-        line.rlike(logtext.GOAL_FAILED).alias("abc"),
+        (suspect & anchored).alias("anchored"),
+        says(logtext.COMPILATION_FAILURE).alias("says_failure"),
+        says(goal).alias("a"),
+        says(plugin).alias("b"),
+        says(phase).alias("c"),
+        says(goal + ".*maven-compiler-plugin").alias("ab"),
+        says(plugin + r".*:(compile|testCompile)\b").alias("bc"),
+        says(logtext.GOAL_FAILED).alias("abc"),
     )
     per_log = flagged.groupBy(*log).agg(
         F.bool_or("success").alias("success"),

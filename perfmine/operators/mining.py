@@ -2,12 +2,14 @@
 
 Inputs are tables: repositories, commits, changed files, issues, pull requests
 and model verdicts. Each lookup of a single object is a join here, and joins are
-left to Catalyst and AQE: no side is assumed to be small.
+left to Catalyst and AQE: no side is assumed to be small. The right side of a
+semi or anti join is made distinct first: this combines copies before the
+shuffle, and the join reuses the aggregate's partitioning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from perfmine.functions import paths, refs
@@ -47,7 +49,7 @@ def by_stars(repos: DataFrame) -> DataFrame:
 
 def with_root_file(repos: DataFrame, repo_files: DataFrame, name: str = WRAPPER_FILE) -> DataFrame:
     """FLT-02: repositories that hold ``name`` at their root."""
-    having = repo_files.where(F.col("path") == name).select(F.col("repo").alias("full_name"))
+    having = repo_files.where(F.col("path") == name).select(F.col("repo").alias("full_name")).distinct()
     return repos.join(having, "full_name", "left_semi")
 
 
@@ -96,7 +98,7 @@ def within_file_limit(commits: DataFrame, files: DataFrame, max_files: int = MAX
 
 def only_plain_java(commits: DataFrame, files: DataFrame) -> DataFrame:
     """FLT-05: every file is a plain Java source; true for a commit without files."""
-    other = files.where(~paths.is_plain_java(F.col("path"))).select("sha")
+    other = files.where(~paths.is_plain_java(F.col("path"))).select("sha").distinct()
     return commits.join(other, "sha", "left_anti")
 
 
@@ -106,6 +108,19 @@ def with_fitting_files(commits: DataFrame, files: DataFrame, max_files: int = MA
     return commits.join(unfit, "sha", "left_anti")
 
 
+def files_of_small_commits(files: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
+    """FLT-04 on file rows: the files of commits within the limit.
+
+    More than ``max_files`` + 1 files of a commit cannot change the answer, so
+    the rank filter lets Spark drop the rest before the shuffle, and a commit
+    with very many files never meets in one task.
+    """
+    by_commit = Window.partitionBy("sha")
+    rank = F.row_number().over(by_commit.orderBy("path", "status"))
+    first = files.withColumn("_rank", rank).where(F.col("_rank") <= max_files + 1)
+    return first.withColumn("_n", F.count(F.lit(1)).over(by_commit)).where(F.col("_n") <= max_files).drop("_rank", "_n")
+
+
 def with_files(commits: DataFrame, files: DataFrame) -> DataFrame:
     """JN-03: commits with their files; a commit without files keeps one row."""
     return commits.join(files, "sha", "left")
@@ -113,7 +128,7 @@ def with_files(commits: DataFrame, files: DataFrame) -> DataFrame:
 
 def unseen(commits: DataFrame, dataset: DataFrame) -> DataFrame:
     """FLT-09 / JN-14: commits neither repeated nor in the dataset."""
-    known = dataset.select("repo", F.col("after_commit").alias("sha"))
+    known = dataset.select("repo", F.col("after_commit").alias("sha")).distinct()
     return commits.dropDuplicates(["repo", "sha"]).join(known, ["repo", "sha"], "left_anti")
 
 
@@ -135,7 +150,8 @@ def pull_refs(pulls: DataFrame, strict_repo: bool = False) -> DataFrame:
 
 def existing(found: DataFrame, issues: DataFrame) -> DataFrame:
     """JN-04: references to issues that exist."""
-    return found.join(real_issues(issues).select("repo", "number"), ["repo", "number"], "left_semi")
+    keys = real_issues(issues).select("repo", "number").distinct()
+    return found.join(keys, ["repo", "number"], "left_semi")
 
 
 def is_confirmed(response: Column) -> Column:
@@ -151,13 +167,28 @@ def with_verdicts(found: DataFrame, verdicts: DataFrame, on=("repo", "number"))
 
 def confirmed_refs(found: DataFrame, verdicts: DataFrame, on=("repo", "number")) -> DataFrame:
     """References whose answer is yes; those without an answer wait."""
-    yes = verdicts.where(is_confirmed(F.col("response"))).select(*on)
+    yes = verdicts.where(is_confirmed(F.col("response"))).select(*on).distinct()
     return found.join(yes, list(on), "left_semi")
 
 
+def confirmed_issues(issues: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Existing issues with a yes, as keys.
+
+    Joining these unique keys first leaves one semi join for the references.
+    Two in a row on (repo, number) would share a shuffle, and AQE could then not
+    split an issue that very many commits name.
+    """
+    return confirmed_refs(real_issues(issues).select("repo", "number").distinct(), verdicts)
+
+
+def naming_confirmed(found: DataFrame, issues: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """References to existing issues whose answer is yes."""
+    return found.join(confirmed_issues(issues, verdicts), ["repo", "number"], "left_semi")
+
+
 def to_judge(found: DataFrame, verdicts: DataFrame, on=("repo", "number")) -> DataFrame:
     """JN-15: references without an answer, the work of the model adapter."""
-    return found.join(verdicts.select(*on), list(on), "left_anti")
+    return found.join(verdicts.select(*on).distinct(), list(on), "left_anti")
 
 
 def prompts(found: DataFrame, commits: DataFrame, issues: DataFrame) -> DataFrame:
@@ -175,14 +206,14 @@ def prompts(found: DataFrame, commits: DataFrame, issues: DataFrame) -> DataFram
     return asked.select("repo", "sha", "number", text.alias("prompt"), F.md5(text.cast("binary")).alias("prompt_hash"))
 
 
-def all_refs(commits: DataFrame, pulls: DataFrame, issues: DataFrame, strict_repo: bool = False) -> DataFrame:
-    """SET-02 / JN-05: existing references of messages (rank 0) and of linked PRs (rank 1)."""
+def all_refs(commits: DataFrame, pulls: DataFrame, strict_repo: bool = False) -> DataFrame:
+    """SET-02 / JN-05: references of messages (rank 0) and of linked pull requests (rank 1)."""
     own = message_refs(commits, strict_repo).withColumn("source_rank", F.lit(0)).withColumn(
         "pr_number", F.lit(None).cast("bigint")
     )
-    linked = pulls.join(commits.select("repo", "sha"), ["repo", "sha"], "left_semi")
+    linked = pulls.join(commits.select("repo", "sha").distinct(), ["repo", "sha"], "left_semi")
     via_pull = pull_refs(linked, strict_repo).withColumn("source_rank", F.lit(1))
-    return existing(own.unionByName(via_pull), issues)
+    return own.unionByName(via_pull)
 
 
 def chosen_issue(confirmed: DataFrame) -> DataFrame:

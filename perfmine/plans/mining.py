@@ -29,24 +29,29 @@ class Host:
 def candidate_commits(
     host: Host, dataset: DataFrame, since: str = mining.START_DATE, max_files: int = mining.MAX_FILES
 ) -> DataFrame:
-    """New commits of eligible repositories that touch only a few plain Java files."""
+    """New commits of eligible repositories that touch only a few plain Java files.
+
+    The join by repository comes first and feeds a shuffle by commit. Were the
+    step after it keyed by (repo, sha), Spark would keep the rows partitioned by
+    repository, and one large repository would stay in one task.
+    """
     repos = mining.with_root_file(mining.eligible_repos(host.repos, since), host.repo_files)
     commits = mining.commits_since(host.commits, since).join(
-        repos.select(F.col("full_name").alias("repo")), "repo", "left_semi"
+        repos.select(F.col("full_name").alias("repo")).distinct(), "repo", "left_semi"
     )
-    return mining.with_fitting_files(mining.unseen(commits, dataset), host.commit_files, max_files)
+    return mining.unseen(mining.with_fitting_files(commits, host.commit_files, max_files), dataset)
 
 
 def mined_commits(host: Host, dataset: DataFrame, verdicts: DataFrame, **limits) -> DataFrame:
     """Rows of (repo, sha, issue_number): commits that fix a confirmed issue."""
     commits = candidate_commits(host, dataset, **limits)
-    found = mining.all_refs(commits, host.pulls, host.issues)
-    return mining.chosen_issue(mining.confirmed_refs(found, verdicts))
+    found = mining.all_refs(commits, host.pulls)
+    return mining.chosen_issue(mining.naming_confirmed(found, host.issues, verdicts))
 
 
 def pending_prompts(host: Host, dataset: DataFrame, verdicts: DataFrame, **limits) -> DataFrame:
     """Questions that still lack an answer; the side output of mining."""
     commits = candidate_commits(host, dataset, **limits)
-    found = mining.all_refs(commits, host.pulls, host.issues)
-    waiting = mining.to_judge(found, verdicts).select("repo", "sha", "number").distinct()
-    return mining.prompts(waiting, commits, host.issues)
+    found = mining.all_refs(commits, host.pulls).select("repo", "sha", "number").distinct()
+    open_issues = mining.to_judge(mining.real_issues(host.issues), verdicts)
+    return mining.prompts(found, commits, open_issues)

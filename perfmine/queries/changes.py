@@ -151,7 +151,7 @@ select sha, string_agg(distinct module, '|' order by module) as modules, string_
 from assigned semi join fitting using (sha) group by sha""")
 def _(t):
     files = t.bind("b_commit_files")
-    small = mining.within_file_limit(files, files).select("sha", "path").distinct()
+    small = mining.files_of_small_commits(files).select("sha", "path").distinct()
     lists = c.modules_and_files(c.nearest_modules(small, t.bind("b_poms")))
     return lists.select(
         "sha", F.array_join("modified_modules", "|").alias("modules"), F.array_join("changed_files", "|").alias("files")

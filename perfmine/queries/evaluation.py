@@ -216,7 +216,7 @@ def _task_sql(kind: str) -> str:
 
 def _tasks(t, kind: str):
     files = t.bind("b_commit_files")
-    small = mining.within_file_limit(files, files)
+    small = mining.files_of_small_commits(files)
     lists = changes.modules_and_files(small.select("sha", "path", F.split("path", "/")[0].alias("module")))
     issue = t.bind("b_issues").groupBy("repo").agg(F.min_by(F.struct("title", "body"), "number").alias("i")).select("repo", "i.*")
     commits = t.bind("b_commits").select("repo", "sha").join(issue, "repo").join(lists, "sha")
@@ -239,6 +239,6 @@ select sha, string_agg(concat('--- ', path, chr(10), '@@ ', status, chr(10)), ''
 from b_commit_files semi join fitting using (sha) where path not like '%.xml' group by sha""")
 def _(t):
     files = t.bind("b_commit_files")
-    small = mining.within_file_limit(files, files)
+    small = mining.files_of_small_commits(files)
     patch = F.when(~F.col("path").endswith(".xml"), F.concat(F.lit("@@ "), "status"))
     return tasks.commit_diffs(small.select("sha", F.struct("path", "status").alias("position"), "path", patch.alias("patch")))

@@ -69,11 +69,11 @@ confirmed as (
 
 
 def _found(t):
-    return m.all_refs(t.bind("b_commits"), t.bind("b_pulls"), t.bind("b_issues"))
+    return m.all_refs(t.bind("b_commits"), t.bind("b_pulls"))
 
 
 def _confirmed(t):
-    return m.confirmed_refs(_found(t), t.bind("b_judgements"))
+    return m.naming_confirmed(_found(t), t.bind("b_issues"), t.bind("b_judgements"))
 
 
 @query("flt_01_repo_eligible", oracle="""
@@ -198,7 +198,7 @@ def _(t):
 
 @query("set_02_refs_of_both_sources", oracle=f"with {_ALL} select * from all_refs")
 def _(t):
-    return _found(t)
+    return m.existing(_found(t), t.bind("b_issues"))
 
 
 @query("jn_06_refs_with_verdicts", oracle=f"""with {_MESSAGE}
@@ -212,7 +212,7 @@ def _(t):
 select repo, sha, number, source_rank, pr_number from all_refs r
 where not exists (select 1 from b_judgements j where r.repo = j.repo and r.number = j.number)""")
 def _(t):
-    return m.to_judge(_found(t), t.bind("b_judgements"))
+    return m.existing(_found(t), m.to_judge(t.bind("b_issues"), t.bind("b_judgements")))
 
 
 @query("jn_13_push_windows", oracle="""

@@ -57,3 +57,14 @@ def cut_lineage(df):
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def staged(df, name: str):
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    For an input that is used several times: it is computed once, and the
+    planner then knows its true size when it chooses join strategies.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

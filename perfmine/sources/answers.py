@@ -40,7 +40,7 @@ def new_entries(cache: DataFrame, fresh: DataFrame, read_from_cache: bool = True
     unique per row.
     """
     if read_from_cache:
-        missing = fresh.join(cache.select("prompt_hash"), "prompt_hash", "left_anti")
+        missing = fresh.join(cache.select("prompt_hash").distinct(), "prompt_hash", "left_anti")
         columns = [c for c in missing.columns if c not in ("prompt_hash", "seq")]
         kept = missing.groupBy("prompt_hash").agg(F.min_by(F.struct("seq", *columns), "seq").alias("_r"))
         return kept.select("prompt_hash", F.lit(0).cast("bigint").alias("version"), "_r.*")

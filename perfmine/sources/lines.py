@@ -23,7 +23,9 @@ def read_lines(spark: SparkSession, path, log: Column | None = None) -> DataFram
     rows = rows.withColumn("log", F.col("file") if log is None else log)
     block = ["log", "file", "_block"]
     sizes = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy("log").orderBy("file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    # part numbers are compared as numbers: their text has no fixed width
+    part = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("bigint")
+    earlier = Window.partitionBy("log").orderBy(part, "file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     # the reader keeps the order of a block, which this id follows
     within = Window.partitionBy(*block).orderBy("_at")

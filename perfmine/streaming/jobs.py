@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from perfmine.operators import applog, dataset, pressure
+from perfmine.session import staged
 from perfmine.sources import dataset as dataset_source
 
 
@@ -30,7 +31,7 @@ def upsert_results(
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = dataset.newest_values(batch, order)
+        new = staged(dataset.newest_values(batch, order), "updates")
         dataset_source.save_dataset(dataset.upsert(dataset_source.load_dataset(spark, path), new), path)
 
     return _start(results.writeStream.foreachBatch(merge), checkpoint, available_now)
@@ -42,9 +43,13 @@ def unseen_commits(
     """STR-02: commits that neither came before nor are in the dataset.
 
     The state keeps one key per commit for good: resuming must not repeat work.
+    A streaming deduplication does not combine before its shuffle, so copies are
+    first reduced per input partition group, which spreads a much-copied commit.
     """
-    seen = known.select("repo", F.col("after_commit").alias("sha"))
-    fresh = commits.dropDuplicates(["repo", "sha"]).join(seen, ["repo", "sha"], "left_anti")
+    keys = ["repo", "sha"]
+    seen = known.select("repo", F.col("after_commit").alias("sha")).distinct()
+    spread = commits.withColumn("_salt", F.spark_partition_id() % 16).dropDuplicates([*keys, "_salt"])
+    fresh = spread.drop("_salt").dropDuplicates(keys).join(seen, keys, "left_anti")
     return _start(fresh.writeStream.format("parquet").option("path", path), checkpoint, available_now)
 
 
