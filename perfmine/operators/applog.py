@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfmine.functions import links, logtext, scan
+from perfmine.session import staged
 
 # The marks of the log format.
 INFO_MARK, INFO_SPLIT = "root INFO", "root INFO "
@@ -43,7 +44,8 @@ def found_commits(lines: DataFrame, keys=("file_no",), position: str = "line_no"
         F.replace(piece, F.lit(","), F.lit(" ")).alias("_piece"),
     )
     rows = scan.running(rows, keys, position, lasts={"_segment": F.when(F.col("_info"), F.col(position))})
-    rows = rows.withColumn("_segment", F.coalesce("_segment", F.lit(-1)))
+    # staged before and after the scans by segment, which read their input several times
+    rows = staged(rows.withColumn("_segment", F.coalesce("_segment", F.lit(-1))), "log-segments")
     segment = [*keys, "_segment"]
     # separators that begin in a piece; a closing dash is completed by the next piece's blank
     begun = F.coalesce(F.regexp_count("_piece", F.lit(r"-(?: |$)")), F.lit(0)).cast("bigint")
@@ -59,6 +61,7 @@ def found_commits(lines: DataFrame, keys=("file_no",), position: str = "line_no"
     rows = scan.running(
         rows, segment, position, mins={"_gap": F.when(F.col("_link"), F.col("_m") - F.col("_k"))}, exclusive=True
     )
+    rows = staged(rows, "log-texts")
     zero = F.lit(0).cast("bigint")
     cut = F.col("_k") - 1 + F.least(zero, F.coalesce("_gap", zero))
     complete = F.col("_m") - F.when(F.coalesce("_dash", F.lit(False)), 1).otherwise(0)

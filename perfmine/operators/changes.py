@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfmine.functions import logtext, paths, scan
+from perfmine.session import staged
 
 # The header of a hunk and of the new file in a unified diff.
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
@@ -33,7 +34,8 @@ def numbered_lines(lines: DataFrame, keys=("patch_id",), position: str = "seq")
 
     A context line moves both counters, ``---`` and ``+++`` lines and any other
     text move none. Lines before the first hunk count from zero. The counters
-    are chunked running sums, so one huge patch is shared by many tasks.
+    are chunked running sums, so one huge patch is shared by many tasks. The
+    text is read once; the scans work on a staged table of line kinds.
     """
     line = F.col("line")
     is_hunk = line.rlike(HUNK_HEADER)
@@ -42,8 +44,16 @@ def numbered_lines(lines: DataFrame, keys=("patch_id",), position: str = "seq")
     added = ~other & line.startswith("+") & ~line.startswith("+++")
     context = line.startswith(" ")
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    kinds = lines.withColumn(
-        "kind", F.when(is_hunk, "hunk").when(removed, "removed").when(added, "added").when(context, "context")
+    kind = F.when(is_hunk, "hunk").when(removed, "removed").when(added, "added").when(context, "context")
+
+    def first_line(group: int) -> Column:
+        return F.when(is_hunk, F.regexp_extract(line, HUNK_HEADER, group).try_cast("bigint"))
+
+    kinds = staged(
+        lines.select(
+            *keys, position, kind.alias("kind"), first_line(1).alias("_old_start"), first_line(3).alias("_new_start")
+        ).where(F.col("kind").isNotNull()),
+        "line-kinds",
     )
     kind = F.col("kind")
     counted = scan.running(
@@ -57,11 +67,14 @@ def numbered_lines(lines: DataFrame, keys=("patch_id",), position: str = "seq")
         keep_chunk=True,
     )
 
-    def start(group: int, counter: str) -> Column:
-        return F.when(kind == "hunk", F.regexp_extract(line, HUNK_HEADER, group).cast("bigint") - F.col(counter))
-
     based = scan.running(
-        counted, list(keys), position, lasts={"_old_base": start(1, "_old"), "_new_base": start(3, "_new")}
+        counted,
+        list(keys),
+        position,
+        lasts={
+            "_old_base": F.col("_old_start") - F.col("_old"),
+            "_new_base": F.col("_new_start") - F.col("_new"),
+        },
     )
     number = F.when(kind == "removed", F.coalesce("_old_base", zero) + F.col("_old") - 1).otherwise(
         F.coalesce("_new_base", zero) + F.col("_new") - 1

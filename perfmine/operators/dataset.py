@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perfmine.schemas import DATASET_KEY, STATUSES, SUCCESS_STATUS
+from perfmine.session import staged
 
 
 def newest_values(updates: DataFrame, order: str, keys=DATASET_KEY) -> DataFrame:
@@ -23,13 +24,13 @@ def upsert(old: DataFrame, new: DataFrame, keys=DATASET_KEY) -> DataFrame:
     an absent key is appended. Two joins on the keys replace the full outer
     join: a small ``new`` is then broadcast by Spark's own size check, and the
     old rows are not shuffled. Rows with a null key are no records and are left
-    out of ``new``.
+    out of ``new``, which is staged, as it is used three times.
     """
     keys = list(keys)
     valid = F.lit(True)
     for key in keys:
         valid = valid & F.col(key).isNotNull()
-    new = new.where(valid)
+    new = staged(new.where(valid), "updates")
     columns = [c for c in old.columns if c not in keys]
     fresh = new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns if c in new.columns])
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfmine.operators import mining
+from perfmine.session import staged
 
 
 @dataclass(frozen=True)
@@ -42,16 +43,21 @@ def candidate_commits(
     return mining.unseen(mining.with_fitting_files(commits, host.commit_files, max_files), dataset)
 
 
+def _candidates(host: Host, dataset: DataFrame, limits: dict) -> DataFrame:
+    """The few commits that passed the cheap filters, staged for the steps over text."""
+    return staged(candidate_commits(host, dataset, **limits).select("repo", "sha", "message"), "candidates")
+
+
 def mined_commits(host: Host, dataset: DataFrame, verdicts: DataFrame, **limits) -> DataFrame:
     """Rows of (repo, sha, issue_number): commits that fix a confirmed issue."""
-    commits = candidate_commits(host, dataset, **limits)
+    commits = _candidates(host, dataset, limits)
     found = mining.all_refs(commits, host.pulls)
     return mining.chosen_issue(mining.naming_confirmed(found, host.issues, verdicts))
 
 
 def pending_prompts(host: Host, dataset: DataFrame, verdicts: DataFrame, **limits) -> DataFrame:
     """Questions that still lack an answer; the side output of mining."""
-    commits = candidate_commits(host, dataset, **limits)
+    commits = _candidates(host, dataset, limits)
     found = mining.all_refs(commits, host.pulls).select("repo", "sha", "number").distinct()
     open_issues = mining.to_judge(mining.real_issues(host.issues), verdicts)
     return mining.prompts(found, commits, open_issues)

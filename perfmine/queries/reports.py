@@ -8,7 +8,7 @@ from perfmine.functions import links, logtext
 from perfmine.operators import applog, pressure
 from perfmine.operators import reports as r
 from perfmine.queries.registry import query
-from perfmine.session import scratch_path
+from perfmine.session import scratch_path, staged
 from perfmine.sources import labels, results
 from perfmine.sources import lines as line_source
 
@@ -268,7 +268,7 @@ def _(t):
 
 @query("set_01_found_union", oracle=f"with {_FOUND} select distinct owner, repo, commit_hash, url, message from found")
 def _(t):
-    found = applog.found_commits(t.bind("b_found_log"))
+    found = staged(applog.found_commits(t.bind("b_found_log")), "found")
     first = F.col("file_no") == 0
     return applog.distinct_found(found.where(first), found.where(~first))
 
