@@ -45,17 +45,22 @@ def is_in_place(record: Column) -> Column:
     return F.coalesce(record["old_path"] == record["new_path"], F.lit(False))
 
 
-def ancestors(path: Column) -> Column:
-    """Directories above a file with their depth, ``.`` (the root) first."""
-    parts = F.split(path, "/")
+def folder(path: Column) -> Column:
+    """The directory of a file, empty at the root."""
+    return F.when(F.contains(path, F.lit("/")), F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit(""))
+
+
+def ancestors(directory: Column) -> Column:
+    """A directory and all above it with their depth; the root is ``.`` at depth 0."""
+    parts = F.filter(F.split(directory, "/"), lambda p: p != "")
     dirs = F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1),
+        F.sequence(F.lit(0), F.size(parts)),
         lambda depth: F.struct(
             F.when(depth == 0, F.lit(".")).otherwise(F.array_join(F.slice(parts, F.lit(1), depth), "/")).alias("dir"),
             depth.alias("depth"),
         ),
     )
-    return F.when(path.isNotNull(), dirs)
+    return F.when(directory.isNotNull(), dirs)
 
 
 def covered_path(module: Column, folder: str, path: Column, name: Column) -> Column:

@@ -31,9 +31,8 @@ CLOSING_BLOCK = (
     _FLAGS + r"(?<![A-Za-z])(?:" + "|".join(CLOSING_VERBS) + r")(?:\s*[:\-])?\s+"
     + _ANY_FORM + r"(?:\s*(?:,|\band\b|&|\bor\b|\|)\s*" + _ANY_FORM + r")*"
 )
-_HASH = _FLAGS + r"#(\d+)"
-_HASH_OWN = _FLAGS + r"(?<![\w.-])(?:issue\s*|bug\s*)?#(\d+)"
-_GH = _FLAGS + r"GH-(\d+)"
+_NUMBERED = _FLAGS + r"(?:#|GH-)(\d+)"
+_NUMBERED_OWN = _FLAGS + r"(?:(?<![\w.-])(?:issue\s*|bug\s*)?#|GH-)(\d+)"
 _QUALIFIED = _FLAGS + r"([\w.-]+/[\w.-]+)#(\d+)"
 _ISSUE_URL = _FLAGS + r"https?://github\.com/([\w.-]+/[\w.-]+)/issues/(\d+)"
 
@@ -55,18 +54,19 @@ def closing_refs(text: Column, repo: Column, strict_repo: bool = False) -> Colum
     By default ``#n`` also counts inside ``other/repo#n``. With ``strict_repo``
     the qualified form counts only for this repository.
     """
-    hashes = _HASH_OWN if strict_repo else _HASH
+    numbered = _NUMBERED_OWN if strict_repo else _NUMBERED
+    none = F.array().cast("array<string>")
 
     def of_block(block: Column) -> Column:
-        return F.concat(
-            _every(block, hashes, 1),
-            _every(block, _GH, 1),
-            _own(block, repo, _QUALIFIED),
-            _own(block, repo, _ISSUE_URL),
-        )
-
-    found = F.flatten(F.transform(_every(text, CLOSING_BLOCK, 0), of_block))
-    return _positive(found)
+        # links are rare, and a plain search is cheaper than the pattern
+        linked = F.when(F.contains(F.lower(block), F.lit("github.com")), _own(block, repo, _ISSUE_URL)).otherwise(none)
+        found = [_every(block, numbered, 1), linked]
+        if strict_repo:
+            # otherwise ``#n`` has already taken these
+            found.append(_own(block, repo, _QUALIFIED))
+        return F.concat(*found)
+
+    return _positive(F.flatten(F.transform(_every(text, CLOSING_BLOCK, 0), of_block)))
 
 
 def project_refs(text: Column) -> Column:

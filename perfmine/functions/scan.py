@@ -22,6 +22,7 @@ def running(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     mins: dict[str, Column] | None = None,
+    anchors: dict[str, tuple[Column, str]] | None = None,
     chunk: int = CHUNK,
     keep_chunk: bool = False,
     exclusive: bool = False,
@@ -30,50 +31,70 @@ def running(
 
     They include the current row unless ``exclusive`` is set.
     ``position`` is an integer, unique within a key. ``sums`` count nulls as 0.
+    An anchor ``(value, sum)`` is the last ``value - sum`` of the rows that have a
+    value: the base from which a counter with that running sum goes on.
     A second scan over the same keys reuses the ``_chunk`` column that
     ``keep_chunk`` leaves, and with it the first scan's shuffle.
     """
-    sums, lasts, mins = sums or {}, lasts or {}, mins or {}
+    sums, lasts, mins, anchors = sums or {}, lasts or {}, mins or {}, anchors or {}
     columns = [c for c in df.columns if c != "_chunk"]
     base = df if "_chunk" in df.columns else df.withColumn("_chunk", F.floor(F.col(position) / F.lit(chunk)))
     for name, expr in {**sums, **lasts, **mins}.items():
         base = base.withColumn(f"_x_{name}", expr)
 
+    for name, (value, _) in anchors.items():
+        base = base.withColumn(f"_x_{name}", value)
+
     group = [*keys, "_chunk"]
-    totals = base.groupBy(*group).agg(
+    here = Window.partitionBy(*group).orderBy(position).rowsBetween(
+        Window.unboundedPreceding, -1 if exclusive else 0
+    )
+    local = base.select(
+        *columns,
+        "_chunk",
+        *[F.col(f"_x_{n}") for n in [*sums, *lasts, *mins, *anchors]],
+        *[F.sum(F.coalesce(F.col(f"_x_{n}"), F.lit(0))).over(here).alias(f"_l_{n}") for n in sums],
+        *[F.last(f"_x_{n}", ignorenulls=True).over(here).alias(f"_l_{n}") for n in lasts],
+        *[F.min(f"_x_{n}").over(here).alias(f"_l_{n}") for n in mins],
+    )
+    for name, (_, counter) in anchors.items():
+        local = local.withColumn(f"_x_{name}", F.col(f"_x_{name}") - F.col(f"_l_{counter}"))
+        local = local.withColumn(f"_l_{name}", F.last(f"_x_{name}", ignorenulls=True).over(here))
+
+    # plain totals combine before the shuffle; anchors need the chunk's own running sums
+    totals = (local if anchors else base).groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(F.coalesce(F.col(f"_x_{n}"), F.lit(0))).alias(f"_t_{n}") for n in sums],
         *[
             F.max_by(F.col(f"_x_{n}"), F.when(F.col(f"_x_{n}").isNotNull(), F.col(position))).alias(f"_t_{n}")
-            for n in lasts
+            for n in [*lasts, *anchors]
         ],
         *[F.min(f"_x_{n}").alias(f"_t_{n}") for n in mins],
     )
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        totals.select(
-            *group,
-            F.count(F.lit(1)).over(before).alias("_seen"),
-            *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
-            *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
-            *[F.min(f"_t_{n}").over(before).alias(f"_c_{n}") for n in mins],
-        )
-        # most keys lie in one chunk and need nothing carried
-        .where(F.col("_seen") > 0)
-        .drop("_seen")
+    carried = totals.select(
+        "*",
+        F.count(F.lit(1)).over(before).alias("_seen"),
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
+        *[F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
+        *[F.min(f"_t_{n}").over(before).alias(f"_c_{n}") for n in mins],
     )
-    here = Window.partitionBy(*group).orderBy(position).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    local = base.select(
-        *columns,
-        "_chunk",
-        *[F.sum(F.coalesce(F.col(f"_x_{n}"), F.lit(0))).over(here).alias(f"_l_{n}") for n in sums],
-        *[F.last(f"_x_{n}", ignorenulls=True).over(here).alias(f"_l_{n}") for n in lasts],
-        *[F.min(f"_x_{n}").over(here).alias(f"_l_{n}") for n in mins],
+    for name, (_, counter) in anchors.items():
+        absolute = F.col(f"_t_{name}") - F.col(f"_c_{counter}")
+        carried = carried.withColumn(f"_c_{name}", F.last(absolute, ignorenulls=True).over(before))
+    # most keys lie in one chunk and need nothing carried
+    carry = carried.where(F.col("_seen") > 0).select(
+        *group, *[f"_c_{n}" for n in [*sums, *lasts, *mins, *anchors]]
     )
+
+    def shifted(name: str, counter: str) -> Column:
+        return F.col(f"_l_{name}") - F.coalesce(F.col(f"_c_{counter}"), F.lit(0))
+
     return local.join(carry, group, "left").select(
         *columns,
         *(["_chunk"] if keep_chunk else []),
         *[(F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in sums],
         *[F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in lasts],
         *[F.least(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in mins],
+        *[F.coalesce(shifted(n, counter), F.col(f"_c_{n}")).alias(n) for n, (_, counter) in anchors.items()],
     )

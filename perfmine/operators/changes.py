@@ -56,7 +56,7 @@ def numbered_lines(lines: DataFrame, keys=("patch_id",), position: str = "seq")
         "line-kinds",
     )
     kind = F.col("kind")
-    counted = scan.running(
+    based = scan.running(
         kinds,
         list(keys),
         position,
@@ -64,17 +64,7 @@ def numbered_lines(lines: DataFrame, keys=("patch_id",), position: str = "seq")
             "_old": F.when(kind.isin("removed", "context"), one).otherwise(zero),
             "_new": F.when(kind.isin("added", "context"), one).otherwise(zero),
         },
-        keep_chunk=True,
-    )
-
-    based = scan.running(
-        counted,
-        list(keys),
-        position,
-        lasts={
-            "_old_base": F.col("_old_start") - F.col("_old"),
-            "_new_base": F.col("_new_start") - F.col("_new"),
-        },
+        anchors={"_old_base": (F.col("_old_start"), "_old"), "_new_base": (F.col("_new_start"), "_new")},
     )
     number = F.when(kind == "removed", F.coalesce("_old_base", zero) + F.col("_old") - 1).otherwise(
         F.coalesce("_new_base", zero) + F.col("_new") - 1
@@ -99,14 +89,16 @@ def nearest_modules(files: DataFrame, poms: DataFrame, keys=("sha",), on=()) ->
     A file without one is dropped. ``on`` names shared columns, such as the
     repository, that also must agree.
     """
-    steps = files.select(*keys, *on, "path", F.explode(paths.ancestors(F.col("path"))).alias("_a")).select(
-        *keys, *on, "path", F.col("_a.dir").alias("dir"), F.col("_a.depth").alias("depth")
-    )
-    return (
-        steps.join(poms.select(*on, "dir"), [*on, "dir"])
-        .groupBy(*keys, *on, "path")
+    placed = files.select(*keys, *on, "path", paths.folder(F.col("path")).alias("_folder"))
+    # a file's module is that of its folder, and folders are few
+    steps = placed.select(*on, "_folder").distinct().withColumn("_a", F.explode(paths.ancestors(F.col("_folder"))))
+    modules = (
+        steps.select(*on, "_folder", F.col("_a.dir").alias("dir"), F.col("_a.depth").alias("depth"))
+        .join(poms.select(*on, "dir").distinct(), [*on, "dir"])
+        .groupBy(*on, "_folder")
         .agg(F.max_by("dir", "depth").alias("module"))
     )
+    return placed.join(modules, [*on, "_folder"]).select(*keys, *on, "path", "module")
 
 
 def modules_and_files(assigned: DataFrame, keys=("sha",)) -> DataFrame:

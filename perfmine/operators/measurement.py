@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from perfmine.functions import logtext
 from perfmine.functions.stats import count_losses, count_wins, relative_improvement, sign_tail
+from perfmine.session import staged
 
 COMMIT = ("commit_id",)
 ORIGINAL, PATCHED = "original", "patched"
@@ -262,7 +263,7 @@ def log_outcomes(lines: DataFrame, keys=COMMIT) -> DataFrame:
         | (F.coalesce(F.col("first_a") < F.col("last_bc"), F.lit(False))),
         F.lit(False),
     )
-    per_log = per_log.withColumn("near", near)
+    per_log = staged(per_log.withColumn("near", near), "log-marks")
     # plugin lines strictly between the first goal line and the last phase line
     open_logs = per_log.where(~F.col("near") & F.col("says_failure") & (F.col("first_a") < F.col("last_c")))
     between = (

@@ -8,6 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from perfmine.queries.bindings import BINDINGS, tables_of
+from perfmine.session import spread
+
+# bindings without a shuffle of their own, whose text is costly to work on
+SPREAD = ("b_commits", "b_pulls", "b_build_files")
 
 
 @dataclass(frozen=True)
@@ -20,13 +24,14 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def sql(self, text: str) -> DataFrame:
+    def sql(self, text: str, spread_over_cores: bool = False) -> DataFrame:
         for name in tables_of(text):
-            self.table(name).createOrReplaceTempView(name)
+            table = self.table(name)
+            (spread(table) if spread_over_cores else table).createOrReplaceTempView(name)
         return self.spark.sql(text)
 
     def bind(self, name: str) -> DataFrame:
-        return self.sql(BINDINGS[name])
+        return self.sql(BINDINGS[name], spread_over_cores=name in SPREAD)
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
