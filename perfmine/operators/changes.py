@@ -145,18 +145,32 @@ def require_passed(coverage: DataFrame) -> DataFrame:
 
 
 def covered_line_rows(coverage: DataFrame) -> DataFrame:
-    """SC-08 as rows: one per covered line."""
-    return coverage.withColumn("line_no", F.explode(logtext.covered_lines(F.col("covered_lines")))).drop("covered_lines")
+    """SC-08 as rows: one per line of each covered range."""
+    part = F.trim("_part")
+    ranges = (
+        coverage.withColumn("_part", F.explode(F.split("covered_lines", ",")))
+        .where(part != "")
+        .withColumn("_start", F.trim(F.substring_index(part, "-", 1)).cast("int"))
+        .withColumn("_end", F.trim(F.element_at(F.split(part, "-", 2), -1)).cast("int"))
+        .where(F.col("_start") <= F.col("_end"))
+    )
+    return ranges.withColumn("line_no", F.explode(F.sequence("_start", "_end"))).drop(
+        "covered_lines", "_part", "_start", "_end"
+    )
 
 
 def changed_and_covered(changed: DataFrame, coverage: DataFrame) -> DataFrame:
     """JN-08 / SET-04: covered lines that were changed, per version and test.
 
-    The join key includes the line, so a file that many tests touch spreads over
-    its lines.
+    Coverage of files without a change, the bulk of a report, is left out before
+    its ranges become lines. The join key includes the line, so a file that many
+    tests touch spreads over its lines. A line that a text names twice comes
+    twice.
     """
-    on = ["commit_id", "version", "file", "line_no"]
-    return covered_line_rows(coverage).join(changed.select(*on).withColumn("line_no", F.col("line_no").cast("int")).distinct(), on)
+    file = ["commit_id", "version", "file"]
+    lines = changed.select(*file, F.col("line_no").cast("int").alias("line_no")).distinct()
+    touched = coverage.join(changed.select(*file).distinct(), file, "left_semi")
+    return covered_line_rows(touched).join(lines, [*file, "line_no"])
 
 
 def covering_tests(changed: DataFrame, coverage: DataFrame) -> DataFrame:

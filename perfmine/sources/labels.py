@@ -66,7 +66,7 @@ def read_year_star_cache(spark: SparkSession, path: str, multi_line: bool = True
 
 def read_build_files(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """SRC-16: configuration files below ``<path>/<repo>/`` as (repo_id, path, content)."""
-    rows = spark.read.option("wholetext", "true").text([f"{path}/*/{n}" for n in names])
+    rows = spark.read.text([f"{path}/*/{n}" for n in names], wholetext=True)
     form = r"/([^/]+)/((?:\.mvn/)?[^/]+)$"
     file = F.col("_metadata.file_path")
     return rows.select(
