@@ -40,13 +40,15 @@ def _shaped(text: Column, kind: T.DataType) -> Column:
     return F.when(F.ltrim(text).startswith(opening), F.from_json(text, kind, {**_JSON, "mode": "PERMISSIVE"}))
 
 
-def _literal_to_json(texts: pd.Series) -> pd.Series:
-    """Python literals as JSON; the rest is null."""
+def _literal_to_json(rounds: int):
+    """A pandas UDF that turns Python literals into JSON; the rest is null.
+
+    The function is local, so it travels to the workers by value: they need not
+    have this package installed.
+    """
 
     def convert(text):
-        if text is None:
-            return None
-        for _ in range(_UNWRAPS + 1):
+        for _ in range(rounds):
             try:
                 value = ast.literal_eval(text.strip())
             except (ValueError, SyntaxError, MemoryError, RecursionError):
@@ -56,7 +58,10 @@ def _literal_to_json(texts: pd.Series) -> pd.Series:
             text = value
         return None
 
-    return texts.map(convert, na_action="ignore")
+    def fallback(texts: pd.Series) -> pd.Series:
+        return texts.map(convert, na_action="ignore")
+
+    return F.pandas_udf(fallback, "string")
 
 
 def decode_cell(cell: Column, kind: T.DataType, python_literals: bool = True) -> Column:
@@ -67,21 +72,18 @@ def decode_cell(cell: Column, kind: T.DataType, python_literals: bool = True) ->
     is null.
     """
     raw = F.trim(cell)
-    candidates = [
-        raw,
+    texts = F.array(
         _peel(raw),
         _peel(F.replace(raw, F.lit('""'), F.lit('"'))),
         _peel(F.replace(raw, F.lit('\\"'), F.lit('"'))),
         _peel(F.rtrim(raw, F.lit('"'))),
-    ]
-    parsed = []
-    for text in candidates:
-        parsed.append(_shaped(text, kind))
-        parsed.append(_shaped(_unwrap(text), kind))
-    found = F.coalesce(*parsed)
+    )
+    # well-formed cells are read at once; the rest tries its forms in order
+    tried = F.transform(F.concat(F.array(raw), texts), lambda t: F.coalesce(_shaped(t, kind), _shaped(_unwrap(t), kind)))
+    found = F.coalesce(_shaped(raw, kind), F.get(F.filter(tried, lambda v: v.isNotNull()), F.lit(0)))
     if not python_literals:
         return found
-    fallback = F.pandas_udf(_literal_to_json, "string")(F.when(found.isNull(), candidates[1]))
+    fallback = _literal_to_json(_UNWRAPS + 1)(F.when(found.isNull(), F.get(texts, F.lit(0))))
     return F.coalesce(found, _shaped(fallback, kind))
 
 
