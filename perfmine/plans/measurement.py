@@ -35,14 +35,11 @@ def _class_runs(lines: DataFrame, settings: m.TestSettings, keys) -> DataFrame:
     )
 
 
-def measured_commits(
-    lines: DataFrame, settings: m.TestSettings = m.DEFAULT, keys=m.COMMIT, min_pairs: int | None = None
-) -> DataFrame:
+def measured_commits(lines: DataFrame, settings: m.TestSettings = m.DEFAULT, keys=m.COMMIT) -> DataFrame:
     """One row per commit: total improvement, p-value, classes faster and slower.
 
-    ``min_pairs`` tests classes with at least that many complete pairs instead
-    of only those measured in every run. The raw lines are read and shuffled
-    once; grouping sets derive class rows and run rows from the paired table.
+    The raw lines are read and shuffled once; grouping sets derive class rows
+    and run rows from the paired table.
     """
     runs = _class_runs(lines, settings, keys)
     o, p = F.col(m.ORIGINAL), F.col(m.PATCHED)
@@ -52,7 +49,7 @@ def measured_commits(
     by_run = [*keys, "run_no"]
     sides = runs.groupingSets([by_class, by_run], *keys, "test_class", "run_no").agg(
         F.grouping("run_no").alias("is_class"),
-        F.count(F.when(both, F.lit(1))).alias("original_runs"),
+        F.count(F.when(both, F.lit(1))).alias("pairs"),
         F.min(F.least(F.when(both, o), F.when(both, p))).alias("least_seconds"),
         count_wins(o, p, factor).alias("wins"),
         count_losses(o, p, factor).alias("losses"),
@@ -62,7 +59,7 @@ def measured_commits(
         F.coalesce(F.sum(p), F.lit(0.0)).alias("p"),
         (F.bool_or("has_original") & F.bool_or("has_patched")).alias("both_logs"),
     )
-    enough = F.col("original_runs") == settings.runs - 1 if min_pairs is None else F.col("original_runs") >= min_pairs
+    enough = F.col("pairs") == settings.runs - 1
     is_class = (F.col("is_class") == 1) & F.col("test_class").isNotNull()
     tested = is_class & enough & (F.col("least_seconds") >= settings.noise_floor)
     better = F.when(tested, sign_tail(F.col("wins"), F.col("losses")))

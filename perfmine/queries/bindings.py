@@ -76,10 +76,10 @@ from lineitem group by 1, 2, 3, 4""",
     "b_run_logs": f"""
 select commit_id, version, run_no, line_no,
        concat(case when pk % 11 = 0 then '[WARNING]' else '[INFO]' end,
-              ' Tests run: 3, Failures: 0, Errors: 0, Skipped: 0, Time elapsed: ', cast(q as string), '.5 ',
+              ' Tests run: 3, Failures: 0, Errors: 0, Skipped: 0, Time elapsed: ', cast(q as string), case when pk % 4 = 0 and q > 1 then '000.5 ' else '.5 ' end,
               case when pk % 4 = 0 then 'ms' when pk % 4 = 1 then 's' when pk % 4 = 2 then 'min' else 'h' end,
               case when q % 2 = 0 then ' - in ' else ' -- in ' end,
-              'org.x.T', cast(pk % 3 as string), case when q % 5 = 0 then '  ' else '' end) as line
+              'org.x.T', cast(pk % 2 as string), case when q % 5 = 0 then '  ' else '' end) as line
 from (select l_suppkey as commit_id, {_VERSION} as version, l_orderkey % 31 + 1 as run_no,
              l_orderkey * 8 + l_linenumber as line_no, min(l_partkey) as pk, cast(min(l_quantity) as bigint) as q
       from lineitem group by 1, 2, 3, 4) t""",

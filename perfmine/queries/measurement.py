@@ -293,7 +293,7 @@ sides as (
          count(*) filter (o.seconds < 0.95 * p.seconds) as rwins, count(*) filter (o.seconds > 0.95 * p.seconds) as rlosses
   from last_times o join last_times p on o.commit_id = p.commit_id and o.run_no = p.run_no and o.test_class = p.test_class
    and o.version = 'original' and p.version = 'patched'
-  where o.run_no > 1 group by all having count(*) >= 5 and min(least(o.seconds, p.seconds)) >= 0.01
+  where o.run_no > 1 group by all having count(*) = 30 and min(least(o.seconds, p.seconds)) >= 0.01
 ),
 v as (select commit_id, count(*) filter ({_tail('wins', 'losses')} < 0.1) as improved,
              count(*) filter (not coalesce({_tail('wins', 'losses')} < 0.1, false) and {_tail('rwins', 'rlosses')} < 0.1) as regressed
@@ -305,7 +305,7 @@ select s.commit_id, runs, round((so - sp) / nullif(so, 0), 6) as exec_time_impro
        coalesce(improved, 0) as improved_classes, coalesce(regressed, 0) as regressed_classes
 from s left join v on s.commit_id = v.commit_id""")
 def _(t):
-    result = plan.measured_commits(t.bind("b_run_logs"), min_pairs=5)
+    result = plan.measured_commits(t.bind("b_run_logs"))
     return result.withColumn("exec_time_improvement", F.round("exec_time_improvement", 6)).withColumn(
         "p_value", F.round("p_value", 6)
     )

@@ -109,8 +109,8 @@ def test_paths(spark):
 def test_links(spark):
     repos = ["owner/name", "a/b/c", "OTHERS", "plain", None]
     assert values(spark, links.short_label, repos) == ["name", "b/c", "Others", "plain", "Unknown"]
-    sha = "5f725621c6b6f83404168784fae772508e21a21b"
-    keys = [f"ab__c-d_{sha}", f"ab__c_d_{sha}", f"ab_c-d_{sha}", "x-y-47288a9_bak"]
+    sha = "0123456789abcdef0123456789abcdef01234567"
+    keys = [f"ab__c-d_{sha}", f"ab__c_d_{sha}", f"ab_c-d_{sha}", "x-y-1234567_bak"]
     got = [tuple(g) for g in values(spark, links.decode_path_key, keys)]
     assert got == [("ab/c-d", sha), ("ab/c_d", sha), (None, None), (None, None)]
     got = values(spark, links.commit_link, [f"https://github.com/o/r/commit/{sha}", "nothing"])

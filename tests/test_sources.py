@@ -91,9 +91,9 @@ def test_label_files(spark, tmp_path, rows):
 
 def test_lists_caches_and_build_files(spark, tmp_path, rows):
     put(tmp_path / "t", "o__r_1234567/improvement_tests.txt", "p.A\np.B")
-    put(tmp_path / "t", "k-k-47288a9_bak/improvement_tests.txt", "p.C\n\n")
+    put(tmp_path / "t", "k-k-1234567_bak/improvement_tests.txt", "p.C\n\n")
     got = labels.read_test_lists(spark, str(tmp_path / "t" / "*" / "improvement_tests.txt"))
-    assert rows(got) == [("k-k-47288a9_bak", "p.C"), ("o__r_1234567", "p.A"), ("o__r_1234567", "p.B")]
+    assert rows(got) == [("k-k-1234567_bak", "p.C"), ("o__r_1234567", "p.A"), ("o__r_1234567", "p.B")]
     cache = put(tmp_path, "cache.json", json.dumps({"commit_year_by_repo_sha": {"o/r@1": 2020}, "repo_stars": {"o/r": 5}}, indent=2))
     years, stars = labels.read_year_star_cache(spark, cache)
     assert rows(years) == [("o/r@1", 2020)] and rows(stars) == [("o/r", 5)]
