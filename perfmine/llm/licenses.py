@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from perfmine.llm.common import arrow_map, id_and_text
+from perfmine.llm.words import folded_words
 
 #: Phrases that are always reported, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -167,11 +168,6 @@ def default_rules() -> list[Rule]:
     return sorted(rules, key=lambda r: -r.priority)
 
 
-# fixed values: what separates words, and letters in either case
-_SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
-_FOLD = bytes.maketrans(_SEPARATORS + bytes(range(0x41, 0x5B)), b" " * len(_SEPARATORS) + bytes(range(0x61, 0x7B)))
-
-
 class Scanner:
     """The rules made ready for use in one worker."""
 
@@ -189,7 +185,7 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[int, list[tuple]]:
         """Number of words and (label, rule, priority, confidence, first word, end word, base)."""
-        words = text.encode().translate(_FOLD).split()
+        words = folded_words(text)
         flat = b" ".join(words).decode()
         live = {i for _, which in self.automaton.iter(flat) for i in which}
         found = []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfmine.llm import language, licenses, neardup, packing, sharding, tokens, topk
+from perfmine.llm import decontamination, language, licenses, neardup, packing, sharding, tokens, topk
 from perfmine.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -82,6 +82,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    rounded = {c: F.round(c, 6) for c in ("score", "item_overlap", "question_overlap", "answer_overlap")}
+    return found.withColumns(rounded)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op3_minhash_dedup, op4_language_id, op5_exact_topk, op6_sharding, op7_token_counts, op9_packing)
+    f.__name__: f for f in (op1_license_scan, op3_minhash_dedup, op4_language_id, op5_exact_topk, op6_sharding, op7_token_counts, op9_packing, op10_decontamination)
 }
