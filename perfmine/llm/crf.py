@@ -94,13 +94,8 @@ def fit(examples: list[tuple[int, list[Candidate], set[int]]], rounds: int = 40,
     return model
 
 
-Describe = Callable[[list[str], int, int], dict[str, tuple[str, ...]]]
-
-
-def candidates_of(atoms: list[str], describe: Describe) -> list[Candidate]:
-    """What ``describe`` accepts among the runs of at most ``MOST_ATOMS`` atoms."""
-    out = []
-    for begin in range(len(atoms)):
-        for end in range(begin + 1, min(len(atoms), begin + MOST_ATOMS) + 1):
-            out += [Candidate(begin, end, kind, f) for kind, f in describe(atoms, begin, end).items()]
-    return out
+def candidates_of(
+    atoms: list[str], spans: Iterable[tuple[int, int]], describe: Callable[[list[str], int, int], dict[str, tuple[str, ...]]]
+) -> list[Candidate]:
+    """The types and features that ``describe`` gives the runs of atoms named by ``spans``."""
+    return [Candidate(begin, end, kind, f) for begin, end in spans for kind, f in describe(atoms, begin, end).items()]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfmine.llm.common import arrow_map, id_and_text
-from perfmine.llm.crf import Candidate, SemiMarkovField, candidates_of, fit
+from perfmine.llm.crf import MOST_ATOMS, Candidate, SemiMarkovField, candidates_of, fit
 
 KINDS = ("email", "ip", "card", "phone")
 #: A span is added if its probability is at least this.
 SURE = 0.9
-_STRETCH = 160
+#: Code points before and after an at sign.
+_BEFORE, _AFTER = 64, 128
+#: Digits of a number, and groups it may be written in.
+LEAST_DIGITS, MOST_DIGITS, MOST_GROUPS = 7, 19, 5
 
 # fixed values: the base patterns
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -92,20 +96,42 @@ _OTHER_WORDS = frozenset("order id no nr number version isbn issn invoice ref pa
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
     """Where the field looks: around at signs, and runs of numbers with seven digits or more."""
-    at = text.find("@")
+    at, done = text.find("@"), 0
     while at >= 0:
+        after = text.find("@", at + 1)
         low, high = at, at + 1
-        while low > max(0, at - _STRETCH) and not text[low - 1].isspace():
+        while low > max(done, at - _BEFORE) and not text[low - 1].isspace():
             low -= 1
-        while high < min(len(text), at + _STRETCH) and not text[high].isspace():
+        stop = min(len(text) if after < 0 else after, at + _AFTER)
+        while high < stop and not text[high].isspace():
             high += 1
         yield low, high
-        at = text.find("@", high)
+        at, done = after, at + 1
     for m in _NUMBERS.finditer(text):
-        if m.end() - m.start() >= 7 and len(digits_of(m.group())) >= 7:
+        if m.end() - m.start() >= LEAST_DIGITS and len(digits_of(m.group())) >= LEAST_DIGITS:
             yield m.span()
 
 
+def plausible(atoms: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of atoms that can be an entity by their size: around the at sign, or a number of few groups."""
+    at = atoms.index("@") if "@" in atoms else None
+    for begin, first in enumerate(atoms):
+        if not (first[0].isalnum() or first in "+("):
+            continue
+        if at is not None:
+            if begin < at:
+                yield from ((begin, end) for end in range(at + 2, min(len(atoms), begin + MOST_ATOMS) + 1))
+            continue
+        digits = groups = 0
+        for end in range(begin, min(len(atoms), begin + MOST_ATOMS)):
+            if atoms[end][0].isdigit():
+                digits, groups = digits + len(atoms[end]), groups + 1
+                if digits > MOST_DIGITS or groups > MOST_GROUPS:
+                    break
+                if digits >= LEAST_DIGITS:
+                    yield begin, end + 1
+
+
 def _word_before(text: str, start: int) -> str:
     words = re.findall(r"[^\W\d_]+", text[max(0, start - 24) : start].lower())
     return words[-1] if words else ""
@@ -140,12 +166,12 @@ def describer(before: str):
             return {"email": tuple(f"email:{f}" for f in facts)}
         groups = [len(a) for a in span if a[0] in "0123456789"]
         n = sum(groups)
-        if not 7 <= n <= 19 or any(a[0].isalpha() or a in "@_%" for a in span):
+        if not LEAST_DIGITS <= n <= MOST_DIGITS or any(a[0].isalpha() or a in "@_%" for a in span):
             return {}
         between = {a for a in span if not a[0].isdigit()} - {"+"}
         facts = [
             "bias",
-            f"groups={'-'.join(map(str, groups)) if len(groups) <= 5 else 'many'}",
+            f"groups={'-'.join(map(str, groups))}",
             f"n={n}",
             f"plus={first == '+'}",
             f"round={'(' in span and ')' in span}",
@@ -230,7 +256,7 @@ def trained_field() -> SemiMarkovField:
     examples = []
     for text, before, spans in made_up_examples():
         atoms, starts = cut(text)
-        candidates = candidates_of(atoms, describer(before))
+        candidates = candidates_of(atoms, plausible(atoms), describer(before))
         places = [(c.kind, starts[c.begin], starts[c.end]) for c in candidates]
         examples.append((len(atoms), candidates, {k for k, p in enumerate(places) if p in spans}))
     return fit(examples)
@@ -248,12 +274,16 @@ def cut(text: str) -> tuple[list[str], list[int]]:
 def added_spans(text: str, base: list[tuple[str, int, int]], field: SemiMarkovField) -> list[tuple[str, int, int]]:
     """Spans that the field is sure of; one that meets a base span must hold all of it and more."""
     found = []
+    # the spans of one kind do not overlap, so their starts and ends both rise
+    places = [([s for k, s, _ in base if k == kind], [e for k, _, e in base if k == kind]) for kind in KINDS]
     for low, high in stretches(text):
-        inside = [(s, e) for _, s, e in base if s < high and e > low]
+        inside = [
+            (starts[i], ends[i]) for starts, ends in places if starts for i in range(bisect_right(ends, low), bisect_left(starts, high))
+        ]
         if any(s <= low and high <= e for s, e in inside):
             continue
         atoms, starts = cut(text[low:high])
-        candidates = candidates_of(atoms, describer(_word_before(text, low)))
+        candidates = candidates_of(atoms, plausible(atoms), describer(_word_before(text, low)))
         if not candidates:
             continue
         sure = field.posteriors(len(atoms), candidates)
