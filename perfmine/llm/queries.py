@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfmine.llm import decontamination, language, licenses, neardup, packing, pii, sharding, tokens, topk
+from perfmine.llm import decontamination, language, licenses, neardup, packing, pii, secrets, sharding, tokens, topk
 from perfmine.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,23 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def span_digest(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
+    """Counts of the base spans by kind, the hash of their places, and all places."""
+    place = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    base = F.filter(spans, lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    digest = F.sha2(F.array_join(F.transform(base, place), ","), 256)
+    return [*map(count, kinds), digest.alias("base_sha256"), F.array_join(F.transform(spans, place), ",").alias("spans")]
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *span_digest(F.col("spans"), secrets.BASE_KINDS))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -78,18 +95,6 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
-def span_digest(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
-    """Counts of the base spans by kind, the hash of their places, and all places."""
-    place = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
-    base = F.filter(spans, lambda s: s["base"])
-
-    def count(kind: str) -> Column:
-        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-
-    digest = F.sha2(F.array_join(F.transform(base, place), ","), 256)
-    return [*map(count, kinds), digest.alias("base_sha256"), F.array_join(F.transform(spans, place), ",").alias("spans")]
-
-
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *span_digest(F.col("spans"), pii.KINDS))
@@ -106,5 +111,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op3_minhash_dedup, op4_language_id, op5_exact_topk, op6_sharding, op7_token_counts, op8_pii, op9_packing, op10_decontamination)
+    f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_minhash_dedup, op4_language_id, op5_exact_topk, op6_sharding, op7_token_counts, op8_pii, op9_packing, op10_decontamination)
 }
