@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Each stage gets what its predecessor kept. All stages but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -7,42 +11,68 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfmine.llm import language, packing
+from perfmine.llm import decontamination, language, neardup, packing, pii
 from perfmine.llm.common import staged, table
-from perfmine.llm.queries import _tokenizer
+from perfmine.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document whose best language scores less is rejected.
 LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognised language; the others keep their columns.
+    """Drop documents without a recognised language.
+
+    The classifier learns from the labelled documents of its input that are not
+    held out. A document goes if its text is null or has no letter, or if no
+    language reaches ``LEAST_SCORE``. Where nothing is labelled there is nothing
+    to recognise, and all documents go.
+    """
+    return language.recognised(docs.select(*COLUMNS), language.trained_on_rest(docs), LEAST_SCORE)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies, the one with the smallest id.
 
-    The classifier learns from the labelled documents of this stage's input. A
-    document goes if its text is null or has no letter, or if no language
-    reaches ``LEAST_SCORE``.
+    Rows that repeat an id are one document, of which the row with the least text
+    stays. A row without an id is no copy of any other and stays.
     """
-    answers = language.predict_languages(docs, language.trained_on_rest(docs))
-    kept = answers.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return docs.select(*COLUMNS).join(kept.select("doc_id"), "doc_id", "left_semi")
+    docs = docs.select(*COLUMNS)
+    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    one_each = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+    return one_each.unionByName(docs.where("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that repeat an item of the benchmark."""
+    return decontamination.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep all documents, with personal data replaced by its kind."""
+    return pii.redacted_documents(docs.select(*COLUMNS))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 4096 ids."""
-    return packing.pack(docs, _tokenizer("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("personal_data", redact_personal_data),
     ("packing", pack_windows),
 ]
+
+#: SQL has neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,8 +15,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,19 +177,38 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The index is broadcast. Its size is bounded by ``INDEX_CHARS``: a larger
     benchmark is searched in several indexes, one pass each.
     """
-    spark = docs.sparkSession
     docs = id_and_text(docs, id_col, text_col)
+    parts = [arrow_map(docs, _searching(index), _LEAK) for index in indexes_of(benchmark)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that repeat no item, null texts included; the rows stay where they are."""
+    for index in indexes_of(benchmark):
+        docs = docs.where(_clean(index)(F.col(text_col).cast("string")))
+    return docs
+
+
+def _clean(index):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not index.value.leaks(t or "") for t in texts], dtype=bool)
+
+    return clean
+
+
+def indexes_of(benchmark: DataFrame) -> list:
+    """Broadcast indexes that together hold all items of (item_id, text)."""
+    spark = benchmark.sparkSession
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    indexes = max(1, -(-chars // INDEX_CHARS))
-    found = None
-    for number in range(indexes):
-        mine = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(indexes)) == number).distinct().orderBy("item_id", "text")
+    parts = max(1, -(-chars // INDEX_CHARS))
+    indexes = []
+    for number in range(parts):
+        mine = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == number).distinct().orderBy("item_id", "text")
         items = [i for i in (make_item(r.item_id, r.text) for r in mine.collect()) if len(i.words) >= SHINGLE]
-        shared = spark.sparkContext.broadcast(Index.build(items))
-        part = arrow_map(docs, _searching(shared), _LEAK)
-        found = part if found is None else found.unionByName(part)
-    return found
+        indexes.append(spark.sparkContext.broadcast(Index.build(items)))
+    return indexes
 
 
 def _searching(shared):

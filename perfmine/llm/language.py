@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,6 +121,22 @@ def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
     return arrow_map(id_and_text(docs), work, "doc_id long, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, model: Model, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language the model recognises with at least that score.
+
+    Only texts go through the model; the rows stay where they are. Null texts and
+    texts without a letter are dropped.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        answers = (shared.value.predict(t or "") for t in texts)
+        return pd.Series([lang != UNKNOWN and score >= least_score for lang, score in answers], dtype=bool)
+
+    return docs.where(known(F.col(text_col).cast("string")))
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     """True for the third of the documents that is kept out of training; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))

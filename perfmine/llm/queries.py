@@ -13,7 +13,7 @@ from perfmine.llm.common import table
 ORACLES: dict[str, str] = {}
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     """Where the driver's tokenizer files are; the same on every machine."""
     import public_tokenizers
 
@@ -92,7 +92,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
