@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perfmine.functions.text import stripped
+
 # Files, keys and the default, in order of precedence.
 JVM_CONFIG, POM, JAVA_VERSION, SDKMANRC = ".mvn/jvm.config", "pom.xml", ".java-version", ".sdkmanrc"
 JVM_FLAGS = ("release", "target", "source")
@@ -21,7 +23,7 @@ PLACEHOLDER = r"\$\{([^}]+)\}"
 
 def major_version(text: Column) -> Column:
     """SC-11: ``1.8`` is 8, otherwise the first digits; null without any."""
-    text = F.trim(text)
+    text = stripped(text)
     second = F.get(F.split(text, r"\."), F.lit(1))
     first = F.nullif(F.regexp_extract(text, r"(\d+)", 1), F.lit(""))
     return F.when(text.startswith("1.") & second.rlike(r"^\d+$"), second).otherwise(first)
@@ -92,8 +94,8 @@ def version_of_sdkmanrc(content: Column) -> Column:
     return major_version(F.nullif(F.regexp_extract(content, r"(?m)^[^\S\n]*java=([^\n]*)", 1), F.lit("")))
 
 
-def java_versions(files: DataFrame, key: str = "repo_id") -> DataFrame:
-    """SC-13: one version per repository.
+def java_versions(repos: DataFrame, files: DataFrame, key: str = "repo_id") -> DataFrame:
+    """SC-13: one version per repository of ``repos``, the default where no file names one.
 
     Every file is reduced to its few candidate versions before the shuffle; the
     texts themselves do not travel.
@@ -112,4 +114,5 @@ def java_versions(files: DataFrame, key: str = "repo_id") -> DataFrame:
         F.when(path == SDKMANRC, version_of_sdkmanrc(content)).alias("c4"),
     )
     best = candidates.groupBy(key).agg(*[F.max(f"c{i}").alias(f"c{i}") for i in range(5)])
-    return best.select(key, F.coalesce(*[F.col(f"c{i}") for i in range(5)], F.lit(DEFAULT_VERSION)).alias("java_version"))
+    all_repos = repos.select(key).distinct().join(best, key, "left")
+    return all_repos.select(key, F.coalesce(*[F.col(f"c{i}") for i in range(5)], F.lit(DEFAULT_VERSION)).alias("java_version"))

@@ -101,6 +101,22 @@ def nearest_modules(files: DataFrame, poms: DataFrame, keys=("sha",), on=()) ->
     return placed.join(modules, [*on, "_folder"]).select(*keys, *on, "path", "module")
 
 
+def module_and_file_rows(assigned: DataFrame, keys=("sha",)) -> DataFrame:
+    """AG-24: the distinct modules and files of each key as rows (kind, name).
+
+    A change of any size: nothing of it is gathered in one cell.
+    """
+    return (
+        assigned.select(*keys, F.explode(F.array(_named("module"), _named("path", "file"))).alias("_n"))
+        .select(*keys, "_n.kind", "_n.name")
+        .distinct()
+    )
+
+
+def _named(column: str, kind: str | None = None) -> Column:
+    return F.struct(F.lit(kind or column).alias("kind"), F.col(column).alias("name"))
+
+
 def modules_and_files(assigned: DataFrame, keys=("sha",)) -> DataFrame:
     """AG-24 in list form, for commits whose number of files is bounded."""
     return assigned.groupBy(*keys).agg(

@@ -44,19 +44,23 @@ def fold_outcomes(candidates: DataFrame, outcomes: DataFrame, must_pass: str | N
 def with_dataset(judged: DataFrame, dataset: DataFrame) -> DataFrame:
     """JN-12: judged patches with their dataset row, by commit, else by pull request.
 
-    ``n_files`` and ``n_modules`` are null for a patch without a match.
+    Both keys go with the repository: a pull request's number means nothing
+    without it. One dataset row answers per key, of a pull request with several
+    commits that of the smallest sha, so no judged patch is repeated.
+    ``n_files`` and ``n_modules`` are null for a patch without a match. Rows
+    without a sha do not enter the first join.
     """
-    by_sha = dataset.where(F.col("after_commit").isNotNull()).select(
-        F.col("after_commit").alias("sha"), F.col("n_files").alias("_f1"), F.col("n_modules").alias("_m1")
+    found = F.struct("n_files", "n_modules")
+    by_sha = dataset.where(F.col("after_commit").isNotNull()).groupBy("repo", F.col("after_commit").alias("sha")).agg(F.min(found).alias("_row"))
+    by_pull = dataset.where(F.col("pr_number").isNotNull()).groupBy("repo", "pr_number").agg(
+        F.min_by(found, F.struct("after_commit", "n_files", "n_modules")).alias("_row")
     )
-    by_pull = dataset.where(F.col("pr_number").isNotNull()).select(
-        "pr_number", F.col("n_files").alias("_f2"), F.col("n_modules").alias("_m2")
-    )
-    joined = judged.join(by_sha, "sha", "left").join(by_pull, "pr_number", "left")
-    return joined.select(
-        "id", "judgment", "pass_tests",
-        F.coalesce("_f1", "_f2").alias("n_files"), F.coalesce("_m1", "_m2").alias("n_modules"),
-        (F.col("_f1").isNotNull() | F.col("_f2").isNotNull()).alias("matched"),
+    with_sha = judged.where(F.col("sha").isNotNull()).join(by_sha, ["repo", "sha"], "left")
+    without = judged.where(F.col("sha").isNull()).unionByName(with_sha.where(F.col("_row").isNull()).drop("_row"))
+    rows = with_sha.where(F.col("_row").isNotNull()).unionByName(without.join(by_pull, ["repo", "pr_number"], "left"))
+    return rows.select(
+        "id", "judgment", "pass_tests", F.col("_row.n_files").alias("n_files"), F.col("_row.n_modules").alias("n_modules"),
+        F.col("_row").isNotNull().alias("matched"),
     )
 
 

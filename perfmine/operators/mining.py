@@ -32,16 +32,22 @@ def eligible_repos(
     language: str = LANGUAGE,
 ) -> DataFrame:
     """FLT-01: language, not archived, stars and last push in range (ends included)."""
-    pushed = F.to_date("pushed_at")
     keep = (F.col("language") == language) & ~F.col("archived") & (F.col("stars") >= min_stars)
-    keep = keep & (pushed >= F.lit(since).cast("date"))
-    if until is not None:
-        keep = keep & (pushed <= F.lit(until).cast("date"))
+    keep = keep & _pushed_between(repos, since, until)
     if max_stars != NO_STAR_LIMIT:
         keep = keep & (F.col("stars") <= max_stars)
     return repos.where(keep)
 
 
+def _pushed_between(repos: DataFrame, since: str, until: str | None) -> Column:
+    """Pushed on a day from ``since`` to ``until``; compares the bare column, so that it reaches the scan."""
+    kind = repos.schema["pushed_at"].dataType
+    between = F.col("pushed_at") >= F.lit(since).cast(kind)
+    if until is not None:
+        between = between & (F.col("pushed_at") < F.date_add(F.lit(until).cast("date"), 1).cast(kind))
+    return between
+
+
 def by_stars(repos: DataFrame) -> DataFrame:
     """ST-02: most stars first, the name decides ties."""
     return repos.orderBy(F.col("stars").desc(), "full_name")
@@ -63,7 +69,7 @@ def in_push_windows(repos: DataFrame, since: str, until: str) -> DataFrame:
     day = F.to_date("pushed_at")
     first, last = F.lit(since).cast("date"), F.lit(until).cast("date")
     ends = F.filter(F.array(day, F.date_add(day, 1)), lambda e: (e >= first) & (e <= last))
-    return repos.where((day >= first) & (day <= last)).withColumn("window_end", F.explode(ends))
+    return repos.where(_pushed_between(repos, since, until)).withColumn("window_end", F.explode(ends))
 
 
 def newest_per_repo(windowed: DataFrame) -> DataFrame:
@@ -127,9 +133,17 @@ def with_files(commits: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def unseen(commits: DataFrame, dataset: DataFrame) -> DataFrame:
-    """FLT-09 / JN-14: commits neither repeated nor in the dataset."""
+    """FLT-09 / JN-14: commits not in the dataset, each sha once.
+
+    The dataset is keyed by repository and commit, but a commit seen in one
+    repository is not looked at again in a fork: of rows with one sha, that of
+    the first repository by name stays.
+    """
     known = dataset.select("repo", F.col("after_commit").alias("sha")).distinct()
-    return commits.dropDuplicates(["repo", "sha"]).join(known, ["repo", "sha"], "left_anti")
+    fresh = commits.join(known, ["repo", "sha"], "left_anti")
+    rest = [F.col(c) for c in commits.columns if c != "sha"]
+    first = fresh.groupBy("sha").agg(F.min_by(F.struct(*rest), "repo").alias("_row"))
+    return first.select(*[F.col("sha") if c == "sha" else F.col(f"_row.{c}").alias(c) for c in commits.columns])
 
 
 def real_issues(issues: DataFrame) -> DataFrame:
@@ -159,40 +173,13 @@ def is_confirmed(response: Column) -> Column:
     return F.contains(F.lower(F.trim(response)), F.lit("yes"))
 
 
-def with_verdicts(found: DataFrame, verdicts: DataFrame, on=("repo", "number")) -> DataFrame:
-    """JN-06: references with ``confirmed``; null where there is no answer yet."""
-    answers = verdicts.select(*on, is_confirmed(F.col("response")).alias("confirmed"))
-    return found.join(answers, list(on), "left")
-
-
-def confirmed_refs(found: DataFrame, verdicts: DataFrame, on=("repo", "number")) -> DataFrame:
-    """References whose answer is yes; those without an answer wait."""
-    yes = verdicts.where(is_confirmed(F.col("response"))).select(*on).distinct()
-    return found.join(yes, list(on), "left_semi")
-
-
-def confirmed_issues(issues: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Existing issues with a yes, as keys.
+def prompts(found: DataFrame, commits: DataFrame, issues: DataFrame) -> DataFrame:
+    """SC-21: the question of each reference to an existing issue, and its md5 key over all its parts.
 
-    Joining these unique keys first leaves one semi join for the references.
-    Two in a row on (repo, number) would share a shuffle, and AQE could then not
-    split an issue that very many commits name.
+    A question is about one commit and one issue: the message is part of it. So
+    one issue that very many commits name is many keys, and the joins on the key
+    that follow have nothing to be skewed by.
     """
-    return confirmed_refs(real_issues(issues).select("repo", "number").distinct(), verdicts)
-
-
-def naming_confirmed(found: DataFrame, issues: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """References to existing issues whose answer is yes."""
-    return found.join(confirmed_issues(issues, verdicts), ["repo", "number"], "left_semi")
-
-
-def to_judge(found: DataFrame, verdicts: DataFrame, on=("repo", "number")) -> DataFrame:
-    """JN-15: references without an answer, the work of the model adapter."""
-    return found.join(verdicts.select(*on).distinct(), list(on), "left_anti")
-
-
-def prompts(found: DataFrame, commits: DataFrame, issues: DataFrame) -> DataFrame:
-    """SC-21: one question per (commit, issue) and its md5 key over all its parts."""
     asked = found.join(real_issues(issues).select("repo", "number", "title", "body"), ["repo", "number"]).join(
         commits.select("repo", "sha", "message"), ["repo", "sha"]
     )
@@ -203,7 +190,27 @@ def prompts(found: DataFrame, commits: DataFrame, issues: DataFrame) -> DataFram
         F.lit("\nCommit message: "), F.coalesce("message", F.lit("")),
         F.lit("\nDoes the commit fix an issue about execution time? Answer yes or no; if unsure, no."),
     )
-    return asked.select("repo", "sha", "number", text.alias("prompt"), F.md5(text.cast("binary")).alias("prompt_hash"))
+    return asked.select(*found.columns, text.alias("prompt"), F.md5(text.cast("binary")).alias("prompt_hash"))
+
+
+def with_verdicts(asked: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """JN-06: questions with ``confirmed``; null where there is no answer yet.
+
+    ``verdicts`` holds one answer per ``prompt_hash``, as ``first_answers`` gives it.
+    """
+    answers = verdicts.select("prompt_hash", is_confirmed(F.col("response")).alias("confirmed"))
+    return asked.join(answers, "prompt_hash", "left")
+
+
+def confirmed_refs(asked: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Questions whose answer is yes; those without an answer wait."""
+    yes = verdicts.where(is_confirmed(F.col("response"))).select("prompt_hash").distinct()
+    return asked.join(yes, "prompt_hash", "left_semi")
+
+
+def to_judge(asked: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """JN-15: questions without an answer, the work of the model adapter."""
+    return asked.join(verdicts.select("prompt_hash").distinct(), "prompt_hash", "left_anti")
 
 
 def all_refs(commits: DataFrame, pulls: DataFrame, strict_repo: bool = False) -> DataFrame:

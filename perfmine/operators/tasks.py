@@ -35,14 +35,17 @@ def task_texts(commits: DataFrame, template: str) -> DataFrame:
     return commits.withColumn("task", text)
 
 
-def commit_diffs(files: DataFrame) -> DataFrame:
-    """SC-23: ``--- name`` and patch of every file of a commit, in order of ``position``.
+def diff_pieces(files: DataFrame) -> DataFrame:
+    """SC-23 as rows (sha, position, piece): ``--- name`` and patch of every file.
 
-    Files without a patch are skipped. The text is one cell, so the commits
-    should have passed the file limit.
+    Files without a patch are skipped. The diff of a commit is its pieces in
+    order of ``position``.
     """
-    pieces = files.where(F.coalesce(F.col("patch"), F.lit("")) != "").groupBy("sha").agg(
-        F.array_sort(F.collect_list(F.struct("position", "path", "patch"))).alias("_f")
-    )
-    text = F.transform("_f", lambda f: F.concat(F.lit("--- "), f["path"], F.lit("\n"), f["patch"], F.lit("\n")))
-    return pieces.select("sha", F.array_join(text, "").alias("diff"))
+    piece = F.concat(F.lit("--- "), "path", F.lit("\n"), "patch", F.lit("\n"))
+    return files.where(F.coalesce(F.col("patch"), F.lit("")) != "").select("sha", "position", piece.alias("piece"))
+
+
+def commit_diffs(files: DataFrame) -> DataFrame:
+    """SC-23 as one text per commit, for commits that have passed the file limit."""
+    pieces = diff_pieces(files).groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("position", "piece"))).alias("_p"))
+    return pieces.select("sha", F.array_join(F.transform("_p", lambda p: p["piece"]), "").alias("diff"))

@@ -49,15 +49,17 @@ def _candidates(host: Host, dataset: DataFrame, limits: dict) -> DataFrame:
 
 
 def mined_commits(host: Host, dataset: DataFrame, verdicts: DataFrame, **limits) -> DataFrame:
-    """Rows of (repo, sha, issue_number): commits that fix a confirmed issue."""
+    """Rows of (repo, sha, issue_number): commits that fix a confirmed issue.
+
+    ``verdicts`` holds the answers by ``prompt_hash``.
+    """
     commits = _candidates(host, dataset, limits)
-    found = mining.all_refs(commits, host.pulls)
-    return mining.chosen_issue(mining.naming_confirmed(found, host.issues, verdicts))
+    asked = mining.prompts(mining.all_refs(commits, host.pulls), commits, host.issues)
+    return mining.chosen_issue(mining.confirmed_refs(asked, verdicts))
 
 
 def pending_prompts(host: Host, dataset: DataFrame, verdicts: DataFrame, **limits) -> DataFrame:
     """Questions that still lack an answer; the side output of mining."""
     commits = _candidates(host, dataset, limits)
     found = mining.all_refs(commits, host.pulls).select("repo", "sha", "number").distinct()
-    open_issues = mining.to_judge(mining.real_issues(host.issues), verdicts)
-    return mining.prompts(found, commits, open_issues)
+    return mining.to_judge(mining.prompts(found, commits, host.issues), verdicts)

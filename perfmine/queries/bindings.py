@@ -13,6 +13,26 @@ _REPO = ("concat(replace(r_name, ' ', '-'), '/', replace(n_name, ' ', '_'), '-',
 _GEO = "join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"
 _VERSION = "case when l_linestatus = 'O' then 'original' else 'patched' end"
 
+_COMMITS = f"""
+select {_REPO} as repo, md5(cast(o_orderkey as string)) as sha, o_orderdate as committed_at,
+       case when o_orderstatus = 'P' then null else o_orderdate end as authored_at,
+       case o_orderpriority
+         when '1-URGENT' then concat('Fixes #', cast(o_orderkey % 11 + 1 as string), ', GH-', cast(o_orderkey % 7 as string), ' and bug #', cast(o_orderkey % 5 + 1 as string))
+         when '2-HIGH' then concat('Close: GH-', cast(o_orderkey % 11 + 1 as string), ' and #', cast(o_orderkey % 13 as string), '; prefix #3')
+         when '3-MEDIUM' then concat('HAL-', cast(o_orderkey % 11 + 1 as string), ': tune path, see [abc-', cast(o_orderkey % 3 + 1 as string), '] and utf-8, too')
+         when '5-LOW' then concat('Resolves https://github.com/', upper({_REPO}), '/issues/', cast(o_orderkey % 11 + 1 as string), ' or other/repo#', cast(o_orderkey % 4 + 1 as string))
+         else concat('Merge other/repo#', cast(o_orderkey % 11 + 1 as string), ' hotfix #2') end as message
+from orders join customer on o_custkey = c_custkey {_GEO}"""
+_ISSUES = f"""
+select {_REPO} as repo, o_orderkey % 9 + 1 as number, max(o_totalprice) > 400000 as is_pull_request,
+       min(o_orderpriority) as title, case when min(o_orderstatus) = 'F' then null else concat('about ', min(o_orderstatus)) end as body
+from orders join customer on o_custkey = c_custkey {_GEO}
+group by 1, 2"""
+#: The question about commit c and issue i.
+PROMPT = """concat('Repository: ', c.repo, chr(10), 'Issue title: ', coalesce(i.title, ''), chr(10), 'Issue text: ', coalesce(i.body, ''),
+  chr(10), 'Commit message: ', coalesce(c.message, ''), chr(10),
+  'Does the commit fix an issue about execution time? Answer yes or no; if unsure, no.')"""
+
 BINDINGS: dict[str, str] = {
     "b_repos": f"""
 select c_custkey as repo_id, {_REPO} as full_name,
@@ -26,16 +46,7 @@ select {_REPO} as repo, case when n_nationkey % 3 <> 2 then 'mvnw' else 'gradlew
 from customer {_GEO}
 union all
 select {_REPO} as repo, 'sub/mvnw' as path from customer {_GEO}""",
-    "b_commits": f"""
-select {_REPO} as repo, md5(cast(o_orderkey as string)) as sha, o_orderdate as committed_at,
-       case when o_orderstatus = 'P' then null else o_orderdate end as authored_at,
-       case o_orderpriority
-         when '1-URGENT' then concat('Fixes #', cast(o_orderkey % 11 + 1 as string), ', GH-', cast(o_orderkey % 7 as string), ' and bug #', cast(o_orderkey % 5 + 1 as string))
-         when '2-HIGH' then concat('Close: GH-', cast(o_orderkey % 11 + 1 as string), ' and #', cast(o_orderkey % 13 as string), '; prefix #3')
-         when '3-MEDIUM' then concat('HAL-', cast(o_orderkey % 11 + 1 as string), ': tune path, see [abc-', cast(o_orderkey % 3 + 1 as string), '] and utf-8, too')
-         when '5-LOW' then concat('Resolves https://github.com/', upper({_REPO}), '/issues/', cast(o_orderkey % 11 + 1 as string), ' or other/repo#', cast(o_orderkey % 4 + 1 as string))
-         else concat('Merge other/repo#', cast(o_orderkey % 11 + 1 as string), ' hotfix #2') end as message
-from orders join customer on o_custkey = c_custkey {_GEO}""",
+    "b_commits": _COMMITS,
     "b_commit_files": """
 select distinct md5(cast(l_orderkey as string)) as sha,
        case when l_linenumber = 2 then 'R100' when l_linenumber = 3 then 'D' when l_linenumber = 1 then 'A' else 'M' end as status,
@@ -44,11 +55,7 @@ select distinct md5(cast(l_orderkey as string)) as sha,
               '/java/p', cast(l_partkey % 50 as string), '/C', cast(l_partkey as string),
               case when l_linenumber = 7 then '.xml' else '.java' end) as path
 from lineitem""",
-    "b_issues": f"""
-select {_REPO} as repo, o_orderkey % 9 + 1 as number, max(o_totalprice) > 400000 as is_pull_request,
-       min(o_orderpriority) as title, case when min(o_orderstatus) = 'F' then null else concat('about ', min(o_orderstatus)) end as body
-from orders join customer on o_custkey = c_custkey {_GEO}
-group by 1, 2""",
+    "b_issues": _ISSUES,
     "b_pulls": f"""
 select {_REPO} as repo, md5(cast(o_orderkey as string)) as sha, o_orderkey * 2 as pr_number,
        md5(concat('b', cast(o_orderkey as string))) as base_sha, md5(cast(o_orderkey as string)) as head_sha,
@@ -61,12 +68,13 @@ select {_REPO} as repo, md5(cast(o_orderkey as string)) as sha, o_orderkey * 2 +
        'chore' as title, concat('closes #', cast(o_orderkey % 8 + 1 as string)) as body
 from orders join customer on o_custkey = c_custkey {_GEO}
 where o_orderstatus = 'P'""",
-    # one answer per issue; issues titled URGENT have no answer yet (cache miss)
+    # answers by question: they differ between commits that name one issue, and every fourth is missing
     "b_judgements": f"""
-select repo, number, case when number % 3 = 0 then 'Yes' when number % 3 = 1 then ' no' else 'No.' end as response
-from (select {_REPO} as repo, o_orderkey % 9 + 1 as number, min(o_orderpriority) as title
-      from orders join customer on o_custkey = c_custkey {_GEO} group by 1, 2) t
-where title <> '1-URGENT' or number = 9""",
+select md5({PROMPT}) as prompt_hash,
+       min(case when (o_orderkey + i.number) % 3 = 0 then 'Yes' when (o_orderkey + i.number) % 3 = 1 then ' no' else 'no.' end) as response
+from (select o_orderkey, c.repo, c.message from orders join ({_COMMITS}) c on c.sha = md5(cast(o_orderkey as string))) c
+join ({_ISSUES}) i on i.repo = c.repo
+where (o_orderkey + i.number) % 4 <> 0 and not i.is_pull_request group by 1""",
     "b_runs": f"""
 select l_suppkey as commit_id, concat('org.x.T', cast(l_partkey % 2 as string)) as test_class,
        {_VERSION} as version, l_orderkey % 31 + 1 as run_no,
@@ -180,13 +188,13 @@ select c_custkey as repo_id, 'pom.xml' as path,
             when c_nationkey % 4 = 1 then concat('<project><properties><v>', cast(c_custkey % 9 + 9 as string), '</v><java.version>$', '{v}</java.version></properties></project>')
             when c_nationkey % 4 = 2 then '<project><build><plugins><plugin><artifactId>maven-compiler-plugin</artifactId><configuration><target>13</target></configuration></plugin></plugins></build></project>'
             else '<project><name>x</name>' end as content
-from customer
+from customer where c_custkey % 10 <> 7
 union all
-select c_custkey as repo_id, '.mvn/jvm.config' as path, '-Xmx1g --target 11 --release=21' as content from customer where c_mktsegment = 'BUILDING'
+select c_custkey as repo_id, '.mvn/jvm.config' as path, '-Xmx1g --target 11 --release=21' as content from customer where c_mktsegment = 'BUILDING' and c_custkey % 20 <> 7
 union all
 select c_custkey as repo_id, '.java-version' as path, 'temurin-17.0.9' as content from customer where c_mktsegment = 'MACHINERY'
 union all
-select c_custkey as repo_id, '.sdkmanrc' as path, concat('# sdk', chr(10), 'java=19.0.1-tem') as content from customer where c_mktsegment = 'FURNITURE'""",
+select c_custkey as repo_id, '.sdkmanrc' as path, concat('# sdk', chr(10), 'java=', case when c_custkey % 2 = 0 then concat(chr(9), '1.8') else '19.0.1-tem' end) as content from customer where c_mktsegment = 'FURNITURE'""",
 }
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "

@@ -22,13 +22,13 @@ from_pom as (
 
 
 @query("sc_13_java_versions", oracle=f"""with {_PARSED}
-select p.repo_id, case when j.repo_id is not null then '21' when p.declared is not null then p.declared when p.plugin is not null then p.plugin
-                       when f.repo_id is not null then '17' when s.repo_id is not null then '19' else '24' end as java_version
-from from_pom p left join b_build_files j on j.repo_id = p.repo_id and j.path = '.mvn/jvm.config'
-left join b_build_files f on f.repo_id = p.repo_id and f.path = '.java-version'
-left join b_build_files s on s.repo_id = p.repo_id and s.path = '.sdkmanrc'""")
+select r.repo_id, case when j.repo_id is not null then '21' when p.declared is not null then p.declared when p.plugin is not null then p.plugin
+                       when f.repo_id is not null then '17' when s.repo_id is not null then case when r.repo_id % 2 = 0 then '8' else '19' end else '24' end as java_version
+from (select distinct c_custkey as repo_id from customer) r left join from_pom p on p.repo_id = r.repo_id left join b_build_files j on j.repo_id = r.repo_id and j.path = '.mvn/jvm.config'
+left join b_build_files f on f.repo_id = r.repo_id and f.path = '.java-version'
+left join b_build_files s on s.repo_id = r.repo_id and s.path = '.sdkmanrc'""")
 def _(t):
-    return b.java_versions(t.bind("b_build_files"))
+    return b.java_versions(t.table("customer").select(F.col("c_custkey").alias("repo_id")), t.bind("b_build_files"))
 
 
 def _poms(t):

@@ -145,13 +145,19 @@ def _(t):
     return _modules(t).groupBy("module").agg(F.count("*").alias("n_files"))
 
 
-@query("ag_24_modules_and_files", oracle=f"""with {_MODULES},
+@query("ag_24_modules_and_files", oracle=f"""with {_MODULES}
+select distinct sha, 'module' as kind, module as name from assigned union all select distinct sha, 'file', path from assigned""")
+def _(t):
+    return c.module_and_file_rows(_modules(t))
+
+
+@query("ag_24_lists_within_the_file_limit", oracle=f"""with {_MODULES},
 fitting as (select sha from b_commit_files group by sha having count(*) <= 20)
 select sha, string_agg(distinct module, '|' order by module) as modules, string_agg(distinct path, '|' order by path) as files
 from assigned semi join fitting using (sha) group by sha""")
 def _(t):
-    files = t.bind("b_commit_files")
-    small = mining.files_of_small_commits(files).select("sha", "path").distinct()
+    # one cell per commit: only for what FLT-04 lets through, as in the mining plan
+    small = mining.files_of_small_commits(t.bind("b_commit_files")).select("sha", "path").distinct()
     lists = c.modules_and_files(c.nearest_modules(small, t.bind("b_poms")))
     return lists.select(
         "sha", F.array_join("modified_modules", "|").alias("modules"), F.array_join("changed_files", "|").alias("files")

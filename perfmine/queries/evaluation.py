@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from perfmine.functions import links
+from perfmine.functions import links, paths
 from perfmine.operators import changes, evaluation as e, measurement, mining, tasks
+from perfmine.queries.changes import _MODULES
 from perfmine.queries.measurement import _OUTCOMES
 from perfmine.queries.registry import query
 from perfmine.session import scratch_path
@@ -42,28 +43,35 @@ def _(t):
     return results.read_evaluations(t.spark, path).select("commit_id", "patch_applicable", "compile_success", "test_success")
 
 
+# pull request numbers are those of a repository: 7 numbers occur in several, with several commits each
 _MATCHED = """
-shape as (select o_orderkey, count(*) as n_files, count(distinct l_suppkey % 2) as n_modules
-          from lineitem join orders on l_orderkey = o_orderkey where o_orderstatus <> 'F' group by all),
-by_sha as (select md5(cast(o_orderkey as varchar)) as sha, n_files, n_modules from shape where n_files <= 3),
-by_pull as (select o_orderkey * 2 as pr_number, n_files, n_modules from shape where n_files > 3),
+dataset as (
+  select concat('o/r', cast(o_orderkey % 3 as varchar)) as repo, md5(cast(o_orderkey as varchar)) as after_commit, o_orderkey % 499 as pr_number,
+         count(*) as n_files, count(distinct l_suppkey % 2) as n_modules
+  from lineitem join orders on l_orderkey = o_orderkey where o_orderstatus <> 'F' group by o_orderkey
+),
+judged as (select *, concat('o/r', cast(id % 3 as varchar)) as repo, id % 499 as pull from b_judged_patches),
+by_pull as (select repo, pr_number, arg_min(n_files, after_commit) as n_files, arg_min(n_modules, after_commit) as n_modules from dataset group by all),
 matched as (
   select j.id, j.judgment, j.pass_tests, coalesce(s.n_files, p.n_files) as n_files, coalesce(s.n_modules, p.n_modules) as n_modules,
-         s.sha is not null or p.pr_number is not null as matched
-  from b_judged_patches j left join by_sha s on s.sha = j.sha left join by_pull p on p.pr_number = j.pr_number
+         s.after_commit is not null or p.pr_number is not null as matched
+  from judged j left join dataset s on s.repo = j.repo and s.after_commit = j.sha
+  left join by_pull p on p.repo = j.repo and p.pr_number = j.pull and s.after_commit is null
 )"""
 
 
 def _matched(t):
     orders = t.table("orders").where("o_orderstatus <> 'F'").select("o_orderkey")
-    shape = t.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(
+    key = F.col("o_orderkey")
+    shape = t.table("lineitem").join(orders, F.col("l_orderkey") == key).groupBy(key).agg(
         F.count("*").alias("n_files"), F.countDistinct(F.col("l_suppkey") % 2).alias("n_modules")
     )
-    sha = F.when(F.col("n_files") <= 3, F.md5(F.col("o_orderkey").cast("string").cast("binary")))
+    repo = lambda n: F.concat(F.lit("o/r"), (n % 3).cast("string")).alias("repo")
     dataset = shape.select(
-        sha.alias("after_commit"), F.when(F.col("n_files") > 3, F.col("o_orderkey") * 2).alias("pr_number"), "n_files", "n_modules"
+        repo(key), F.md5(key.cast("string").cast("binary")).alias("after_commit"), (key % 499).alias("pr_number"), "n_files", "n_modules"
     )
-    return e.with_dataset(t.bind("b_judged_patches").drop("n_files", "n_modules"), dataset)
+    judged = t.bind("b_judged_patches").select("id", "judgment", "pass_tests", "sha", repo(F.col("id")), (F.col("id") % 499).alias("pr_number"))
+    return e.with_dataset(judged, dataset)
 
 
 @query("jn_12_judged_with_dataset", oracle=f"with {_MATCHED} select * from matched")
@@ -196,11 +204,13 @@ def _(t):
 
 # --- texts ---------------------------------------------------------------------------
 
-_TASKS = """
+# in-place Java sources with a module, of commits of any size
+_TASKS = _MODULES + """,
 chosen as (select c.repo, c.sha, i.number, i.title, i.body from b_commits c
            join (select repo, min(number) as number, arg_min_null(title, number) as title, arg_min_null(body, number) as body from b_issues group by repo) i on i.repo = c.repo),
-fitting as (select sha, string_agg(distinct split_part(path, '/', 1), ',' order by split_part(path, '/', 1)) as modules, string_agg(distinct path, chr(10) order by path) as files
-            from b_commit_files group by sha having count(*) <= 20)"""
+fitting as (select sha, string_agg(distinct module, ',' order by module) as modules, string_agg(distinct path, chr(10) order by path) as files
+            from assigned semi join (select sha, path from b_commit_files where status = 'M' and lower(path) like '%.java'
+              and not contains(lower(path), 'test') and not contains(lower(path), 'generated')) q using (sha, path) group by sha)"""
 
 
 def _task_sql(kind: str) -> str:
@@ -216,8 +226,9 @@ def _task_sql(kind: str) -> str:
 
 def _tasks(t, kind: str):
     files = t.bind("b_commit_files")
-    small = mining.files_of_small_commits(files)
-    lists = changes.modules_and_files(small.select("sha", "path", F.split("path", "/")[0].alias("module")))
+    records = files.withColumn("record", paths.change_record(F.col("status"), F.col("path"), F.concat("path", F.lit("2"))))
+    sources = changes.java_sources(changes.changed_in_place(records)).select("sha", "path").distinct()
+    lists = changes.modules_and_files(changes.nearest_modules(sources, t.bind("b_poms")))
     issue = t.bind("b_issues").groupBy("repo").agg(F.min_by(F.struct("title", "body"), "number").alias("i")).select("repo", "i.*")
     commits = t.bind("b_commits").select("repo", "sha").join(issue, "repo").join(lists, "sha")
     return tasks.task_texts(commits, tasks.TEMPLATES[kind]).select("sha", "task")
@@ -233,12 +244,21 @@ def _(t):
     return _tasks(t, "test")
 
 
+def _patches(files):
+    patch = F.when(~F.col("path").endswith(".xml"), F.concat(F.lit("@@ "), "status"))
+    return files.select("sha", F.struct("path", "status").alias("position"), "path", patch.alias("patch"))
+
+
+@query("sc_23_diff_pieces", oracle="""
+select sha, path, status, concat('--- ', path, chr(10), '@@ ', status, chr(10)) as piece from b_commit_files where path not like '%.xml'""")
+def _(t):
+    return tasks.diff_pieces(_patches(t.bind("b_commit_files"))).select("sha", "position.*", "piece")
+
+
 @query("sc_23_commit_diffs", oracle="""
 with fitting as (select sha from b_commit_files group by sha having count(*) <= 20)
 select sha, string_agg(concat('--- ', path, chr(10), '@@ ', status, chr(10)), '' order by path, status) as diff
 from b_commit_files semi join fitting using (sha) where path not like '%.xml' group by sha""")
 def _(t):
-    files = t.bind("b_commit_files")
-    small = mining.files_of_small_commits(files)
-    patch = F.when(~F.col("path").endswith(".xml"), F.concat(F.lit("@@ "), "status"))
-    return tasks.commit_diffs(small.select("sha", F.struct("path", "status").alias("position"), "path", patch.alias("patch")))
+    # one cell per commit: only for what FLT-04 lets through, as in the mining plan
+    return tasks.commit_diffs(_patches(mining.files_of_small_commits(t.bind("b_commit_files"))))

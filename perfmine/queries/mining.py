@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from perfmine.functions import refs
 from perfmine.operators import mining as m
 from perfmine.plans import mining as plan
+from perfmine.queries.bindings import PROMPT
 from perfmine.queries.registry import query
 
+# fixed values: verbs and forms of references
 _FORMS = r"(?:#\d+|GH-\d+|issue\s*#\d+|bug\s*#\d+|[\w.-]+/[\w.-]+#\d+|https?://github\.com/[\w.-]+/[\w.-]+/issues/\d+)"
 _BLOCK = (
     r"(?i)(?:^|[^A-Za-z])(?:fix|fixes|fixed|close|closes|closed|resolve|resolves|resolved|address|addresses|addressed)"
@@ -55,16 +57,19 @@ pull_text as (select *, concat(coalesce(title, ''), chr(10), coalesce(body, ''))
 pull_refs as (
   {_closing('pull_text', 'repo, sha, pr_number', 't')} union {_project('pull_text', 'repo, sha, pr_number', 't')}
 )"""
-_ALL = _MESSAGE + "," + _PULL + """,
+_ALL = _MESSAGE + "," + _PULL + f""",
 all_refs as (
   select r.* from (
     select repo, sha, number, 0 as source_rank, cast(null as bigint) as pr_number from message_refs
     union all select repo, sha, number, 1 as source_rank, pr_number from pull_refs) r
   where exists (select 1 from b_issues i where i.repo = r.repo and i.number = r.number and not i.is_pull_request)
 ),
+asked as (
+  select r.*, md5({PROMPT}) as prompt_hash from all_refs r
+  join b_issues i on r.repo = i.repo and r.number = i.number join b_commits c on c.repo = r.repo and c.sha = r.sha
+),
 confirmed as (
-  select r.* from all_refs r join b_judgements j on r.repo = j.repo and r.number = j.number
-  where contains(lower(trim(j.response)), 'yes')
+  select a.* exclude (prompt_hash) from asked a join b_judgements j using (prompt_hash) where contains(lower(trim(j.response)), 'yes')
 )"""
 
 
@@ -72,8 +77,12 @@ def _found(t):
     return m.all_refs(t.bind("b_commits"), t.bind("b_pulls"))
 
 
+def _asked(t):
+    return m.prompts(_found(t), t.bind("b_commits"), t.bind("b_issues"))
+
+
 def _confirmed(t):
-    return m.naming_confirmed(_found(t), t.bind("b_issues"), t.bind("b_judgements"))
+    return m.confirmed_refs(_asked(t), t.bind("b_judgements"))
 
 
 @query("flt_01_repo_eligible", oracle="""
@@ -112,22 +121,29 @@ def _(t):
 
 
 _NEWER = "select repo, after_commit from b_dataset where exec_status is not null"
+# every third commit also lies in a fork, whose name may come before or after
+_FORKED = """(select repo, sha, message from b_commits union all
+  select case when sha < '8' then 'a/fork' else 'zz/fork' end, sha, message from b_commits where ascii(sha) % 3 = 0)"""
 
 
 @query("flt_09_unseen_commits", oracle=f"""
-select distinct repo, sha from (select * from b_commits union all select * from b_commits) c
-where not exists (select 1 from ({_NEWER}) d where d.repo = c.repo and d.after_commit = c.sha)""")
+select min(repo) as repo, sha from {_FORKED} c
+where not exists (select 1 from ({_NEWER}) d where d.repo = c.repo and d.after_commit = c.sha) group by sha""")
 def _(t):
-    commits = t.bind("b_commits")
-    dataset = t.bind("b_dataset").where("exec_status is not null")
-    return m.unseen(commits.unionAll(commits), dataset).select("repo", "sha")
+    return m.unseen(_forked(t), t.bind("b_dataset").where("exec_status is not null")).select("repo", "sha")
 
 
 @query("jn_14_not_in_dataset", oracle=f"""
-select sha, message from b_commits c
-where not exists (select 1 from ({_NEWER}) d where d.repo = c.repo and d.after_commit = c.sha)""")
+select sha, arg_min(message, repo) as message from {_FORKED} c
+where not exists (select 1 from ({_NEWER}) d where d.repo = c.repo and d.after_commit = c.sha) group by sha""")
 def _(t):
-    return m.unseen(t.bind("b_commits"), t.bind("b_dataset").where("exec_status is not null")).select("sha", "message")
+    return m.unseen(_forked(t), t.bind("b_dataset").where("exec_status is not null")).select("sha", "message")
+
+
+def _forked(t):
+    commits = t.bind("b_commits").select("repo", "sha", "message")
+    fork = F.when(F.col("sha") < "8", F.lit("a/fork")).otherwise(F.lit("zz/fork"))
+    return commits.unionByName(commits.where(F.ascii("sha") % 3 == 0).withColumn("repo", fork))
 
 
 @query("flt_21_real_issues", oracle="select repo, number, title from b_issues where not is_pull_request")
@@ -154,23 +170,29 @@ def _(t):
     return t.bind("b_commits").select("repo", "sha", F.explode(refs.project_refs(F.col("message"))).alias("number"))
 
 
-@query("sc_20_verdict", oracle="select repo, number, contains(lower(trim(response)), 'yes') as confirmed from b_judgements")
+@query("sc_20_verdict", oracle="select prompt_hash, contains(lower(trim(response)), 'yes') as confirmed from b_judgements")
 def _(t):
-    return t.bind("b_judgements").select("repo", "number", m.is_confirmed(F.col("response")).alias("confirmed"))
+    return t.bind("b_judgements").select("prompt_hash", m.is_confirmed(F.col("response")).alias("confirmed"))
 
 
-@query("sc_21_prompts", oracle=f"""with {_MESSAGE}
-select r.repo, r.sha, r.number,
-       md5(concat('Repository: ', r.repo, chr(10), 'Issue title: ', coalesce(i.title, ''), chr(10), 'Issue text: ', coalesce(i.body, ''),
-                  chr(10), 'Commit message: ', coalesce(c.message, ''), chr(10),
-                  'Does the commit fix an issue about execution time? Answer yes or no; if unsure, no.')) as prompt_hash
-from message_refs r join b_issues i on r.repo = i.repo and r.number = i.number and not i.is_pull_request
-join b_commits c on c.repo = r.repo and c.sha = r.sha""")
-def _(t):
+_QUESTIONS = f"""{_MESSAGE},
+questions as (
+  select r.repo, r.sha, r.number, md5({PROMPT}) as prompt_hash
+  from message_refs r join b_issues i on r.repo = i.repo and r.number = i.number and not i.is_pull_request
+  join b_commits c on c.repo = r.repo and c.sha = r.sha
+)"""
+
+
+def _questions(t):
     commits = t.bind("b_commits")
     return m.prompts(m.message_refs(commits), commits, t.bind("b_issues")).drop("prompt")
 
 
+@query("sc_21_prompts", oracle=f"with {_QUESTIONS} select * from questions")
+def _(t):
+    return _questions(t)
+
+
 @query("sc_26_commit_year", oracle="select sha, year(coalesce(authored_at, committed_at)) as commit_year from b_commits")
 def _(t):
     return m.commit_year(t.bind("b_commits")).select("sha", "commit_year")
@@ -201,18 +223,18 @@ def _(t):
     return m.existing(_found(t), t.bind("b_issues"))
 
 
-@query("jn_06_refs_with_verdicts", oracle=f"""with {_MESSAGE}
-select r.repo, r.sha, r.number, contains(lower(trim(j.response)), 'yes') as confirmed
-from message_refs r left join b_judgements j on r.repo = j.repo and r.number = j.number""")
+@query("jn_06_refs_with_verdicts", oracle=f"""with {_QUESTIONS}
+select q.repo, q.sha, q.number, contains(lower(trim(j.response)), 'yes') as confirmed
+from questions q left join b_judgements j using (prompt_hash)""")
 def _(t):
-    return m.with_verdicts(m.message_refs(t.bind("b_commits")), t.bind("b_judgements"))
+    return m.with_verdicts(_questions(t), t.bind("b_judgements")).drop("prompt_hash")
 
 
 @query("jn_15_to_judge", oracle=f"""with {_ALL}
-select repo, sha, number, source_rank, pr_number from all_refs r
-where not exists (select 1 from b_judgements j where r.repo = j.repo and r.number = j.number)""")
+select repo, sha, number, source_rank, pr_number from asked a
+where not exists (select 1 from b_judgements j where j.prompt_hash = a.prompt_hash)""")
 def _(t):
-    return m.existing(_found(t), m.to_judge(t.bind("b_issues"), t.bind("b_judgements")))
+    return m.to_judge(_asked(t), t.bind("b_judgements")).drop("prompt", "prompt_hash")
 
 
 @query("jn_13_push_windows", oracle="""
@@ -311,8 +333,8 @@ def _(t):
 
 
 @query("e1_pending_prompts", oracle=f"""with {_CANDIDATES}
-select distinct r.repo, r.sha, r.number from all_refs r join candidates c using (repo, sha)
-where not exists (select 1 from b_judgements j where r.repo = j.repo and r.number = j.number)""")
+select distinct r.repo, r.sha, r.number from asked r join candidates c using (repo, sha)
+where not exists (select 1 from b_judgements j where r.prompt_hash = j.prompt_hash)""")
 def _(t):
     known = t.bind("b_dataset").where("exec_status = 'docker_image_built'")
     found = plan.pending_prompts(_host(t), known, t.bind("b_judgements"), since="1996-01-01")

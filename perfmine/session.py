@@ -68,14 +68,3 @@ def staged(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(scan):
-    """A file scan with at least one task per core.
-
-    An input of very few splits would leave the text work on it to as many
-    cores. A large input has more splits than cores and stays as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
-    return scan if splits >= cores else scan.repartition(cores)
