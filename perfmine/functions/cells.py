@@ -30,36 +30,43 @@ def _unwrap(text: Column) -> Column:
 
     def step(rest: Column, _: Column) -> Column:
         listed = F.concat(F.lit("["), rest, F.lit("]"))
-        return F.get(F.from_json(listed, "array<string>", _JSON), F.lit(0))
+        values = F.from_json(listed, "array<string>", _JSON)
+        return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(_UNWRAPS)), text, step)
 
 
 def _shaped(text: Column, kind: T.DataType) -> Column:
+    """The JSON value that is the whole text; null if anything follows it."""
     opening = "{" if isinstance(kind, T.MapType) else "["
-    return F.when(F.ltrim(text).startswith(opening), F.from_json(text, kind, {**_JSON, "mode": "PERMISSIVE"}))
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(kind), {**_JSON, "mode": "PERMISSIVE"})
+    return F.when(F.ltrim(text).startswith(opening) & (F.size(listed) == 1), F.get(listed, F.lit(0)))
 
 
-def _literal_to_json(rounds: int):
-    """A pandas UDF that turns Python literals into JSON; the rest is null.
+def _literal_to_json(rounds: int, kind: T.DataType):
+    """A pandas UDF that turns the first Python literal of a type among some texts into JSON; else null.
 
     The function is local, so it travels to the workers by value: they need not
-    have this package installed.
+    have this package installed. No text can fail the job.
     """
+    wanted = dict if isinstance(kind, T.MapType) else list
 
     def convert(text):
-        for _ in range(rounds):
-            try:
+        try:
+            for _ in range(rounds):
                 value = ast.literal_eval(text.strip())
-            except (ValueError, SyntaxError, MemoryError, RecursionError):
-                return None
-            if not isinstance(value, str):
-                return json.dumps(value) if isinstance(value, (list, dict)) else None
-            text = value
+                if not isinstance(value, str):
+                    return json.dumps(value) if isinstance(value, wanted) else None
+                text = value
+        except (ValueError, TypeError, SyntaxError, MemoryError, RecursionError):
+            pass
         return None
 
-    def fallback(texts: pd.Series) -> pd.Series:
-        return texts.map(convert, na_action="ignore")
+    def first(texts):
+        return None if texts is None else next((v for v in (convert(t) for t in texts if t is not None) if v is not None), None)
+
+    def fallback(candidates: pd.Series) -> pd.Series:
+        return candidates.map(first)
 
     return F.pandas_udf(fallback, "string")
 
@@ -68,22 +75,23 @@ def decode_cell(cell: Column, kind: T.DataType, python_literals: bool = True) ->
     """A list or map written as JSON, over-quoted JSON, or a Python literal.
 
     Built-in JSON parsing does the work. Only cells it leaves null are handed to
-    the Python fallback, and only where it is asked for. A cell of another type
-    is null.
+    the Python fallback, in all their forms, and only where it is asked for. A
+    cell of another type, or with text after its value, is null.
     """
     raw = F.trim(cell)
     texts = F.array(
+        raw,
         _peel(raw),
         _peel(F.replace(raw, F.lit('""'), F.lit('"'))),
         _peel(F.replace(raw, F.lit('\\"'), F.lit('"'))),
         _peel(F.rtrim(raw, F.lit('"'))),
     )
     # well-formed cells are read at once; the rest tries its forms in order
-    tried = F.transform(F.concat(F.array(raw), texts), lambda t: F.coalesce(_shaped(t, kind), _shaped(_unwrap(t), kind)))
+    tried = F.transform(texts, lambda t: F.coalesce(_shaped(t, kind), _shaped(_unwrap(t), kind)))
     found = F.coalesce(_shaped(raw, kind), F.get(F.filter(tried, lambda v: v.isNotNull()), F.lit(0)))
     if not python_literals:
         return found
-    fallback = _literal_to_json(_UNWRAPS + 1)(F.when(found.isNull(), F.get(texts, F.lit(0))))
+    fallback = _literal_to_json(_UNWRAPS + 1, kind)(F.when(found.isNull() & cell.isNotNull(), texts))
     return F.coalesce(found, _shaped(fallback, kind))
 
 

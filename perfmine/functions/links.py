@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from perfmine.functions.text import stripped
+
 COMMIT_LINK = r"https?://[^/\s]+/([^/\s]+)/([^/\s]+)/commit/([^/\s,]+)"
 PULL_LINK = r"https?://[^/\s]+/([^/\s]+)/([^/\s]+)/pull/(\d+)(?:/changes)?"
 PATH_KEY = r"^(.+?)__(.+)_([0-9a-f]{7,40})$"
@@ -55,4 +57,4 @@ def decode_path_key(key: Column) -> Column:
 
 def commit_key(repo: Column, sha: Column) -> Column:
     """``repo@sha`` of the trimmed parts."""
-    return F.concat(F.trim(repo), F.lit("@"), F.trim(sha))
+    return F.concat(stripped(repo), F.lit("@"), stripped(sha))

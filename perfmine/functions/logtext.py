@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from perfmine.functions.text import stripped
+
 # The formats of the build tool's output.
 TEST_LINE = r"\[INFO\] Tests run:.*?Time elapsed:\s+([\d.]+)\s+(ms|s|min|h)\s+-+\s+in\s+(.+)"
 UNIT_SECONDS = {"ms": 0.001, "s": 1.0, "min": 60.0, "h": 3600.0}
@@ -19,11 +21,14 @@ COMPILE_ERROR_LINES = (
 )
 GOAL_FAILED = r"(?is)Failed to execute goal .*maven-compiler-plugin.*:(compile|testCompile)\b"
 COMPILATION_FAILURE = r"(?i)\bCompilation failure\b"
+# The mark in front of an error message, and a line that is nothing but the mark.
+ERROR_MARK = r"^\[ERROR\]\s+"
+BARE_ERROR = r"(?i)^\[ERROR\]\s*$"
 TOTAL_TIME = r"(?i)Total time:\s+([^\n\r]+)"
 
 
 def test_class(line: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(line, TEST_LINE, 3)), F.lit(""))
+    return F.nullif(stripped(F.regexp_extract(line, TEST_LINE, 3)), F.lit(""))
 
 
 def test_seconds(line: Column) -> Column:
@@ -38,22 +43,6 @@ def test_seconds(line: Column) -> Column:
     )
 
 
-def build_succeeded(text: Column) -> Column:
-    """Success is reported and no failure is, over one whole log."""
-    failed = F.lit(False)
-    for mark in FAILURE_TEXTS:
-        failed = failed | F.contains(text, F.lit(mark))
-    return F.contains(text, F.lit(SUCCESS_TEXT)) & ~failed
-
-
-def compile_failed(text: Column) -> Column:
-    """A compile-time failure, over one whole log."""
-    hit = F.lit(False)
-    for pattern in COMPILE_ERROR_LINES:
-        hit = hit | text.rlike(pattern.replace("(?im)", "(?imd)"))
-    return hit | (text.rlike(GOAL_FAILED) & text.rlike(COMPILATION_FAILURE))
-
-
 def total_time_text(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, TOTAL_TIME, 1)), F.lit(""))
 

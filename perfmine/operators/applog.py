@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfmine.functions import links, logtext, scan
+from perfmine.functions.text import stripped
 from perfmine.session import staged
 
 # The marks of the log format.
@@ -29,7 +30,7 @@ def found_commits(lines: DataFrame, keys=("file_no",), position: str = "line_no"
     are chunked scans. Only the lines a link still shows are joined to it.
     """
     keys = list(keys)
-    text = F.trim("line")
+    text = stripped(F.col("line"))
     is_info = F.contains(text, F.lit(INFO_MARK))
     is_link = ~is_info & F.contains(text, F.lit("https://")) & F.contains(text, F.lit("/commit/"))
     piece = F.when(is_info, F.coalesce(F.get(F.split(text, INFO_SPLIT), F.lit(1)), F.lit(""))).when(
@@ -123,7 +124,7 @@ def found_counts(found: DataFrame) -> DataFrame:
 
 def commit_times(lines: DataFrame) -> DataFrame:
     """AG-19: first time and first result time per commit, over the files in order."""
-    words = F.split(F.trim("line"), " ")
+    words = F.split(stripped(F.col("line")), " ")
     at = F.struct("file_no", "line_no")
     rows = lines.select(
         "file_no", "line_no", F.get(words, F.lit(5)).alias("commit"), F.get(words, F.lit(0)).alias("time"),

@@ -50,7 +50,7 @@ def pom_fields(content: Column) -> Column:
 
 def properties_of(pom: Column) -> Column:
     """Trimmed properties that have text."""
-    trimmed = F.transform_values(pom["properties"], lambda _, v: F.trim(v))
+    trimmed = F.transform_values(pom["properties"], lambda _, v: stripped(v))
     kept = F.map_filter(trimmed, lambda _, v: v.isNotNull() & (v != ""))
     return F.coalesce(kept, F.create_map().cast("map<string,string>"))
 
@@ -67,12 +67,12 @@ def version_of_plugin(pom: Column, properties: Column) -> Column:
     """The first compiler plugin setting that gives a version."""
     plugins = F.filter(
         pom["build"]["plugins"]["plugin"],
-        lambda p: (F.trim(p["artifactId"]) == PLUGIN)
-        & F.trim(F.coalesce(p["groupId"], F.lit(PLUGIN_GROUP))).endswith("maven.plugins"),
+        lambda p: (stripped(p["artifactId"]) == PLUGIN)
+        & stripped(F.coalesce(p["groupId"], F.lit(PLUGIN_GROUP))).endswith("maven.plugins"),
     )
     found = F.transform(
         plugins,
-        lambda p: _first([major_version(expand(F.trim(p["configuration"][key]), properties)) for key in PLUGIN_KEYS]),
+        lambda p: _first([major_version(expand(stripped(p["configuration"][key]), properties)) for key in PLUGIN_KEYS]),
     )
     return F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0))
 

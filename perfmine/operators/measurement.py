@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perfmine.functions import logtext
+from perfmine.functions import logtext, scan
 from perfmine.functions.stats import count_losses, count_wins, relative_improvement, sign_tail
 from perfmine.session import staged
 
@@ -231,14 +231,18 @@ def log_outcomes(lines: DataFrame, keys=COMMIT) -> DataFrame:
         return suspect & line.rlike(pattern)
 
     anchored = F.lit(False)
+    continued = F.lit(False)
     for pattern in logtext.COMPILE_ERROR_LINES:
         anchored = anchored | line.rlike(pattern)
+        continued = continued | line.rlike(pattern.replace(logtext.ERROR_MARK, r"^\s*"))
     flagged = lines.select(
         *log,
         at,
         F.contains(line, F.lit(logtext.SUCCESS_TEXT)).alias("success"),
         (F.contains(line, F.lit(logtext.FAILURE_TEXTS[0])) | F.contains(line, F.lit(logtext.FAILURE_TEXTS[1]))).alias("failure"),
         (suspect & anchored).alias("anchored"),
+        (suspect & continued).alias("continued"),
+        line.rlike(logtext.BARE_ERROR).alias("bare"),
         says(logtext.COMPILATION_FAILURE).alias("says_failure"),
         says(goal).alias("a"),
         says(plugin).alias("b"),
@@ -251,6 +255,7 @@ def log_outcomes(lines: DataFrame, keys=COMMIT) -> DataFrame:
         F.bool_or("success").alias("success"),
         F.bool_or("failure").alias("failure"),
         F.bool_or("anchored").alias("anchored"),
+        (F.bool_or("continued") & F.bool_or("bare")).alias("parted"),
         F.bool_or("says_failure").alias("says_failure"),
         F.bool_or("abc").alias("abc"),
         F.min(F.when(F.col("a"), at)).alias("first_a"),
@@ -273,10 +278,18 @@ def log_outcomes(lines: DataFrame, keys=COMMIT) -> DataFrame:
         .select(*log).distinct().withColumn("_between", F.lit(True))
     )
     goal_failed = F.col("near") | F.coalesce("_between", F.lit(False))
-    return per_log.join(between, log, "left").select(
+    # the mark alone on one line, its message on the next that is not blank
+    parted = per_log.where("parted and not anchored").select(*log)
+    full = lines.where(line.rlike(r"\S")).join(parted, log, "left_semi").select(*log, "line_no", "line")
+    numbered = scan.running(full, log, "line_no", sums={"_k": F.lit(1)})
+    marks = numbered.where(line.rlike(logtext.BARE_ERROR)).select(*log, (F.col("_k") + 1).alias("_k"))
+    joined = (
+        numbered.where(suspect & continued).select(*log, "_k").join(marks, [*log, "_k"]).select(*log).distinct().withColumn("_parted", F.lit(True))
+    )
+    return per_log.join(between, log, "left").join(joined, log, "left").select(
         *log,
         (F.col("success") & ~F.col("failure")).alias("build_ok"),
-        (F.col("anchored") | (goal_failed & F.col("says_failure"))).alias("compile_error"),
+        (F.col("anchored") | F.coalesce("_parted", F.lit(False)) | (goal_failed & F.col("says_failure"))).alias("compile_error"),
     )
 
 

@@ -108,6 +108,9 @@ select commit_id, version, run_no, line_no,
             when pk = 10 then concat('[INFO] Total time:  0', cast(q % 10 as string), ':', cast(q as string), ' min')
             when pk = 11 then concat('[INFO] total time: 1:', cast(q as string), ':07 h')
             when pk = 12 then 'Total time: 9 fortnights'
+            when pk in (13, 16) then concat('[ERROR]', chr(9), ' ')
+            when pk in (14, 17) then '  COMPILATION ERROR : x'
+            when pk = 15 then ' '
             else '[INFO] BUILD SUCCESS' end as line
 from (select l_orderkey as commit_id, {_VERSION} as version, cast(l_linenumber % 2 + 1 as bigint) as run_no,
              cast(l_linenumber as bigint) as line_no, min(l_partkey % 20) as pk, cast(min(l_quantity) as bigint) as q
@@ -135,7 +138,7 @@ select user_id % 3 as file_no, event_id as line_no,
          when 'signup' then concat('12:00:00,1 root INFO Commit - is fast, user ', cast(user_id as string))
          when 'purchase' then concat('Found performance commit: https://github.com/o', cast(user_id % 9 as string), '/r', cast(user_id % 5 as string), '/commit/', md5(cast(user_id as string)))
          when 'error' then concat('part - of, ', cast(user_id as string), ' -')
-         else concat(' more text, ', cast(user_id as string)) end as line
+         else concat(chr(9), 'more text, ', cast(user_id as string), ' ', chr(9)) end as line
 from events""",
     "b_coverage": f"""
 select distinct l_suppkey as commit_id, {_VERSION} as version,

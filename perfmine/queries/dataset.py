@@ -71,12 +71,12 @@ def _(t):
 
 
 @query("src_02_tolerant_cells", oracle="""
-select p_partkey, case p_partkey % 9 when 5 then null when 6 then null when 7 then concat('n', cast(p_size as varchar))
+select p_partkey, case when p_partkey % 16 in (5, 6, 11, 12, 13, 14) then null when p_partkey % 16 in (7, 9, 15) then concat('n', cast(p_size as varchar))
                   else concat('n', cast(p_size as varchar), '|b c') end as items
 from part""")
 def _(t):
     n = F.concat(F.lit("n"), F.col("p_size").cast("string"))
-    kind = F.col("p_partkey") % 9
+    kind = F.col("p_partkey") % 16
 
     def text(template: str):
         left, right = template.split("@")
@@ -91,6 +91,13 @@ def _(t):
         .when(kind == 5, text("not @ json"))
         .when(kind == 6, text('{"k": "@"}'))
         .when(kind == 7, text("['@', None]"))
+        .when(kind == 9, text('[""@"", None]'))
+        .when(kind == 10, text('[\\"@\\", \\"b c\\"]'))
+        .when(kind == 11, text('["@"] junk'))
+        .when(kind == 12, text('["@"]["b"]'))
+        .when(kind == 13, text("[b'@']"))
+        .when(kind == 14, text("['@', {1, 2}]"))
+        .when(kind == 15, text("['@', None,]"))
         .otherwise(text("  '[\"@\", \"b c\"]' "))
     )
     return t.table("part").select("p_partkey", F.array_join(cells.decode_cell(cell, _LIST), "|").alias("items"))

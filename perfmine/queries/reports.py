@@ -233,9 +233,9 @@ def _(t):
 
 
 # the log read line by line, as a state machine: the running text of each file
-_FOUND = """
+_FOUND = r"""
 recursive ordered as (
-  select file_no, line_no, trim(line) as l, row_number() over (partition by file_no order by line_no) as rn,
+  select file_no, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') as l, row_number() over (partition by file_no order by line_no) as rn,
          contains(line, 'root INFO') as is_info, not contains(line, 'root INFO') and contains(line, 'https://') and contains(line, '/commit/') as is_link
   from b_found_log
 ),

@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from perfmine import schemas
 
-# a report's folder names its commit, version and module
-_FOLDERS = ("commit_id", "version", "module")
-
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-04: ``commit_id=…/version=…/module=…/`` folders of JSON lines with ``tests``."""
+    """SRC-04: JSON lines with ``commit_id``, ``version``, ``module`` and ``tests``; the keys may also be folders."""
     from pyspark.sql import types as T
 
     keyed = T.StructType(
@@ -35,5 +32,5 @@ def read_report_files(spark: SparkSession, path: str, pattern: str) -> DataFrame
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """Reports as JSON lines, one folder per version; the other keys stay columns."""
+    """Reports as JSON lines, all keys among the columns."""
     reports.write.json(path)

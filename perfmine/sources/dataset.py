@@ -44,9 +44,21 @@ def encode(dataset: DataFrame) -> DataFrame:
 
 
 def read_dataset_csv(spark: SparkSession, path: str, python_literals: bool = True) -> DataFrame:
-    """SRC-01: one CSV file or a folder of them."""
+    """SRC-01: one CSV file, or a folder of files with one header. Columns go by name.
+
+    A column that is absent is an error; others than the dataset's are left out.
+    """
+    raw = spark.read.options(**_CSV, enforceSchema="false").csv(path)
+    absent = [f.name for f in schemas.DATASET if f.name not in raw.columns]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
+    return decode(raw, python_literals)
+
+
+def _read_own_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_dataset_csv`` wrote: all columns in order, cells in JSON."""
     strings = T.StructType([T.StructField(f.name, T.StringType()) for f in schemas.DATASET])
-    return decode(spark.read.schema(strings).options(**_CSV).csv(path), python_literals)
+    return decode(spark.read.schema(strings).options(**_CSV).csv(path), python_literals=False)
 
 
 def write_dataset_csv(dataset: DataFrame, path: str) -> None:
@@ -57,7 +69,7 @@ def write_dataset_csv(dataset: DataFrame, path: str) -> None:
 def load_dataset(spark: SparkSession, path: str) -> DataFrame:
     """The published version, or an empty dataset where none exists."""
     version = store.current(spark, path)
-    return empty_dataset(spark) if version is None else read_dataset_csv(spark, version)
+    return empty_dataset(spark) if version is None else _read_own_csv(spark, version)
 
 
 def save_dataset(dataset: DataFrame, path: str) -> str:

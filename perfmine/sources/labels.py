@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perfmine import schemas
+from perfmine.functions.text import stripped
 
 _CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
@@ -51,7 +52,7 @@ def read_commit_codes(spark: SparkSession, path: str) -> DataFrame:
 def read_test_lists(spark: SparkSession, path: str) -> DataFrame:
     """SRC-11: one test class per line, keyed by the name of its directory."""
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
-    return spark.read.text(path).select(folder.alias("key"), F.trim("value").alias("test_class")).where(
+    return spark.read.text(path).select(folder.alias("key"), stripped(F.col("value")).alias("test_class")).where(
         F.col("test_class") != ""
     )
 

@@ -79,17 +79,6 @@ def test_clock_difference(spark):
     assert got == [2.2, 0.15]
 
 
-def test_builds(spark):
-    texts = ["x\nBUILD SUCCESS\n", "BUILD SUCCESS\nBUILD FAILURE", "BUILD ERROR", ""]
-    assert values(spark, logtext.build_succeeded, texts) == [True, False, False, False]
-    texts = [
-        "[ERROR] COMPILATION ERROR :", "x\n[error]  compilation failure: y", " [ERROR] Compilation failure",
-        "Failed to execute goal a\n..maven-compiler-plugin..\n..:testCompile z\nsaid Compilation failure",
-        "..:compile\nmaven-compiler-plugin\nFailed to execute goal a\nCompilation failure", "[ERROR] Fatal error compiling",
-    ]
-    assert values(spark, logtext.compile_failed, texts) == [True, True, False, True, False, True]
-
-
 def test_name_status(spark):
     lines = ["M\ta", "D\ta", "A\ta", "R100\ta\tb", "C75\ta\tb", "R100\ta", "T\ta", "M", "", "R\ta"]
     got = values(spark, paths.change_record_of_line, lines)
@@ -140,7 +129,7 @@ def test_java_version_precedence(spark, rows):
         (4, ".sdkmanrc", "# java=5\n  java=19.0.1-tem\njava=20"), (5, "README", "17"), (6, "pom.xml", pom), (6, ".mvn/jvm.config", "-X --source 7 --target=6"),
     ]
     df = spark.createDataFrame(files, "repo_id long, path string, content string")
-    assert rows(buildconf.java_versions(df)) == [(1, "8"), (2, "11"), (3, "17"), (4, "19"), (6, "6")]
+    assert rows(buildconf.java_versions(df.select("repo_id"), df)) == [(1, "8"), (2, "11"), (3, "17"), (4, "19"), (5, "24"), (6, "6")]
 
 
 def test_pressure_line(spark):
@@ -159,6 +148,10 @@ def test_cells(spark):
     texts = ['["a"]', "['a']", '"[""a""]"', '"[\\"a\\"]"', '["a"]"', "x", "", None, '{"a": 1}', "['a', None]", "'\"[\\'a\\']\"'"]
     got = values(spark, lambda c: cells.decode_cell(c, LIST), texts)
     assert got == [["a"], ["a"], ["a"], ["a"], ["a"], None, None, None, None, ["a", None], ["a"]]
+    odd = ["[b'x']", "['a', {1, 2}]", '["a"] junk', '["a"]["b"]', '["a"], ["b"]', '[""a"", None]', "[[]]", "{'a': 1}", "[" * 300]
+    assert [list(g) if g else g for g in values(spark, lambda c: cells.decode_cell(c, LIST), odd)] == [None, None, None, None, None, ["a", None], ["[]"], None, None]
+    odd = ["{(1, 2): ['a']}", "{[]: 1}", '{""a"": None}', '{\\"a\\": None}', '{"a": ["x"]} junk']
+    assert values(spark, lambda c: cells.decode_cell(c, MAP), odd) == [None, None, {"a": None}, {"a": None}, None]
     got = values(spark, lambda c: cells.decode_cell(c, MAP), ['{"k": ["a", "b"]}', "{'k': []}", '["a"]'])
     assert got == [{"k": ["a", "b"]}, {"k": []}, None]
     assert values(spark, cells.whole_number, ["7", "7.0", "7.5", "x", "", None, "1e3"]) == [7, 7, None, None, None, None, 1000]

@@ -3,56 +3,135 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from perfmine.functions import scan
-from perfmine.operators import applog, changes, dataset, evaluation, measurement, mining, reports, tasks
+from perfmine.operators import applog, buildconf, changes, dataset, evaluation, measurement, mining, reports, tasks
 
 
 # --- running text of found commits -------------------------------------------------
 
 
-def state_machine(lines):
-    """The log read line by line."""
-    text, out = "", []
-    for n, line in enumerate(lines):
-        line = line.strip()
-        if "root INFO" in line:
-            text = line.split("root INFO ")[1]
-        elif "https://" in line and "/commit/" in line:
-            text = text.replace(",", " ")
-            text = text.partition("- ")[2]
-            out.append((n, line.split("Found performance commit: ")[-1], text))
-        else:
-            text = text + " " + line
-    return out
+INFO, LINK = "12:00:00,1 root INFO ", "Found performance commit: https://github.com/o/r/commit/"
+
+LOGS = [
+    # an INFO line, a continuation with a tab, two links: the second shows what the first has left over
+    ([INFO + "Commit - fast, yes", "\tand - small ", LINK + "1", LINK + "2"], [(2, "fast  yes and - small"), (3, "small")]),
+    # no separator: everything is cut off, and what follows starts anew
+    ([INFO + "x", LINK + "1", "a - b", "c", LINK + "2"], [(1, ""), (4, "b c")]),
+    # a new INFO line drops the text before it; a separator can arise at a join
+    ([INFO + "old - text", INFO + "new -", "line", LINK + "1"], [(3, "line")]),
+    # nothing but plain lines before the first link
+    (["a", "- b", LINK + "1"], [(2, "b")]),
+    ([LINK + "1"], [(0, "")]),
+]
 
 
 def random_log(rng, n):
-    pieces = ["a - b", "x -", "- ", "--", "-,y", "c, d", "", "-", " -- -", "plain", "q - r - s, t"]
-    out = []
-    for _ in range(n):
-        kind = rng.random()
-        if kind < 0.06:
-            out.append("12:00:00,1 root INFO " + rng.choice(["Commit - fast, yes", "x", "a - b - c -", "z,-, w"]))
-        elif kind < 0.3:
-            out.append(f"Found performance commit: https://github.com/o{rng.randrange(3)}/r/commit/{rng.randrange(99):07x}")
-        else:
-            out.append(rng.choice(pieces))
-    return out
+    """(kind, payload) of each line."""
+    pieces = ["a - b", "x -", "- ", "--", "-,y", "c, d", "", "-", " -- -", "plain", "\tq - r - s, t"]
+    starts = ["Commit - fast, yes", "x", "a - b - c -", "z,-, w"]
+    kinds = rng.choices(["info", "link", "plain"], [6, 24, 70], k=n)
+    return [(k, {"info": rng.choice(starts), "link": f"{rng.randrange(99):07x}", "plain": rng.choice(pieces)}[k]) for k in kinds]
+
+
+def as_lines(log):
+    return [{"info": INFO, "link": LINK, "plain": ""}[kind] + payload for kind, payload in log]
+
+
+def found(spark, logs):
+    rows = [(f, n, line) for f, lines in logs.items() for n, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "file_no long, line_no long, line string")
+    return {(r["file_no"], r["line_no"]): r["message"] for r in applog.found_commits(df).collect()}
+
+
+def test_found_commits_of_known_logs(spark):
+    got = found(spark, {f: lines for f, (lines, _) in enumerate(LOGS)})
+    assert got == {(f, n): message for f, (_, messages) in enumerate(LOGS) for n, message in messages}
 
 
 @pytest.mark.parametrize("seed, chunk, span", [(1, 5, 4), (2, 17, 3), (3, 10**6, 1024), (4, 3, 2)])
-def test_found_commits_equal_state_machine(spark, monkeypatch, seed, chunk, span):
+def test_each_found_commit_follows_from_the_one_before(spark, monkeypatch, seed, chunk, span):
+    """A link shows what follows the first separator of the text it took over and the lines since."""
     monkeypatch.setattr(scan.running, "__defaults__", tuple(chunk if d == scan.CHUNK else d for d in scan.running.__defaults__))
     monkeypatch.setattr(applog, "_SPAN", span)
     rng = random.Random(seed)
     logs = {f: random_log(rng, n) for f, n in ((0, 250), (1, 40), (2, 3))}
-    df = spark.createDataFrame([(f, n, line) for f, lines in logs.items() for n, line in enumerate(lines)], "file_no long, line_no long, line string")
-    got = {(r["file_no"], r["line_no"], r["url"], r["message"]) for r in applog.found_commits(df).collect()}
-    assert got == {(f, *row) for f, lines in logs.items() for row in state_machine(lines)}
+    got = found(spark, {f: as_lines(log) for f, log in logs.items()})
+    links = {(f, n) for f, log in logs.items() for n, (kind, _) in enumerate(log) if kind == "link"}
+    assert set(got) == links
+    for f, n in links:
+        log = logs[f]
+        start = max((k for k in range(n) if log[k][0] != "plain"), default=-1)
+        taken = "" if start < 0 else log[start][1] if log[start][0] == "info" else got[f, start]
+        text = " ".join([taken, *(payload.strip() for _, payload in log[start + 1 : n])]).replace(",", " ")
+        assert got[f, n] == text.partition("- ")[2]
+
+
+# --- verdicts, forks, judged patches, versions --------------------------------------------
+
+
+def test_a_verdict_belongs_to_one_commit_and_issue(spark, rows):
+    commits = spark.createDataFrame([("o/r", "c1", "fixes #1"), ("o/r", "c2", "closes #1 too")], "repo string, sha string, message string")
+    issues = spark.createDataFrame([("o/r", 1, "slow", None, False)], "repo string, number long, title string, body string, is_pull_request boolean")
+    asked = mining.prompts(mining.message_refs(commits), commits, issues)
+    verdicts = asked.where("sha = 'c1'").select("prompt_hash", F.lit(" Yes.").alias("response"))
+    assert rows(mining.with_verdicts(asked, verdicts), "sha", "confirmed") == [("c1", True), ("c2", None)]
+    assert rows(mining.confirmed_refs(asked, verdicts), "sha") == [("c1",)]
+    assert rows(mining.to_judge(asked, verdicts), "sha") == [("c2",)]
+
+
+def test_a_fork_does_not_repeat_a_commit(spark, rows):
+    commits = spark.createDataFrame([("b/x", "s1"), ("a/fork", "s1"), ("b/x", "s2"), ("c/y", "s3"), ("b/x", "s3")], "repo string, sha string")
+    known = spark.createDataFrame([("b/x", "s2"), ("b/x", "s3")], "repo string, after_commit string")
+    assert rows(mining.unseen(commits, known)) == [("a/fork", "s1"), ("c/y", "s3")]
+
+
+def test_judged_patches_match_in_their_repository(spark, rows):
+    dataset = spark.createDataFrame(
+        [("o/a", "s1", 12, 1, 1), ("o/b", "s2", 12, 7, 2), ("o/a", "s3", 12, 9, 3), ("o/a", "s4", None, 4, 4)],
+        "repo string, after_commit string, pr_number long, n_files long, n_modules long",
+    )
+    judged = spark.createDataFrame(
+        [(1, "x", True, "o/b", None, 12), (2, "x", True, "o/a", "zz", 12), (3, "x", True, "o/a", "s4", 12), (4, "x", True, "o/c", "s1", 12)],
+        "id long, judgment string, pass_tests boolean, repo string, sha string, pr_number long",
+    )
+    got = rows(evaluation.with_dataset(judged, dataset), "id", "n_files", "matched")
+    assert got == [(1, 7, True), (2, 1, True), (3, 4, True), (4, None, False)]
+
+
+def test_every_repository_has_a_version(spark, rows):
+    files = spark.createDataFrame([(1, ".sdkmanrc", "java=\t1.8"), (2, "README", "x")], "repo_id long, path string, content string")
+    repos = spark.createDataFrame([(1,), (2,), (3,)], "repo_id long")
+    assert rows(buildconf.java_versions(repos, files)) == [(1, "8"), (2, "24"), (3, "24")]
+
+
+def test_a_strict_report_fails_where_its_results_are_not_read(spark):
+    coverage = spark.createDataFrame(
+        [(1, "original", "T", "failed", "A", "1-3")], "commit_id long, version string, test_path string, result string, file string, covered_lines string"
+    )
+    changed = spark.createDataFrame([(1, "original", "A", 2)], "commit_id long, version string, file string, line_no int")
+    assert changes.covering_tests(changed, coverage).count() == 1
+    with pytest.raises(Exception, match="failed test: T"):
+        changes.covering_tests(changed, changes.require_passed(coverage)).collect()
+
+
+def test_a_compile_error_may_begin_on_the_line_before(spark):
+    logs = {
+        1: ["[ERROR] ", "", "  COMPILATION ERROR : x"],
+        2: ["[ERROR] ", "other", "COMPILATION ERROR : x"],
+        3: ["[ERROR]x", "COMPILATION ERROR : x"],
+        4: ["COMPILATION ERROR : x", "[error]"],
+        5: ["[error]", "Fatal error compiling"],
+    }
+    rows = [(c, "original", 1, n, line) for c, lines in logs.items() for n, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "commit_id long, version string, run_no long, line_no long, line string")
+    got = {r.commit_id: r.compile_error for r in measurement.log_outcomes(df).collect()}
+    whole = re.compile(r"^\[ERROR\]\s+(COMPILATION ERROR|Fatal error compiling\b)", re.I | re.M)
+    assert got == {c: bool(whole.search("\n".join(lines))) for c, lines in logs.items()} and sum(got.values()) == 2
 
 
 # --- diffs --------------------------------------------------------------------------

@@ -61,6 +61,18 @@ def test_dataset_csv(spark, tmp_path):
     assert second["after_commit"] == "d\ne" and second["changed_files"] is None and second["issue_number"] is None
 
 
+def test_columns_of_a_dataset_go_by_name(spark, tmp_path):
+    names = [f.name for f in schemas.DATASET]
+    row = {"repo": "o/r", "after_commit": "s", "pr_number": "7"}
+    mixed = [*names[::-1], "further"]
+    path = put(tmp_path, "mixed.csv", ",".join(mixed) + "\n" + ",".join(row.get(n, "") for n in mixed) + "\n")
+    got = dataset.read_dataset_csv(spark, path).first()
+    assert (got["repo"], got["after_commit"], got["pr_number"]) == ("o/r", "s", 7)
+    path = put(tmp_path, "short.csv", ",".join(names[1:]) + "\n")
+    with pytest.raises(ValueError, match=names[0]):
+        dataset.read_dataset_csv(spark, path)
+
+
 def test_store_moves_its_pointer(spark, tmp_path):
     path = str(tmp_path / "store")
     assert dataset.load_dataset(spark, path).count() == 0
