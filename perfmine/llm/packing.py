@@ -9,6 +9,7 @@ partition is merged with the leftovers of its neighbours.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from perfmine.llm.common import arrow_map, id_and_text, staged
-from perfmine.llm.pretokens import WORD_PIECES, PieceCache, is_plain, loaded_tokenizer
+from perfmine.llm.pretokens import WORD_PIECES, PieceCache, byte_chars, is_plain, loaded_tokenizer, worker_cache
 
 WINDOW = 4096
 OPEN_WINDOWS = 16
@@ -92,16 +93,32 @@ class Packer:
 
 
 def token_ids(tokenizer: str, cache: int = CACHE):
-    """A function text -> ids as bytes; whole texts, by the library or its pieces."""
+    """A function text -> ids as bytes, of whole texts.
+
+    No piece of the word tokenizer reaches over white space, so plain text is
+    looked up by what stands between it; what is not known yet is put together
+    from its pieces, and new pieces go to the library's merges alone. A worker
+    keeps both caches.
+    """
     library = loaded_tokenizer(tokenizer)
+    model = library.model
 
     def encode(text: str) -> bytes:
         return np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    lookup = PieceCache(encode, {}, cache).__getitem__
+    def merged(piece: str) -> bytes:
+        ids = [t.id for t in model.tokenize(byte_chars(piece))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    pieces = worker_cache((tokenizer, "pieces"), lambda: PieceCache(merged, {}, cache)).__getitem__
+
+    def put_together(chunk: str) -> bytes:
+        return b"".join(map(pieces, WORD_PIECES.findall(chunk)))
+
+    lookup = worker_cache((tokenizer, "chunks"), lambda: PieceCache(put_together, {}, cache)).__getitem__
 
     def ids(text: str) -> bytes:
-        return b"".join(map(lookup, WORD_PIECES.findall(text.lower()))) if is_plain(text) else encode(text)
+        return b"".join(map(lookup, text.lower().split())) if is_plain(text) else encode(text)
 
     return ids
 

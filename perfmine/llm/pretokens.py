@@ -19,10 +19,23 @@ _CUT = "'(?:s|t|re|ve|m|ll|d)"
 
 _NOT_PLAIN = re.compile("[^\\t\\n\\r -~¡-¬®-įı-ɏ]|<\\|")
 
-BYTE_PIECES = re.compile(f"{_CUT}| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+")
 WORD_PIECES = re.compile(f"{_CUT}|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
+BYTE_PIECES = re.compile(f"{_CUT}| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+")
 
 _LOADED: dict[str, object] = {}
+_CACHES: dict[tuple, dict] = {}
+
+
+# fixed values: bytes that byte-level tokenizers write as the character of the same number
+_AS_IS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+# all others follow from U+0100 on
+_BYTE_CHARS = {b: chr(b) for b in _AS_IS}
+_BYTE_CHARS |= {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _BYTE_CHARS)}
+
+
+def byte_chars(piece: str) -> str:
+    """The bytes of a pre-token without blanks, in the characters the merges are written in."""
+    return piece if piece.isascii() else "".join(map(_BYTE_CHARS.__getitem__, piece.encode()))
 
 
 def is_plain(text: str) -> bool:
@@ -56,3 +69,10 @@ class PieceCache(dict):
             self.update(self._frequent)
         value = self[piece] = self._encode(piece)
         return value
+
+
+def worker_cache(key: tuple, make) -> dict:
+    """A cache that a worker process keeps from task to task."""
+    if key not in _CACHES:
+        _CACHES[key] = make()
+    return _CACHES[key]
