@@ -15,13 +15,15 @@ def _class_runs(lines: DataFrame, settings: m.TestSettings, keys) -> DataFrame:
 
     A line without a test has a null class; it still witnesses its log.
     """
+    # one cheap test spares ordinary lines the pattern
+    line = F.when(F.contains(F.col("line"), F.lit("Tests run:")), F.col("line"))
     parsed = m.without_warmup(lines, settings).select(
         *keys,
         "run_no",
         "line_no",
         "version",
-        logtext.test_class(F.col("line")).alias("test_class"),
-        logtext.test_seconds(F.col("line")).alias("seconds"),
+        logtext.test_class(line).alias("test_class"),
+        logtext.test_seconds(line).alias("seconds"),
     )
 
     def last_of(version: str):
@@ -35,11 +37,20 @@ def _class_runs(lines: DataFrame, settings: m.TestSettings, keys) -> DataFrame:
     )
 
 
+def measurable(lines: DataFrame, settings: m.TestSettings = m.DEFAULT, keys=m.COMMIT) -> DataFrame:
+    """FLT-12 and SRC-03: commits with every log of both versions, all of which succeeded."""
+    last = settings.first_run + settings.runs - 1
+    wanted = F.col("build_ok") & F.col("run_no").between(settings.first_run, last) & F.col("version").isin(m.ORIGINAL, m.PATCHED)
+    found = m.logs_ok(lines, keys).groupBy(*keys).agg(F.count_if(wanted).alias("_n"), F.bool_and("build_ok").alias("_ok"))
+    return found.where((F.col("_n") == 2 * settings.runs) & F.col("_ok")).select(*keys)
+
+
 def measured_commits(lines: DataFrame, settings: m.TestSettings = m.DEFAULT, keys=m.COMMIT) -> DataFrame:
-    """One row per commit: total improvement, p-value, classes faster and slower.
+    """One row per measurable commit: total improvement, p-value, classes faster and slower.
 
-    The raw lines are read and shuffled once; grouping sets derive class rows
-    and run rows from the paired table.
+    The raw lines are shuffled once; grouping sets derive class rows and run rows
+    from the paired table. A second pass over them tells which commits have all
+    their logs; it shuffles one row per log and task.
     """
     runs = _class_runs(lines, settings, keys)
     o, p = F.col(m.ORIGINAL), F.col(m.PATCHED)
@@ -90,15 +101,17 @@ def measured_commits(lines: DataFrame, settings: m.TestSettings = m.DEFAULT, key
             "improved_classes",
             "regressed_classes",
         )
+        .join(measurable(lines, settings, keys), list(keys), "left_semi")
     )
 
 
 def commit_improvement(lines: DataFrame, settings: m.TestSettings = m.DEFAULT, keys=m.COMMIT) -> DataFrame:
-    """Total improvement and its p-value per commit, from raw log lines, in one read."""
+    """Total improvement and its p-value per measurable commit, from raw log lines."""
     runs = _class_runs(lines, settings, keys)
     totals = runs.groupBy(*keys, "run_no").agg(
         F.coalesce(F.sum(m.ORIGINAL), F.lit(0.0)).alias(m.ORIGINAL),
         F.coalesce(F.sum(m.PATCHED), F.lit(0.0)).alias(m.PATCHED),
         (F.bool_or("has_original") & F.bool_or("has_patched")).alias("both_logs"),
     )
-    return m.improvement_of_pairs(totals.where("both_logs"), settings, keys)
+    pairs = totals.where("both_logs").join(measurable(lines, settings, keys), list(keys), "left_semi")
+    return m.improvement_of_pairs(pairs, settings, keys)

@@ -90,7 +90,11 @@ select commit_id, version, run_no, line_no,
               'org.x.T', cast(pk % 2 as string), case when q % 5 = 0 then '  ' else '' end) as line
 from (select l_suppkey as commit_id, {_VERSION} as version, l_orderkey % 31 + 1 as run_no,
              l_orderkey * 8 + l_linenumber as line_no, min(l_partkey) as pk, cast(min(l_quantity) as bigint) as q
-      from lineitem group by 1, 2, 3, 4) t""",
+      from lineitem group by 1, 2, 3, 4) t
+union all
+select l_suppkey as commit_id, {_VERSION} as version, l_orderkey % 31 + 1 as run_no, max(l_orderkey) * 8 + 9 as line_no,
+       case when l_suppkey % 7 = 3 and l_orderkey % 31 = 5 then '[INFO] BUILD FAILURE' else '[INFO] BUILD SUCCESS' end as line
+from lineitem group by l_suppkey, {_VERSION}, l_orderkey % 31""",
     # build output with successes and all kinds of failure
     "b_build_logs": f"""
 select commit_id, version, run_no, line_no,

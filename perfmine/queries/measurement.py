@@ -35,6 +35,14 @@ total_pairs as (
   from totals o join totals p on o.commit_id = p.commit_id and o.run_no = p.run_no
    and o.version = 'original' and p.version = 'patched' where o.run_no > 1
 )"""
+# commits with all 62 logs, all of them successful, from the text of the logs
+_MEASURABLE = """,
+log_texts as (select commit_id, version, run_no, string_agg(line, chr(10)) as log from b_run_logs group by all),
+measurable as (
+  select commit_id from log_texts group by all
+  having bool_and(contains(log, 'BUILD SUCCESS') and not contains(log, 'BUILD FAILURE') and not contains(log, 'BUILD ERROR'))
+     and count(*) filter (run_no between 1 and 31) = 62
+)"""
 _PAIRS = """
 o as (select * from b_runs where version = 'original' and run_no > 1),
 p as (select * from b_runs where version = 'patched' and run_no > 1),
@@ -207,7 +215,7 @@ def _(t):
     return pairs.select("commit_id", "run_no", F.round("original", 4).alias("original"), F.round("patched", 4).alias("patched"))
 
 
-_IMPROVEMENT = f"""with {_TOTALS},
+_IMPROVEMENT = f"""with {_TOTALS}{_MEASURABLE},
 s as (select commit_id, count(*) as runs, sum(o) as so, sum(p) as sp,
              count(*) filter (p < 0.95 * o) as wins, count(*) filter (p > 0.95 * o) as losses
       from total_pairs group by all)
@@ -223,7 +231,7 @@ def _(t):
     )
 
 
-@query("e2_commit_improvement", oracle=_IMPROVEMENT)
+@query("e2_commit_improvement", oracle=f"{_IMPROVEMENT} semi join measurable using (commit_id)")
 def _(t):
     result = plan.commit_improvement(t.bind("b_run_logs"))
     return result.withColumn("exec_time_improvement", F.round("exec_time_improvement", 6)).withColumn(
@@ -286,7 +294,7 @@ def _(t):
     return m.total_times(t.bind("b_build_logs")).withColumn("seconds", F.round("seconds", 6))
 
 
-@query("e2_measured_commits", oracle=f"""with {_TOTALS},
+@query("e2_measured_commits", oracle=f"""with {_TOTALS}{_MEASURABLE},
 sides as (
   select o.commit_id, o.test_class, count(*) as n, min(least(o.seconds, p.seconds)) as least_seconds,
          count(*) filter (p.seconds < 0.95 * o.seconds) as wins, count(*) filter (p.seconds > 0.95 * o.seconds) as losses,
@@ -303,7 +311,7 @@ s as (select commit_id, count(*) as runs, sum(o) as so, sum(p) as sp,
       from total_pairs group by all)
 select s.commit_id, runs, round((so - sp) / nullif(so, 0), 6) as exec_time_improvement, round({_tail('wins', 'losses')}, 6) as p_value,
        coalesce(improved, 0) as improved_classes, coalesce(regressed, 0) as regressed_classes
-from s left join v on s.commit_id = v.commit_id""")
+from s left join v on s.commit_id = v.commit_id semi join measurable m on m.commit_id = s.commit_id""")
 def _(t):
     result = plan.measured_commits(t.bind("b_run_logs"))
     return result.withColumn("exec_time_improvement", F.round("exec_time_improvement", 6)).withColumn(
