@@ -62,6 +62,28 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+# five-word shingles hold four blanks and shorter sequences fewer, so the two never meet
+ORACLES["op3_minhash_dedup"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+  from documents
+), s as (
+  select distinct doc_id, array_to_string(list_slice(words, i, i + 4), ' ') as shingle
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as i from w where len(words) > 0)
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), links as (
+  select p.a, p.b from (select x.doc_id as a, y.doc_id as b, count(*) as common from s x join s y on x.shingle = y.shingle and x.doc_id <> y.doc_id group by all) p
+  join n na on na.doc_id = p.a join n nb on nb.doc_id = p.b where 100 * common >= 75 * (na.n + nb.n - common)
+), reached as (
+  select doc_id as id, doc_id as other from documents
+  union select r.id, l.b from reached r join links l on l.a = r.other
+)
+select r.id as doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.other) as component_id, r.id = min(r.other) as kept
+from reached r left join n on n.doc_id = r.id group by r.id
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     answers = language.predict_languages(docs, language.trained_on_rest(docs))
