@@ -7,10 +7,11 @@ import pytest
 
 import __spark_entry__ as entry
 from perfmine.queries.bindings import TABLES
+from perfmine.queries.registry import all_oracles, all_queries
 from tools.check_oracle import rows_of
 
 FOLDER = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -21,9 +22,9 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
-    df = entry.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     got = [tuple(r) for r in df.collect()]
     expected = duck.execute(ORACLES[name])
     columns = [d[0] for d in expected.description]
@@ -36,4 +37,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
