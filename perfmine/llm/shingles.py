@@ -63,7 +63,7 @@ def fingerprint(shingles: np.ndarray) -> bytes:
 
 
 def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
-    """One row of ``slots`` values per set; ``slots`` is a power of two, at most 256.
+    """One row of ``slots`` values per set; ``slots`` is a power of two, at most 4096.
 
     An element's permutation walks the slots from its own start with its own odd
     stride. An empty set's row is all ones.
@@ -78,7 +78,7 @@ def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
             if not len(x):
                 break
             slot = ((start + np.uint64(step) * stride) & np.uint64(slots - 1)).astype(np.int64)
-            offer = mix(x + np.uint64((step + 1) * _GOLDEN & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(8) | np.uint64(step << 56)
+            offer = mix(x + np.uint64((step + 1) * _GOLDEN & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(12) | np.uint64(step << 52)
             np.minimum.at(least, row * slots + slot, offer)
             open_rows = (least.reshape(-1, slots) == _NONE).any(axis=1)
             go_on = open_rows[row]

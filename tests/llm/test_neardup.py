@@ -95,13 +95,36 @@ def test_blocks(spark, monkeypatch):
 
 def test_across_pairs_everything_once(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "MOST_DIFFERENT", neardup.FINE_SLOTS)
     rnd = random.Random(7)
-    rows = [(k, i, rnd.choice([1, 1, 1, 2, 3])) for k in range(4) for i in range(k * 100, k * 100 + 3 + 9 * k)]
-    got = [tuple(r) for r in neardup.across(spark.createDataFrame(rows, "bucket long, id long, component long")).collect()]
-    expected = {(a[1], b[1]) for a, b in combinations(rows, 2) if a[0] == b[0] and a[2] != b[2]}
+    base = words(rnd, 60)
+    texts = [(i, " ".join(changed(rnd, base, rnd.randrange(12)))) for i in range(70)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    classes = neardup.sketch(docs).withColumnRenamed("doc_id", "id")
+    part = {i: rnd.choice([1, 1, 1, 2, 3]) for i, _ in texts}
+    labels = spark.createDataFrame(list(part.items()), "id long, component long")
+    members = neardup.buckets(classes).select("bucket", "band", "id")
+    got = [tuple(r) for r in neardup.across(neardup.labelled(members, labels), classes, docs).collect()]
+    together = {}
+    for r in members.collect():
+        together.setdefault(r.bucket, []).append(r.id)
+    expected = {(a, b) for ids in together.values() for a, b in combinations(sorted(ids), 2) if part[a] != part[b]}
+    assert len(expected) > 300
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_fine_signatures_estimate_the_similarity(spark):
+    rnd = random.Random(13)
+    base = words(rnd, 200)
+    texts = [(i, " ".join(changed(rnd, base, i % 9))) for i in range(45)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    fine = {r.id: np.frombuffer(r.bits, np.uint8) for r in neardup.fine_signatures(neardup.sketch(docs).select(F.col("doc_id").alias("id"), "class"), docs).collect()}
+    for (a, s), (b, t) in combinations(texts, 2):
+        one, two = shingles_of(s), shingles_of(t)
+        expected = (1 - len(one & two) / len(one | two)) / 2
+        assert abs(int(np.bitwise_count(fine[a] ^ fine[b]).sum()) / neardup.FINE_SLOTS - expected) < 0.045
+
+
 def test_many_copies_and_near_copies(spark):
     rnd = random.Random(8)
     base = words(rnd, 100)
