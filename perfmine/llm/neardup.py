@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ LEAST_AGREEMENT = 0.55
 #: the most bits that may differ: 256 do at similarity 0.75, 4.7 standard deviations less.
 FINE_SLOTS, MOST_DIFFERENT = 2048, 327
 BLOCK = 256
+#: Bits of the bitmap of wanted ids: two megabytes.
+FILTER_BITS = 1 << 24
 _SLOT_BYTES = 2
 
 
@@ -82,6 +85,28 @@ def buckets(classes: DataFrame) -> DataFrame:
     return members.drop("n").join(centres, "bucket")
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` joined with ``wanted`` by id.
+
+    A bitmap of fixed size tells most of the texts that nobody wants before the
+    shuffle, so that only few of them travel. If it fills up, more travel.
+    """
+    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
+    words = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def maybe(places: pd.Series) -> pd.Series:
+        at = places.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    some = docs.where(maybe(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))))
+    return some.join(wanted, some["doc_id"] == wanted["id"])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The rows of ``pairs`` (a, b) whose full shingle sets are similar.
 
@@ -118,7 +143,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int
                     b.append(member)
             yield {"a": a, "b": b}
 
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"])
+    texts = texts_of(docs, wanted)
     # the centre comes first in its block
     ordered = (
         texts.select("a", "block", "id", "class", "text", (F.col("id") != F.col("a")).alias("later"))
@@ -174,7 +199,7 @@ def fine_signatures(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 }
                 at += len(sets)
 
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"]).select("id", "class", "text")
+    texts = texts_of(docs, wanted).select("id", "class", "text")
     return arrow_map(texts, work, "id long, bits binary").dropDuplicates(["id"])
 
 
