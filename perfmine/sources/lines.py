@@ -5,34 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from perfmine.session import staged
+
 
 def read_lines(spark: SparkSession, path, log: Column | None = None) -> DataFrame:
     """SRC-05 / SRC-08: rows of (log, line_no, line), numbered from 1 per log.
 
     ``log`` is derived from the column ``file``, the path; all files of a log
     are numbered on in path order. By default every file is a log of its own.
-    A file is read in blocks by many tasks: a line's number is its rank within
-    its block plus the lines of all earlier blocks, so no task needs a whole
-    file.
+    A file is read in blocks by many tasks. Row ids rise by one along a block, so
+    a line's number is its id's distance from the block's first id plus the lines
+    of all earlier blocks. Only the table of blocks is shuffled; it is written
+    first, so that its true size decides whether the join sends it to all tasks.
     """
     rows = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.col("value").alias("line"),
     )
-    rows = rows.withColumn("log", F.col("file") if log is None else log)
+    # the reader keeps the order of a block, which this id follows
+    rows = rows.withColumn("log", F.col("file") if log is None else log).withColumn("_at", F.monotonically_increasing_id())
     block = ["log", "file", "_block"]
-    sizes = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     # part numbers are compared as numbers: their text has no fixed width
     part = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("bigint")
     earlier = Window.partitionBy("log").orderBy(part, "file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    # the reader keeps the order of a block, which this id follows
-    within = Window.partitionBy(*block).orderBy("_at")
-    numbered = rows.withColumn("_at", F.monotonically_increasing_id()).select(
-        *block, "line", F.row_number().over(within).alias("_rank")
-    )
-    return numbered.join(offsets, block).select("log", (F.col("_offset") + F.col("_rank")).alias("line_no"), "line")
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    blocks = staged(sizes.select(*block, (before + 1 - F.col("_first")).alias("_shift")), "line-blocks")
+    return rows.join(blocks, block).select("log", (F.col("_at") + F.col("_shift")).alias("line_no"), "line")
 
 
 def write_lines(lines: DataFrame, path: str, log: str, position: str) -> None:

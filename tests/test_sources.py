@@ -40,6 +40,13 @@ def test_lines_are_numbered_across_blocks_and_files(spark, tmp_path, block):
     assert {k: sorted(v) for k, v in by_log.items()} == {k: list(enumerate(v, 1)) for k, v in logs.items()}
 
 
+def test_lines_are_not_shuffled(spark, tmp_path):
+    put(tmp_path, "log=1/part-0.txt", "first\nsecond\n")
+    got = lines.read_lines(spark, str(tmp_path), log=lines.folder_of())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
 def test_part_files_follow_their_number(spark, tmp_path):
     put(tmp_path, "log=1/part-99999-x.txt", "first\n")
     put(tmp_path, "log=1/part-100000-x.txt", "second\n")
