@@ -49,7 +49,7 @@ def _(t):
     stream = stream_of(t, commits.unionAll(commits), "commits")
     known = t.bind("b_dataset").where("exec_status is not null")
     jobs.unseen_commits(stream, known, path, scratch_path(t.spark, "progress")).awaitTermination()
-    return t.spark.read.schema("repo string, sha string").parquet(path)
+    return t.spark.read.schema("repo string, sha string, batch long").parquet(path).select("repo", "sha")
 
 
 def _pressure(t):

@@ -66,12 +66,16 @@ def write_dataset_csv(dataset: DataFrame, path: str) -> None:
     encode(dataset).write.mode("errorifexists").options(**options).csv(path)
 
 
-def load_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """The published version, or an empty dataset where none exists."""
-    version = store.current(spark, path)
+def load_dataset(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """The published version, or the one given; an empty dataset where none exists."""
+    version = version or store.current(spark, path)
     return empty_dataset(spark) if version is None else _read_own_csv(spark, version)
 
 
-def save_dataset(dataset: DataFrame, path: str) -> str:
-    """SNK-02: write a new version beside the old one, then move the pointer."""
-    return store.replace(dataset, path, write_dataset_csv)
+def save_dataset(dataset: DataFrame, path: str, base: str | None = store.ANY) -> str:
+    """SNK-02: write a new version beside the old one, then move the pointer.
+
+    ``base`` is the version that ``dataset`` was made from. If another writer has
+    published since, nothing is replaced and an error is raised.
+    """
+    return store.replace(dataset, path, write_dataset_csv, base)

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 POINTER = "CURRENT"
+#: Stands for whatever version is published.
+ANY = "*"
 
 
 def new_version(path: str) -> str:
@@ -38,9 +40,16 @@ def current(spark: SparkSession, path: str) -> str | None:
     return f"{root}/{spark.read.text(str(pointer.toString())).first()[0]}"
 
 
-def replace(df: DataFrame, path: str, write) -> str:
-    """Write ``df`` to a new version with ``write(df, folder)``, then publish it."""
+def replace(df: DataFrame, path: str, write, base: str | None = ANY) -> str:
+    """Write ``df`` to a new version with ``write(df, folder)``, then publish it.
+
+    Fails if the published version is no longer ``base``, None meaning that there
+    was none. The check precedes the rename by a moment, so writers that finish
+    at the same time still need a lock of their own.
+    """
     version = new_version(path)
     write(df, version)
+    if base != ANY and current(df.sparkSession, path) != base:
+        raise RuntimeError(f"{path} was replaced by another writer; {version} is not published")
     publish(df.sparkSession, path, version)
     return version

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from perfmine.operators import applog, dataset, pressure
+from perfmine.operators import applog, dataset, mining, pressure
 from perfmine.sources import dataset as dataset_source
+from perfmine.sources import store
 
 
 def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -25,13 +27,16 @@ def upsert_results(
     """STR-01: merge finished analyses into the stored dataset, one merge per batch.
 
     A batch that is replayed after a failure changes nothing, as the merge is
-    by key.
+    by key. ``order`` decides within a batch; between batches the arrival does: a
+    late row replaces what an earlier batch brought, whatever its ``order``.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        base = store.current(spark, path)
         new = dataset.newest_values(batch, order)
-        dataset_source.save_dataset(dataset.upsert(dataset_source.load_dataset(spark, path), new), path)
+        merged = dataset.upsert(dataset_source.load_dataset(spark, path, base), new)
+        dataset_source.save_dataset(merged, path, base)
 
     return _start(results.writeStream.foreachBatch(merge), checkpoint, available_now)
 
@@ -39,17 +44,23 @@ def upsert_results(
 def unseen_commits(
     commits: DataFrame, known: DataFrame, path: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """STR-02: commits that neither came before nor are in the dataset.
+    """STR-02: commits that neither came before nor are in the dataset, below ``path``.
 
-    The state keeps one key per commit for good: resuming must not repeat work.
-    A streaming deduplication does not combine before its shuffle, so copies are
-    first reduced per input partition group, which spreads a much-copied commit.
+    Resuming must not repeat work, so what is written is the memory: each batch is
+    reduced to one row per sha, which combines copies before the shuffle, and
+    leaves out what earlier batches have written. No state is kept besides. A
+    batch that is replayed overwrites its own folder, ``batch=n``.
     """
-    keys = ["repo", "sha"]
-    seen = known.select("repo", F.col("after_commit").alias("sha")).distinct()
-    spread = commits.withColumn("_salt", F.spark_partition_id() % 16).dropDuplicates([*keys, "_salt"])
-    fresh = spread.drop("_salt").dropDuplicates(keys).join(seen, keys, "left_anti")
-    return _start(fresh.writeStream.format("parquet").option("path", path), checkpoint, available_now)
+    rows = commits.schema
+    commits.sparkSession.createDataFrame([], rows).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    written = T.StructType([*rows.fields, T.StructField("batch", T.LongType())])
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        earlier = batch.sparkSession.read.schema(written).parquet(path).where(F.col("batch") < batch_id)
+        fresh = mining.unseen(batch, known).join(earlier.select("sha").distinct(), "sha", "left_anti")
+        fresh.select(*rows.names).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _start(commits.writeStream.foreachBatch(keep), checkpoint, available_now)
 
 
 def pressure_alerts(

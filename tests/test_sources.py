@@ -80,6 +80,19 @@ def test_columns_of_a_dataset_go_by_name(spark, tmp_path):
         dataset.read_dataset_csv(spark, path)
 
 
+def test_a_lost_swap_raises(spark, tmp_path):
+    path = str(tmp_path / "store")
+    row = ("r", "a", 1, None, 0.25, None, {"k": ["x"]}, None, None, "yes", ["m"], [])
+    rows = spark.createDataFrame([row], schemas.DATASET)
+    first = dataset.save_dataset(rows, path, None)
+    second = dataset.save_dataset(rows, path, store.current(spark, path))
+    assert store.current(spark, path).endswith(second.rsplit("/", 1)[-1])
+    for stale in (first, None):
+        with pytest.raises(RuntimeError, match="another writer"):
+            dataset.save_dataset(rows, path, stale)
+    assert store.current(spark, path).endswith(second.rsplit("/", 1)[-1])
+
+
 def test_store_moves_its_pointer(spark, tmp_path):
     path = str(tmp_path / "store")
     assert dataset.load_dataset(spark, path).count() == 0
