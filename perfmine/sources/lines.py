@@ -44,3 +44,34 @@ def write_lines(lines: DataFrame, path: str, log: str, position: str) -> None:
 def folder_of(name: str = "log") -> Column:
     """The log of a file below ``name=…/``."""
     return F.regexp_extract("file", rf"/{name}=([^/]*)/", 1)
+
+
+# The two names of a run's log, with the version and the run's number.
+LOG_NAMES = (r"([A-Za-z_]+?)_repo_mvnw_(\d+)\.log", r"mvnw_(\d+)_([A-Za-z_]+)\.log")
+
+
+def read_log_set(spark: SparkSession, path, commit: Column) -> DataFrame:
+    """SRC-03: the logs of measured commits as (commit_id, version, run_no, line_no, line).
+
+    ``<version>_repo_mvnw_<n>.log`` counts runs from 1, ``mvnw_<n>_<version>.log``
+    from 0; both give ``run_no`` from 1. ``new_patched``, the patched version of a
+    patch evaluation, is ``patched``. ``commit`` is derived from the column
+    ``file``, the path. Other files are left out. ``missing_logs`` tells what a
+    commit lacks.
+    """
+    lines = read_lines(spark, path)
+    file = F.col("log")
+    first, second = LOG_NAMES
+    named, counted = F.nullif(F.regexp_extract(file, first, 1), F.lit("")), F.nullif(F.regexp_extract(file, second, 2), F.lit(""))
+    version = F.coalesce(counted, named)
+    run_no = F.when(counted.isNotNull(), F.regexp_extract(file, second, 1).try_cast("bigint") + 1).otherwise(
+        F.regexp_extract(file, first, 2).try_cast("bigint")
+    )
+    return (
+        lines.withColumn("file", file)
+        .where(version.isNotNull())
+        .select(
+            commit.alias("commit_id"), F.when(version == "new_patched", F.lit("patched")).otherwise(version).alias("version"),
+            run_no.alias("run_no"), "line_no", "line",
+        )
+    )

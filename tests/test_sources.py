@@ -6,6 +6,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from perfmine import schemas
 from perfmine.operators import changes, dataset as ops
@@ -40,6 +41,16 @@ def test_lines_are_numbered_across_blocks_and_files(spark, tmp_path, block):
     assert {k: sorted(v) for k, v in by_log.items()} == {k: list(enumerate(v, 1)) for k, v in logs.items()}
 
 
+def test_log_sets_of_both_names(spark, tmp_path):
+    for name in ("c1/logs/original_repo_mvnw_1.log", "c1/logs/patched_repo_mvnw_12.log", "c2/mvnw_0_original.log", "c2/mvnw_3_new_patched.log", "c2/other.log"):
+        put(tmp_path, name, f"{name}\nsecond\n")
+    got = lines.read_log_set(spark, str(tmp_path / "*") + "/", F.regexp_extract("file", r"/(c\d)/", 1))
+    deep = lines.read_log_set(spark, str(tmp_path / "c1" / "logs"), F.regexp_extract("file", r"/(c\d)/", 1))
+    rows = sorted(tuple(r)[:4] for r in got.unionByName(deep).distinct().collect())
+    keys = [("c1", "original", 1), ("c1", "patched", 12), ("c2", "original", 1), ("c2", "patched", 4)]
+    assert rows == [(*k, n) for k in keys for n in (1, 2)]
+
+
 def test_lines_are_not_shuffled(spark, tmp_path):
     put(tmp_path, "log=1/part-0.txt", "first\nsecond\n")
     got = lines.read_lines(spark, str(tmp_path), log=lines.folder_of())
