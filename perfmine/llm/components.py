@@ -20,24 +20,28 @@ def components(edges: DataFrame) -> DataFrame:
     very many neighbours is not gathered anywhere. Edges with a null end and from
     a node to itself count for nothing.
     """
-    links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    links, before = staged(links, "links"), None
+    links = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "links")
     for _ in range(MOST_ROUNDS):
-        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before or not now[0]:
+        if _settled(links):
             break
-        before = now
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        up = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        up = staged(up, "links-up")
+        up = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "links-up")
         least = up.groupBy("u").agg(F.min("v").alias("m"))
         pairs = up.join(least, "u")
         down = pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         links = staged(down.distinct(), "links")
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+    links = links.distinct()
     roots = links.select(F.col("v").alias("id")).distinct()
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         roots.select("id", F.col("id").alias("component"))
     )
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether every node that points somewhere points to one node, which points nowhere."""
+    ends = links.select("u", F.col("v").alias("to")).unionByName(links.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("to")))
+    nodes = ends.groupBy("u").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.bool_or(F.col("to").isNull()).alias("root"))
+    return nodes.where("low <> high or (low is not null and root)").isEmpty()

@@ -314,6 +314,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new = staged(verified(pairs, docs, classes, percent), "linked")
         done = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         tested = done if tested is None else tested.unionByName(done)
+        if new.isEmpty():
+            continue
         links = new if links is None else links.unionByName(new)
         labels = components(links)
 
