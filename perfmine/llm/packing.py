@@ -27,7 +27,7 @@ WINDOW = 4096
 OPEN_WINDOWS = 16
 MERGED_TASKS = 64
 END_ID = 2
-CACHE = 400_000
+CACHE = 250_000
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PLACED = f"{_PIECE}, task long, ids binary"
 

@@ -17,7 +17,7 @@ import xxhash
 
 WORDS_PER_SHINGLE = 5
 SLOTS = 128
-CACHE = 400_000
+CACHE = 200_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLDEN = 0x9E3779B97F4A7C15
 
