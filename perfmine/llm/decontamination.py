@@ -1,10 +1,12 @@
 """Benchmark decontamination by a BM25 index of the test items.
 
-Every passage of a training text is a query. An item's score is divided by the
-score that the item reaches with itself, so one threshold holds for all items.
+Every passage of a training text is a query. An item's question is also indexed on
+its own. The score of either is divided by the score that it reaches with itself,
+so one threshold holds for all, but for those of which a repetition that passes
+verification could score less: they have that least score as their bar.
 Items lie in blocks, and for each term the index has the largest contribution to
 any item of a block. The sum of these over a passage's terms bounds the scores of
-the block's items: only blocks whose bound reaches the threshold are scored.
+the block's items: only blocks whose bound reaches their lowest bar are scored.
 Retrieved items are verified by the overlap of their question and their answer
 with the text around the passage.
 """
@@ -32,7 +34,7 @@ OVERLAP = 0.75
 SHINGLE = 5
 #: Fewer shingles do not make a question that can be told from ordinary text.
 LEAST_QUESTION = 8
-#: An index holds items of about so many characters; more items make more indexes.
+#: An index holds items of about so many characters, questions counted again; more items make more indexes.
 INDEX_CHARS = 4_000_000
 BLOCKS, LEAST_BLOCK = 128, 2
 #: Longer items enter the index in parts of so many words.
@@ -50,6 +52,7 @@ class Terms(dict):
 class Item:
     item_id: int
     words: list[bytes]
+    asking: list[bytes] = field(default_factory=list)  # the words of the question
     question: set = field(default_factory=set)
     answer: set = field(default_factory=set)
 
@@ -65,7 +68,70 @@ def make_item(item_id: int, text: str) -> Item:
     n = len(last) if SHINGLE <= len(last) < len(words) else max(SHINGLE, len(words) // 3)
     cut = max(0, len(words) - n)
     answer = shingles(words[cut:])
-    return Item(item_id, words, shingles(words) - answer, answer)
+    return Item(item_id, words, words[:cut], shingles(words) - answer, answer)
+
+
+@dataclass
+class Part:
+    """Words of an item or of its question, and which shingles start in it: 1 the first time, 0 if they came before."""
+
+    owner: int
+    words: list[bytes]
+    new: list[int]
+
+    @property
+    def counts(self) -> Counter:
+        return Counter(self.words)
+
+
+def parts_of(owner: int, words: list[bytes]) -> list[Part]:
+    seen: set[bytes] = set()
+    new = []
+    for i in range(len(words) - SHINGLE + 1):
+        shingle = b" ".join(words[i : i + SHINGLE])
+        new.append(int(shingle not in seen))
+        seen.add(shingle)
+    return [Part(owner, words[at : at + PART], new[at : at + PART]) for at in range(0, len(words), PART)]
+
+
+def bars(parts: list[Part], scores: list[dict], at_once: int = 256) -> np.ndarray:
+    """The score from which each part is retrieved: THRESHOLD, or less if a repetition that passes can score less.
+
+    Of a text that has 75 % of the shingles, some part has 75 % of those that
+    start in it. What it can lack is the most weight of words all of whose
+    shingles are among the other 25 %, found shingle by shingle for every number
+    left out and every number left out in a row. A word counts where it is first.
+    """
+    out = np.full(len(parts), THRESHOLD)
+    for low in range(0, len(parts), at_once):
+        some = parts[low : low + at_once]
+        n = np.array([len(p.new) for p in some])
+        allowed = np.array([int((1 - OVERLAP) * sum(p.new) + 1e-9) for p in some])
+        weight = np.zeros((len(some), max(n) + SHINGLE))
+        cost = np.zeros((len(some), max(n)), dtype=bool)
+        for k, p in enumerate(some):
+            left = dict(scores[low + k])
+            weight[k, : len(p.words)] = [left.pop(w, 0.0) for w in p.words][: weight.shape[1]]
+            cost[k, : len(p.new)] = p.new
+        lost = np.full((len(some), SHINGLE + 1, allowed.max() + 1), -np.inf)
+        lost[:, SHINGLE, 0] = 0  # nothing before the first word holds it
+        for i in range(max(n)):
+            moved = np.full_like(lost, -np.inf)
+            moved[:, :, 1:] = lost[:, :, :-1]
+            moved = np.where(cost[:, i, None, None], moved, lost)
+            after = np.empty_like(lost)
+            after[:, 0] = lost.max(axis=1)
+            after[:, 1:] = moved[:, :-1]
+            after[:, SHINGLE] = np.maximum(moved[:, SHINGLE - 1], moved[:, SHINGLE]) + weight[:, i, None]
+            lost = np.where((i < n)[:, None, None], after, lost)
+        tail = np.zeros((len(some), SHINGLE + 1, 1))
+        for k in range(1, SHINGLE):
+            tail[:, SHINGLE - k :, 0] += weight[np.arange(len(some)), np.maximum(n, 1) - 1 + k][:, None]
+        lost = (lost + tail).max(axis=1)
+        lost[np.arange(lost.shape[1]) > allowed[:, None]] = 0
+        least = np.maximum(1 - lost.max(axis=1) - 1e-6, 1e-9)
+        out[low : low + at_once] = np.where([sum(p.new) > 0 for p in some], np.minimum(THRESHOLD, least), THRESHOLD)
+    return out
 
 
 @dataclass
@@ -75,6 +141,8 @@ class Index:
     items: list[Item]
     terms: Terms
     owner: np.ndarray  # item of a part
+    bar: np.ndarray  # least score of a part
+    block_bar: np.ndarray  # the lowest bar of the block
     block_max: np.ndarray  # terms x blocks: the largest contribution to a part of the block
     row: np.ndarray  # terms x blocks: where the term's postings lie in the block's table, 0 if it has none
     blocks: list[np.ndarray]  # per block: rows x parts, contributions
@@ -82,34 +150,42 @@ class Index:
 
     @staticmethod
     def build(items: list[Item]) -> Index:
-        parts = [(k, Counter(i.words[at : at + PART])) for k, i in enumerate(items) for at in range(0, len(i.words), PART)]
-        df = Counter(w for _, counts in parts for w in counts)
+        parts = [p for k, i in enumerate(items) for p in parts_of(k, i.words)]
+        wholes = len(parts)
+        df = Counter(w for p in parts for w in p.counts)
         terms = Terms({w: n + 1 for n, w in enumerate(sorted(df))})
-        mean = sum(sum(c.values()) for _, c in parts) / max(1, len(parts))
-        per_block = max(LEAST_BLOCK, -(-len(parts) // BLOCKS))
+        mean = sum(len(p.words) for p in parts) / max(1, wholes)
+        # questions are scored with the statistics of the whole items
+        parts += [p for k, i in enumerate(items) if len(i.question) >= LEAST_QUESTION for p in parts_of(k, i.asking)]
+        scores = []
+        for p in parts:
+            norm = K1 * (1 - B + B * len(p.words) / mean)
+            score = {w: np.log1p((wholes - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in p.counts.items()}
+            total = sum(score.values())
+            scores.append({w: x / total for w, x in score.items()})
+        bar = bars(parts, scores)
+        per_block = max(LEAST_BLOCK, -(-wholes // BLOCKS))
         n_blocks = -(-len(parts) // per_block)
         block_max = np.zeros((len(terms) + 1, n_blocks), dtype=np.float32)
         row = np.zeros((len(terms) + 1, n_blocks), dtype=np.int32)
         blocks = []
         for b in range(n_blocks):
-            own = parts[b * per_block : (b + 1) * per_block]
-            used = sorted({terms[w] for _, counts in own for w in counts})
+            own = scores[b * per_block : (b + 1) * per_block]
+            used = sorted({terms[w] for score in own for w in score})
             row[used, b] = np.arange(1, len(used) + 1)
             block = np.zeros((len(used) + 1, len(own)))
-            for p, (_, counts) in enumerate(own):
-                norm = K1 * (1 - B + B * sum(counts.values()) / mean)
-                score = {w: np.log1p((len(parts) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in counts.items()}
-                total = sum(score.values())
-                for w, s in score.items():
-                    block[row[terms[w], b], p] = s / total
+            for p, score in enumerate(own):
+                for w, x in score.items():
+                    block[row[terms[w], b], p] = x
             # rounded up, so that the bound stays one
             block_max[used, b] = block[1:].max(axis=1) * 1.00001
             blocks.append(block)
+        block_bar = np.array([bar[b * per_block : (b + 1) * per_block].min() for b in range(n_blocks)])
         stride = max((min(PART, len(i.words)) for i in items), default=1)
-        return Index(items, terms, np.array([k for k, _ in parts], dtype=np.int64), block_max, row, blocks, stride)
+        return Index(items, terms, np.array([p.owner for p in parts], dtype=np.int64), bar, block_bar, block_max, row, blocks, stride)
 
     def passages(self, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
-        """(item, first word, score) of every passage and item above the threshold.
+        """(item, first word, score) of every passage and part of an item that reaches its bar.
 
         A passage is two strides long and the next one starts a stride later, so
         every part of an item that a text repeats lies whole in some passage.
@@ -126,20 +202,24 @@ class Index:
         bounds[segment[first] + 1] = np.add.reduceat(self.block_max[term], first, axis=0)
         terms_of: dict[int, np.ndarray] = {}
         # row s of the bounds is segment s - 1; passage s has segments s - 1 and s
-        for s, b in np.argwhere(bounds[:-1] + bounds[1:] >= THRESHOLD).tolist():
+        for s, b in np.argwhere(bounds[:-1] + bounds[1:] >= self.block_bar).tolist():
             if s not in terms_of:
                 low, high = np.searchsorted(segment, (s - 1, s + 1))
                 terms_of[s] = np.unique(term[low:high])
             score = self.blocks[b][self.row[terms_of[s], b]].sum(axis=0)
-            for p in np.flatnonzero(score >= THRESHOLD).tolist():
-                part = b * self.blocks[0].shape[1] + p
+            at = b * self.blocks[0].shape[1]
+            for p in np.flatnonzero(score >= self.bar[at : at + len(score)]).tolist():
+                part = at + p
                 yield int(self.owner[part]), max(0, s - 1) * self.stride, float(score[p])
 
     def leaks(self, text: str) -> list[dict]:
         """The verified items of one text, each with its best passage."""
         words = folded_words(text)
         found: dict[int, dict] = {}
+        best: dict[tuple[int, int], float] = {}
         for k, start, score in self.passages(words):
+            best[k, start] = max(score, best.get((k, start), 0.0))
+        for (k, start), score in best.items():
             item = self.items[k]
             around = shingles(words[max(0, start - len(item.words)) : start + 2 * self.stride + len(item.words)])
             question, answer = len(item.question & around), len(item.answer & around)
@@ -167,8 +247,10 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     (doc_id, item_id, first_word, score, item_overlap, question_overlap,
     answer_overlap) of the best passage; ``first_word`` is the word number where
-    it starts. An item is repeated if 75 % of its five-word shingles, or of its
-    question's, stand around a passage that BM25 retrieves. Words are compared
+    it starts, ``score`` the better of the item's and its question's, or of their
+    parts'. An item is repeated if 75 % of its five-word shingles, or of its
+    question's, stand around a passage that BM25 retrieves; a passage that has
+    them itself always is. Words are compared
     without case and punctuation. Items of fewer than five words are passed over,
     as are null texts; rows of documents that repeat are reported each, a null id
     is kept. Equal items under several ids are all reported; one row of an item
@@ -202,7 +284,7 @@ def indexes_of(benchmark: DataFrame) -> list:
     spark = benchmark.sparkSession
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-chars // INDEX_CHARS))
+    parts = max(1, -(-2 * chars // INDEX_CHARS))
     indexes = []
     for number in range(parts):
         mine = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == number).distinct().orderBy("item_id", "text")

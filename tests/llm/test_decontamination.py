@@ -98,6 +98,69 @@ def test_bounds_are_bounds_and_scores_those_of_bm25():
     assert any(k == 7 and x > 0.999 for k, _, x in got)
 
 
+def asked(docs, items):
+    """(doc, item) whose question is repeated by 75 % without regard to the answer."""
+    found = set()
+    for d, text in docs:
+        have = dc.shingles(plain_bytes(text))
+        for i, t in items:
+            own = dc.make_item(i, t)
+            if len(own.question) >= dc.LEAST_QUESTION and len(own.question & have) >= 0.75 * len(own.question):
+                found.add((d, i))
+    return found
+
+
+def plain_bytes(text):
+    return [w.encode() for w in plain_words(text)]
+
+
+def test_question_without_its_answer(spark):
+    rnd = random.Random(14)
+    # common words ask, rare words answer; in others the rare words of a question stand together
+    items = []
+    for i in range(60):
+        asking = [f"c{rnd.randrange(40)}" for _ in range(rnd.randrange(20, 50))]
+        if i % 3 == 0:
+            asking[-5:] = [f"r{i}x{k}" for k in range(5)]
+        items.append((i, " ".join(asking) + "? " + " ".join(f"a{i}x{k}" for k in range(rnd.randrange(6, 25)))))
+    docs = []
+    for k in range(180):
+        asking = items[k % 60][1].split("?")[0].split()
+        lost = rnd.randrange(6) if k >= 60 else 0
+        planted = asking[: len(asking) - lost]
+        words = made(rnd, rnd.choice([5, 80, 900]))
+        at = rnd.randrange(len(words))
+        docs.append((k, " ".join(words[:at] + planted + words[at:])))
+    got = pairs(dc.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)))
+    expected = asked(docs, items)
+    assert len(expected) > 120 and got == expected | brute(docs, items)
+
+
+def test_bars_allow_whatever_passes():
+    rnd = random.Random(15)
+    items = [dc.make_item(i, " ".join(made(rnd, rnd.randrange(12, 60))) + ". " + " ".join(made(rnd, rnd.randrange(5, 30)))) for i in range(40)]
+    index = dc.Index.build(items)
+    low = 0
+    for part, owner in enumerate(index.owner):
+        item = items[owner]
+        words = item.words if part < len(items) else item.asking
+        b, p = divmod(part, index.blocks[0].shape[1])
+        all_of = [b" ".join(words[i : i + 5]) for i in range(len(words) - 4)]
+        for _ in range(30):
+            keep = [True] * len(all_of)
+            while True:
+                at, n = rnd.randrange(len(all_of)), rnd.randrange(1, 9)
+                fewer = [x and not at <= i < at + n for i, x in enumerate(keep)]
+                if len({s for s, x in zip(all_of, fewer) if x}) < 0.75 * len(set(all_of)):
+                    break
+                keep = fewer
+            held = {w for s, x in zip(all_of, keep) if x for w in s.split()}
+            score = sum(index.blocks[b][index.row[index.terms[w], b], p] for w in held)
+            assert score >= index.bar[part]
+            low += score < dc.THRESHOLD
+    assert low > 0
+
+
 def test_question_and_answer():
     item = dc.make_item(1, "What is the name of the city on the river? It is called by the old name here.")
     assert len(item.answer) == 4 and b"name of the city on" in item.question
