@@ -32,8 +32,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 OVERLAP = 0.75
 SHINGLE = 5
-#: Fewer shingles do not make a question that can be told from ordinary text.
-LEAST_QUESTION = 8
+#: Fewer shingles, those of eight words, do not make a question that can be told from ordinary text.
+LEAST_QUESTION = 4
 #: An index holds items of about so many characters, questions counted again; more items make more indexes.
 INDEX_CHARS = 4_000_000
 BLOCKS, LEAST_BLOCK = 128, 2
@@ -53,6 +53,7 @@ class Item:
     item_id: int
     words: list[bytes]
     asking: list[bytes] = field(default_factory=list)  # the words of the question
+    whole: set = field(default_factory=set)  # with the shingles that run from the question into the answer
     question: set = field(default_factory=set)
     answer: set = field(default_factory=set)
 
@@ -67,8 +68,7 @@ def make_item(item_id: int, text: str) -> Item:
     last = folded_words(re.split(r"[.?!]\s+", text.strip())[-1])
     n = len(last) if SHINGLE <= len(last) < len(words) else max(SHINGLE, len(words) // 3)
     cut = max(0, len(words) - n)
-    answer = shingles(words[cut:])
-    return Item(item_id, words, words[:cut], shingles(words) - answer, answer)
+    return Item(item_id, words, words[:cut], shingles(words), shingles(words[:cut]), shingles(words[cut:]))
 
 
 @dataclass
@@ -222,9 +222,8 @@ class Index:
         for (k, start), score in best.items():
             item = self.items[k]
             around = shingles(words[max(0, start - len(item.words)) : start + 2 * self.stride + len(item.words)])
-            question, answer = len(item.question & around), len(item.answer & around)
-            whole = (question + answer) / (len(item.question) + len(item.answer))
-            asked = question / len(item.question) if item.question else whole
+            whole = len(item.whole & around) / len(item.whole)
+            asked = len(item.question & around) / len(item.question) if item.question else whole
             if whole >= OVERLAP or (len(item.question) >= LEAST_QUESTION and asked >= OVERLAP):
                 row = {
                     "item_id": item.item_id,
@@ -232,7 +231,7 @@ class Index:
                     "score": score,
                     "item_overlap": whole,
                     "question_overlap": asked,
-                    "answer_overlap": answer / len(item.answer),
+                    "answer_overlap": len(item.answer & around) / len(item.answer),
                 }
                 if k not in found or (whole, score, -start) > (found[k]["item_overlap"], found[k]["score"], -found[k]["first_word"]):
                     found[k] = row

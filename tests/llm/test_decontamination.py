@@ -136,6 +136,15 @@ def test_question_without_its_answer(spark):
     assert len(expected) > 120 and got == expected | brute(docs, items)
 
 
+def test_every_question_of_eight_words_is_caught_word_for_word(spark):
+    rnd = random.Random(16)
+    items = [(n, " ".join(f"q{n}x{k}" for k in range(n)) + ". " + " ".join(f"a{n}x{k}" for k in range(10))) for n in range(6, 40)]
+    docs = [(n, " ".join(made(rnd, 60) + t.split(". ")[0].split() + made(rnd, 60))) for n, t in items]
+    rows = dc.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(n, n) for n in range(8, 40)}
+    assert all(r.question_overlap == 1 and r.answer_overlap == 0 and r.item_overlap == (r.doc_id - 4) / (r.doc_id + 6) for r in rows)
+
+
 def test_bars_allow_whatever_passes():
     rnd = random.Random(15)
     items = [dc.make_item(i, " ".join(made(rnd, rnd.randrange(12, 60))) + ". " + " ".join(made(rnd, rnd.randrange(5, 30)))) for i in range(40)]
