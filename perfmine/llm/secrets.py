@@ -35,11 +35,20 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: encoding: pattern, alphabet, and of what text would be written in it the chance that two
-#: characters, and that three, are equal (decimal digits; letters of European languages)
+#: encoding, smallest alphabets first, as a key of a larger one would have its other characters:
+#: pattern, alphabet, and of what text would be written in it the chance that two
+#: characters, and that three, are equal (for decimal digits the dates yyyymmdd of 2000 to 2029,
+#: for hexadecimal ones decimal digits; letters of European languages)
 ENCODINGS = {
+    "decimal": ("^[0-9]+=*$", _DIGITS, 0.2097, 0.0574),
     "hex": ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.1, 0.01),
+    "lower": ("^[a-z]+=*$", _LOWER, 0.0667, 0.0055),
+    "upper": ("^[A-Z]+=*$", _UPPER, 0.0667, 0.0055),
     "base32": ("^[A-Z2-7]+=*$", f"{_UPPER}234567", 0.0667, 0.0055),
+    "base32lower": ("^[a-z2-7]+=*$", f"{_LOWER}234567", 0.0667, 0.0055),
+    "loweralnum": ("^[a-z0-9]+=*$", f"{_DIGITS}{_LOWER}", 0.0667, 0.0055),
+    "upperalnum": ("^[A-Z0-9]+=*$", f"{_DIGITS}{_UPPER}", 0.0667, 0.0055),
+    "letters": ("^[A-Za-z]+=*$", f"{_UPPER}{_LOWER}", 0.0667, 0.0055),
     "alnum": ("^[A-Za-z0-9]+=*$", f"{_DIGITS}{_UPPER}{_LOWER}", 0.0667, 0.0055),
     "base64": ("^[A-Za-z0-9+/]+=*$", f"{_UPPER}{_LOWER}{_DIGITS}+/", 0.0667, 0.0055),
     "base64url": ("^[A-Za-z0-9_-]+=*$", f"{_UPPER}{_LOWER}{_DIGITS}-_", 0.0667, 0.0055),

@@ -109,6 +109,38 @@ def test_battery_equals_plain_arithmetic(spark):
         assert got[i].p_random == pytest.approx(p_random, abs=1e-6) and got[i].p_text == pytest.approx(p_text, abs=1e-6)
 
 
+ALPHABETS = {
+    "decimal": string.digits,
+    "hex": "0123456789abcdef",
+    "lower": string.ascii_lowercase,
+    "upper": string.ascii_uppercase,
+    "base32": string.ascii_uppercase + "234567",
+    "base32lower": string.ascii_lowercase + "234567",
+    "loweralnum": string.ascii_lowercase + string.digits,
+    "upperalnum": string.ascii_uppercase + string.digits,
+    "letters": string.ascii_letters,
+    "alnum": string.ascii_letters + string.digits,
+    "base64": string.ascii_letters + string.digits + "+/",
+    "base64url": string.ascii_letters + string.digits + "-_",
+}
+
+
+def test_recall_of_every_encoding_and_length(spark):
+    rnd = random.Random(17)
+    keys = [(name, n, key(rnd, n, a)) for name, a in ALPHABETS.items() for n in (48, 64, 100, 200, 400) for _ in range(60)]
+    df = spark.createDataFrame([(i, k) for i, (_, _, k) in enumerate(keys)], "row long, hit string")
+    tested = secrets.tested(df).cache()
+    passed = {r.row for r in tested.where(F.col("p_random") >= secrets.LEAST_P).collect()}
+    found = {r.row for r in secrets.discovered(tested).collect()}
+    for name in ALPHABETS:
+        for n in (48, 64, 100, 200, 400):
+            own = {i for i, (e, m, _) in enumerate(keys) if (e, m) == (name, n)}
+            assert len(own & passed) >= 0.9 * len(own), (name, n)
+            # the smaller the alphabet, the longer is a key that can be told from text in it
+            if n >= {"decimal": 200, "hex": 100, "lower": 100, "upper": 100}.get(name, 64):
+                assert len(own & found) >= 0.85 * len(own), (name, n)
+
+
 def test_step_up_control(spark):
     rnd = random.Random(7)
     runs = [(float(rnd.choice([20, 40, 100])), 10 ** -rnd.uniform(0, 1.5) if rnd.random() < 0.7 else 10 ** -rnd.uniform(2, 9)) for _ in range(600)]
