@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and a battery of randomness tests. DataFrame expressions only.
 
-Long runs of key characters are candidates. From its characters each gets an
-encoding, and with the numbers of its characters in that alphabet three tests of
+Long runs of key characters are candidates; of a run with characters of both base64
+and base64url, which fits no encoding, the pieces between those of either are.
+From its characters each candidate gets an encoding, and with the numbers of its characters in that alphabet three tests of
 randomness: chi-squared uniformity, runs above and below the middle, and serial
 correlation. A secret is random, so it must not fail them. But neither do short
 words fail them. So each candidate is also tested against text: the chi-squared
@@ -33,6 +34,9 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "(?<![0-9a-f])[0-9a-f]{24,}"
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+RUN_LEAST = "[A-Za-z0-9+/_-]{20}"
+#: Characters that base64 has and base64url has not, and the other way round.
+CUTS = ("[+/]", "[_-]")
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: encoding, smallest alphabets first, as a key of a larger one would have its other characters:
@@ -72,8 +76,25 @@ def hits(text: Column, pattern: str, kind: str) -> Column:
     return F.filter(parts, lambda p: p["hit"].isNotNull())
 
 
+def in_pieces(spans: DataFrame) -> DataFrame:
+    """``spans`` with ``piece``, false, but for random runs that fit no encoding: their pieces instead.
+
+    Such a run is cut at '+' and '/', as paths are, and once more at '-' and '_',
+    as prefixes are. Every piece of 20 characters or more is a candidate; those
+    of the two ways may overlap.
+    """
+    mixed = (F.col("kind") == "random") & F.col("hit").rlike(CUTS[0]) & F.col("hit").rlike(CUTS[1])
+    ways = spans.where(mixed).select("row", "kind", F.col("start").alias("run"), F.posexplode(F.array(*[F.split("hit", cut) for cut in CUTS])).alias("way", "hits"))
+    each = ways.select("row", "kind", "run", "way", F.posexplode("hits").alias("at", "hit"))
+    before = Window.partitionBy("row", "run", "way").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("run") + F.sum(F.length("hit") + 1).over(before) - 1
+    pieces = each.withColumn("end", end).where(F.col("hit").rlike(RUN_LEAST))
+    pieces = pieces.select("row", "kind", "hit", "end", (F.col("end") - F.length("hit")).alias("start"), F.lit(True).alias("piece"))
+    return spans.where(~mixed).select("row", "kind", "hit", "end", "start", F.lit(False).alias("piece")).unionByName(pieces)
+
+
 def located(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every row of ``docs`` as (row, doc_id), and its matches as (row, kind, start, end, hit)."""
+    """Every row of ``docs`` as (row, doc_id), and its matches as (row, kind, start, end, hit, piece)."""
     text = F.col("text")
     none = F.array().cast("array<struct<kind:string,gap:bigint,hit:string>>")
     folded = F.lower(text)
@@ -84,7 +105,7 @@ def located(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(named, hits(text, ASSIGN, "assign")).otherwise(none),
         F.when(text.contains("AKIA"), hits(text, ACCESS, "access")).otherwise(none),
         F.when(text.rlike("[0-9a-f]{24}"), hits(text, HEX, "hex")).otherwise(none),
-        F.when(text.rlike("[A-Za-z0-9+/_-]{20}"), hits(text, RUN, "random")).otherwise(none),
+        F.when(text.rlike(RUN_LEAST), hits(text, RUN, "random")).otherwise(none),
     )
     # numbered once and written, so that a task that runs again cannot number anew
     rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", parts.alias("parts")), "secret-hits")
@@ -96,7 +117,7 @@ def located(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fine = (
         F.when(F.col("kind") == "assign", F.length(value) >= ASSIGN_LEAST).when(F.col("kind") == "access", F.length("hit") >= ACCESS_LEAST).otherwise(True)
     )
-    return rows.select("row", "doc_id"), spans.where(fine)
+    return rows.select("row", "doc_id"), in_pieces(spans.where(fine))
 
 
 def tested(runs: DataFrame) -> DataFrame:
@@ -176,23 +197,28 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, spans) of every row; spans are (kind, start, end, base) in code points, by start, then kind.
 
     The base kinds are always reported; ``random`` spans only where no base span
-    is. Null and empty texts have no spans. A null id is kept, and repeated rows
+    is. Of the pieces of a run, those inside another reported one are left out;
+    others may overlap. Null and empty texts have no spans. A null id is kept, and repeated rows
     are searched each, but count in the control of false discoveries. Matches,
     not texts, are shuffled; one document's matches are brought together, never
     those of several.
     """
     rows, spans = located(id_and_text(docs, id_col, text_col))
-    base = spans.where(F.col("kind") != "random").select("row", "kind", "start", "end", F.lit(True).alias("base"))
+    base = spans.where(F.col("kind") != "random").select("row", "kind", "start", "end", F.lit(True).alias("base"), F.lit(False).alias("piece"))
     runs = discovered(tested(spans.where(F.col("kind") == "random")))
-    random = runs.select("row", "kind", "start", "end", F.lit(False).alias("base"))
+    random = runs.select("row", "kind", "start", "end", F.lit(False).alias("base"), "piece")
     order = F.array_position(F.lit(list(KINDS)), F.col("kind"))
     together = (
         base.unionByName(random)
         .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct("start", order.alias("order"), "end", "kind", "base"))).alias("found"))
+        .agg(F.sort_array(F.collect_list(F.struct("start", order.alias("order"), "end", "kind", "base", "piece"))).alias("found"))
     )
     fixed = F.filter("found", lambda s: s["base"])
     clear = F.filter("found", lambda s: s["base"] | ~F.exists(fixed, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    spans = F.transform(clear, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
+    pieces = F.filter("clear", lambda s: s["piece"])
+    inside = lambda s: F.exists(pieces, lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (o["end"] - o["start"] > s["end"] - s["start"]))
+    outer = F.filter("clear", lambda s: ~s["piece"] | ~inside(s))
+    spans = F.transform(outer, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
-    return rows.join(together.select("row", spans.alias("spans")), "row", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
+    together = together.select("row", clear.alias("clear")).select("row", spans.alias("spans"))
+    return rows.join(together, "row", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))

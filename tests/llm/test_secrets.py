@@ -141,6 +141,29 @@ def test_recall_of_every_encoding_and_length(spark):
                 assert len(own & found) >= 0.85 * len(own), (name, n)
 
 
+def test_runs_of_both_alphabets_are_tested_in_pieces(spark):
+    rnd = random.Random(18)
+    rows, keys = [], {}
+    for i in range(120):
+        if i % 2:
+            own = "x_" + key(rnd, 60, ALPHABETS["base64url"])
+            text = f"é see https://host.example/reset-password/{own} now"
+        else:
+            own = key(rnd, 30, ALPHABETS["base64"]) + "+/" + key(rnd, 30, ALPHABETS["base64"])
+            text = f"é use sk-live-{own}== now"
+            own += "=="
+        keys[i] = own
+        rows.append((i, text))
+    rows += [(200 + i, "é see /some-long-directory-name/of_common_words/with-more-of-the-same/and_nothing-else") for i in range(60)]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i: [t[s["start"] : s["end"]] for s in got[i]] for i, t in rows}
+    assert sum(keys[i] in found[i] for i in keys) >= 0.85 * len(keys)
+    assert not any(found[i] for i, _ in rows if i >= 200)
+    for i in keys:  # none inside another
+        places = [(s["start"], s["end"]) for s in got[i]]
+        assert not any(p != q and p[0] <= q[0] and q[1] <= p[1] for p in places for q in places)
+
+
 def test_step_up_control(spark):
     rnd = random.Random(7)
     runs = [(float(rnd.choice([20, 40, 100])), 10 ** -rnd.uniform(0, 1.5) if rnd.random() < 0.7 else 10 ** -rnd.uniform(2, 9)) for _ in range(600)]
