@@ -21,12 +21,12 @@ from perfmine.llm.words import folded_words
 #: Phrases that are always reported, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: label | keyword that must occur | name of the license as a regex over normalised words
+#: label | keywords, one of which every match has | name of the license as a regex over normalised words
 NAMES = """
 apache-1.0 | apache | apache(?: software)? license(?: version)? 1 0
 apache-1.1 | apache | apache(?: software)? license(?: version)? 1 1
 apache-2.0 | apache | apache(?: software)? (?:license )?(?:version |v)?2(?: 0)?(?: license)?
-mit | mit | (?:mit|expat) (?:license|licence)
+mit | mit, expat | (?:mit|expat) (?:license|licence)
 mit-0 | mit no | mit no attribution(?: license)?
 bsd-2-clause | bsd | (?:bsd 2 clause|simplified bsd|two clause bsd|freebsd)(?: license)?
 bsd-3-clause | bsd | (?:bsd 3 clause|new bsd|modified bsd|three clause bsd|revised bsd)(?: license)?
@@ -59,12 +59,12 @@ isc | isc | isc license
 zlib | zlib | zlib(?: libpng)? license
 libpng | libpng | libpng license
 unlicense | unlicense | (?:the )?unlicense
-wtfpl | wtf | (?:wtfpl|do what the f\\w* you want to public license)
+wtfpl | wtfpl, do what the f | (?:wtfpl|do what the f\\w* you want to public license)
 boost-1.0 | boost | boost software license(?: (?:version )?1 0)?
 artistic-1.0 | artistic | artistic license 1 0
 artistic-2.0 | artistic | artistic license (?:version )?2(?: 0)?
 perl | perl | same terms as perl(?: itself)?
-python-2.0 | python | (?:psf|python(?: software foundation)?) license(?: (?:version )?2)?
+python-2.0 | python, psf | (?:psf|python(?: software foundation)?) license(?: (?:version )?2)?
 php-3.01 | php | php license(?: version)? 3 01
 ruby | ruby | ruby license
 openssl | openssl | openssl license
@@ -112,7 +112,7 @@ proprietary | proprietary | (?:proprietary and confidential|confidential and pro
 public-domain | public domain | (?:released into|placed in|dedicated to|in) the public domain
 """
 
-#: label | keyword | sentence of a license text or notice, as a regex over normalised words
+#: label | keywords | sentence of a license text or notice, as a regex over normalised words
 TEXTS = """
 mit | permission is hereby | permission is hereby granted free of charge to any person obtaining a copy
 isc | permission to use | permission to use copy modify and or distribute this software for any purpose
@@ -128,7 +128,7 @@ zlib | origin of this software | the origin of this software must not be misrepr
 unlicense | unencumbered | free and unencumbered software released into the public domain
 boost-1.0 | machine executable | machine executable object code generated by a source language processor
 copyright | copyright | copyright(?: c)? (?:19|20)[0-9]{2}
-no-redistribution | redistribution | (?:no|unauthorized) (?:redistribution|reproduction)
+no-redistribution | redistribution, reproduction | (?:no|unauthorized) (?:redistribution|reproduction)
 permission-required | permission | without (?:the )?(?:prior )?(?:express )?(?:written )?permission
 """
 
@@ -177,7 +177,8 @@ class Scanner:
         self.automaton = ahocorasick.Automaton()
         by_keyword: dict[str, list[int]] = {}
         for i, rule in enumerate(rules):
-            by_keyword.setdefault(rule.keyword, []).append(i)
+            for keyword in rule.keyword.split(", "):
+                by_keyword.setdefault(keyword, []).append(i)
         for keyword, which in by_keyword.items():
             self.automaton.add_word(keyword, which)
         self.automaton.make_automaton()

@@ -115,6 +115,43 @@ def test_packing_of_repeated_rows_null_ids_and_nothing(spark, odd, empty):
     assert packing.pack(empty, WORDS).count() == 0
 
 
+def written(parsed):
+    """All strings of a parsed regex, with one character of each class and one of each repetition without end."""
+    out = [""]
+    for op, value in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(value)]
+        elif op == "IN":
+            more = [next({"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(v[0]), "CATEGORY": lambda v: "x"}[str(k)](v) for k, v in value)]
+        elif op == "BRANCH":
+            more = [x for branch in value[1] for x in written(branch)]
+        elif op == "SUBPATTERN":
+            more = written(value[3])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = value
+            more = ["".join(n * [x]) for x in written(inner) for n in {low, max(low, min(high, 1))}]
+        else:
+            raise NotImplementedError(op)
+        out = [x + y for x in out for y in more]
+    return out
+
+
+def test_the_keyword_prefilter_hides_nothing():
+    rules = [r for r in licenses.default_rules() if not r.name.startswith(("grant:", "tag:", "field:"))]
+    filtered = licenses.Scanner(licenses.default_rules())
+    every = licenses.Scanner(licenses.default_rules())
+    every.automaton = type("All", (), {"iter": lambda self, flat: [(0, range(len(every.rules)))]})()
+    for rule in rules:
+        for text in set(written(re._parser.parse(rule.regex))):
+            assert re.fullmatch(rule.regex, text) and any(k in text for k in rule.keyword.split(", ")), (rule.name, text)
+    texts = ["do what the fuck you want to public license", "expat license", "psf license", "no reproduction", "unauthorized reproduction"]
+    for text in texts + [f"licensed under the {t}" for t in texts] + ODD_TEXTS[1:13]:
+        assert filtered.scan(text) == every.scan(text)
+    labels = [[d[0] for d in filtered.scan(t)[1]] for t in texts]
+    assert labels == [["wtfpl"], ["mit"], ["python-2.0"], ["no-redistribution"], ["no-redistribution"]]
+
+
 def brute_base(text):
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     found = []
