@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perfmine.llm import decontamination, language, licenses, neardup, packing, pii, secrets, sharding, tokens, topk
+from perfmine.llm import decontamination, language, licenses, neardup, packing, periodic, phrases, pii, secrets, sharding, suffixes, tokens, topk
 from perfmine.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -132,6 +133,85 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(rounded)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_phrases"] = r"""
+with d as (
+  select row_number() over () as doc, coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+  from documents
+), p as (
+  select doc, lang, generate_subscripts(pieces, 1) as piece, unnest(pieces) as text
+  from (select doc, lang, regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]') as pieces from d)
+), w as (
+  select doc, lang, piece, generate_subscripts(words, 1) as pos, unnest(words) as w1
+  from (select doc, lang, piece, regexp_extract_all(text, '[^\x20\x09]+') as words from p)
+), s as (
+  select lang, w1, lead(w1) over o as w2, lead(w1, 2) over o as w3 from w window o as (partition by doc, piece order by pos)
+), totals as (
+  select lang, count(*) as n from w group by lang
+), f as (
+  select lang, w1 as phrase, 1 as size, count(*) as f from s group by all
+  union all select lang, w1 || ' ' || w2, 2, count(*) from s where w2 is not null group by all having count(*) >= 10
+  union all select lang, w1 || ' ' || w2 || ' ' || w3, 3, count(*) from s where w3 is not null group by all having count(*) >= 10
+), cuts as (
+  select c.lang, c.phrase, c.f as a, k, l.f as l, r.f as r,
+    (1000000 * c.f::hugeint * c.f::hugeint) // (l.f::hugeint * r.f::hugeint) as score
+  from f c cross join (values (1), (2)) v(k)
+  join f l on l.lang = c.lang and l.phrase = array_to_string(list_slice(string_split(c.phrase, ' '), 1, k), ' ')
+  join f r on r.lang = c.lang and r.phrase = array_to_string(list_slice(string_split(c.phrase, ' '), k + 1, 3), ' ')
+  where c.size >= 2 and k < c.size
+), lowest as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inside as (
+  select lang, array_to_string(list_slice(string_split(phrase, ' '), i, i + 1), ' ') as phrase, max(f) as longer
+  from f cross join (values (1), (2)) v(i) where size = 3 group by all
+), kept as (
+  select c.*, row_number() over (partition by c.lang order by score desc, a desc, c.phrase) as rank
+  from lowest c left join inside i on i.lang = c.lang and i.phrase = c.phrase
+  where i.longer is null or 100 * i.longer < 50 * c.a
+)
+select lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r,
+  cast(n as bigint) as n, cast(score as bigint) as score
+from kept join totals using (lang) where rank <= 2000
+"""
+
+
+def repeat_from_a_place(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Of one document in ten, words from some place on become a period of that place's first ones."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=repeat_from_a_place)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    start, length, period = -longest["col2"], longest["length"], -longest["col3"]
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_minhash_dedup, op4_language_id, op5_exact_topk, op6_sharding, op7_token_counts, op8_pii, op9_packing, op10_decontamination)
+    f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_minhash_dedup, op4_language_id, op5_exact_topk, op6_sharding, op7_token_counts, op8_pii, op9_packing, op10_decontamination, op11_phrases, op12_periodic_runs, op13_suffix_dedup)
 }

@@ -17,7 +17,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator_and_the_pipeline():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
