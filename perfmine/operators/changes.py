@@ -11,6 +11,8 @@ from perfmine.session import staged
 # The header of a hunk and of the new file in a unified diff.
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 NEW_FILE = r"^\+\+\+ (?:b/)?([^\t]+)"
+OLD_FILE = r"^--- (?:a/)?([^\t]+)"
+NO_FILE = "/dev/null"
 VERSIONS = ("original", "patched")
 
 
@@ -83,6 +85,99 @@ def with_current_file(lines: DataFrame, keys=("patch_id",), position: str = "seq
     return scan.running(lines, list(keys), position, lasts={"file": path})
 
 
+def changed_lines_by_file(
+    lines: DataFrame, keys=("patch_id",), position: str = "seq", strict_diff: bool = True, chunk: int = scan.CHUNK
+) -> DataFrame:
+    """SC-10 and W-08 together: (keys, position, version, file, line_no) of every added and removed line.
+
+    With ``strict_diff`` a hunk is as long as its header says: a line in it that
+    begins with ``---`` or ``+++`` is a removed or added line, and one behind its
+    end is none. Until a hunk has ended each of its lines moves the counters by its
+    first character, so how many old and new lines came before tells whether it has;
+    a running sum and its value at the header are enough. Without ``strict_diff``
+    such lines are headers, as in ``numbered_lines``. The file of a removed line is
+    the old one, that of an added line the new one; a created or deleted file has
+    one name. A patch that names no file has a null file.
+    """
+    line = F.col("line")
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    is_hunk = line.rlike(HUNK_HEADER)
+
+    def header(group: int) -> Column:
+        return F.regexp_extract(line, HUNK_HEADER, group).try_cast("bigint")
+
+    def length(group: int) -> Column:
+        # a header without a length means one line
+        return F.when(is_hunk, F.coalesce(header(group), one))
+
+    def path(pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
+
+    first = F.substring("line", 1, 1)
+    wanted = staged(
+        lines.where(first.isin("@", "-", "+", " ")).select(
+            *keys,
+            position,
+            F.when(is_hunk, "@").when(first != "@", first).alias("_kind"),
+            (line.startswith("---") | line.startswith("+++")).alias("_like_header"),
+            F.when(is_hunk, header(1)).alias("_old_start"),
+            F.when(is_hunk, header(3)).alias("_new_start"),
+            length(2).alias("_old_lines"),
+            length(4).alias("_new_lines"),
+            path(OLD_FILE).alias("_old_name"),
+            path(NEW_FILE).alias("_new_name"),
+        ),
+        "diff-lines",
+    )
+    kind = F.col("_kind")
+    mark = F.lit(False) if strict_diff else F.col("_like_header")
+    old_step = F.when(kind.isin("-", " ") & ~mark, one).otherwise(zero)
+    new_step = F.when(kind.isin("+", " ") & ~mark, one).otherwise(zero)
+    at_header = F.when(kind == "@", zero)
+    counted = scan.running(
+        wanted,
+        list(keys),
+        position,
+        sums={"_old": old_step, "_new": new_step},
+        lasts={"_old_length": F.col("_old_lines"), "_new_length": F.col("_new_lines")},
+        anchors={
+            "_old_base": (F.col("_old_start"), "_old"),
+            "_new_base": (F.col("_new_start"), "_new"),
+            # the sums at the header, negated
+            "_old_before": (at_header, "_old"),
+            "_new_before": (at_header, "_new"),
+        },
+        chunk=chunk,
+        keep_chunk=True,
+    )
+    # what the hunk has had before this line, against what its header says
+    had_old = F.col("_old") - old_step + F.col("_old_before")
+    had_new = F.col("_new") - new_step + F.col("_new_before")
+    unfinished = F.coalesce((had_old < F.col("_old_length")) | (had_new < F.col("_new_length")), F.lit(False))
+    inside = (unfinished & (kind != "@")) if strict_diff else (kind.isin("-", "+", " ") & ~F.col("_like_header"))
+    marked = counted.withColumn("_inside", inside)
+    named = scan.running(
+        marked,
+        list(keys),
+        position,
+        lasts={
+            "_old_file": F.when(~F.col("_inside"), F.col("_old_name")),
+            "_new_file": F.when(~F.col("_inside"), F.col("_new_name")),
+        },
+        chunk=chunk,
+    )
+    removed = kind == "-"
+    number = F.when(removed, F.coalesce("_old_base", zero) + F.col("_old") - 1).otherwise(F.coalesce("_new_base", zero) + F.col("_new") - 1)
+    old, new = (F.nullif(F.col(c), F.lit(NO_FILE)) for c in ("_old_file", "_new_file"))
+    return named.where(F.col("_inside") & kind.isin("-", "+")).select(
+        *keys,
+        position,
+        F.when(removed, F.lit(VERSIONS[0])).otherwise(F.lit(VERSIONS[1])).alias("version"),
+        F.when(removed, F.coalesce(old, new)).otherwise(F.coalesce(new, old)).alias("file"),
+        number.alias("line_no"),
+    )
+
+
 def nearest_modules(files: DataFrame, poms: DataFrame, keys=("sha",), on=()) -> DataFrame:
     """JN-07 / W-07: the nearest ancestor directory with a build file, per file.
 
@@ -161,33 +256,46 @@ def require_passed(coverage: DataFrame) -> DataFrame:
     return coverage.where(F.when(passed, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
-def covered_line_rows(coverage: DataFrame) -> DataFrame:
-    """SC-08 as rows: one per line of each covered range."""
+def covered_ranges(coverage: DataFrame) -> DataFrame:
+    """The ranges of covered lines, one row each (first_line, last_line); reversed ones are empty."""
     part = F.trim("_part")
-    ranges = (
+    return (
         coverage.withColumn("_part", F.explode(F.split("covered_lines", ",")))
         .where(part != "")
-        .withColumn("_start", F.trim(F.substring_index(part, "-", 1)).cast("int"))
-        .withColumn("_end", F.trim(F.element_at(F.split(part, "-", 2), -1)).cast("int"))
-        .where(F.col("_start") <= F.col("_end"))
-    )
-    return ranges.withColumn("line_no", F.explode(F.sequence("_start", "_end"))).drop(
-        "covered_lines", "_part", "_start", "_end"
+        .withColumn("first_line", F.trim(F.substring_index(part, "-", 1)).cast("int"))
+        .withColumn("last_line", F.trim(F.element_at(F.split(part, "-", 2), -1)).cast("int"))
+        .where(F.col("first_line") <= F.col("last_line"))
+        .drop("covered_lines", "_part")
     )
 
 
+def covered_line_rows(coverage: DataFrame) -> DataFrame:
+    """SC-08 as rows: one per line of each covered range."""
+    return covered_ranges(coverage).withColumn("line_no", F.explode(F.sequence("first_line", "last_line"))).drop("first_line", "last_line")
+
+
 def changed_and_covered(changed: DataFrame, coverage: DataFrame) -> DataFrame:
     """JN-08 / SET-04: covered lines that were changed, per version and test.
 
-    Coverage of files without a change, the bulk of a report, is left out before
-    its ranges become lines. The join key includes the line, so a file that many
-    tests touch spreads over its lines. A line that a text names twice comes
-    twice.
+    An interval join: a range of up to 2^k lines lies in at most two bins of 2^k
+    lines and is sent to those only, however long it is. A changed line looks into
+    its bin of each width that its file's ranges have. The key of the join has the
+    bin, so a file that many tests touch spreads over its bins. Coverage of files
+    without a change, the bulk of a report, is left out first. A line that a text
+    names twice comes twice.
     """
     file = ["commit_id", "version", "file"]
     lines = changed.select(*file, F.col("line_no").cast("int").alias("line_no")).distinct()
     touched = coverage.join(changed.select(*file).distinct(), file, "left_semi")
-    return covered_line_rows(touched).join(lines, [*file, "line_no"])
+    # the bits of (length - 1) are the least k with 2^k >= length
+    ranges = covered_ranges(touched).withColumn("_width", F.length(F.bin(F.col("last_line").cast("bigint") - F.col("first_line"))))
+    ranges = ranges.withColumn("_width", F.when(F.col("first_line") == F.col("last_line"), 0).otherwise(F.col("_width")))
+    bins = F.expr("array_distinct(array(shiftright(first_line, _width), shiftright(last_line, _width)))")
+    placed = ranges.withColumn("_bin", F.explode(bins))
+    widths = ranges.select(*file, "_width").distinct()
+    asked = lines.join(widths, file).withColumn("_bin", F.expr("shiftright(line_no, _width)"))
+    within = F.col("line_no").between(F.col("first_line"), F.col("last_line"))
+    return placed.join(asked, [*file, "_width", "_bin"]).where(within).drop("first_line", "last_line", "_width", "_bin")
 
 
 def covering_tests(changed: DataFrame, coverage: DataFrame) -> DataFrame:

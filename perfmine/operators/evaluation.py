@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perfmine.operators.measurement import ORIGINAL
+from perfmine.operators.measurement import ORIGINAL, PATCHED, TestSettings
+
+#: An evaluation runs each version twice.
+EVALUATION = TestSettings(runs=2)
 
 # The judgements, best first.
 JUDGEMENTS = ("Exact Match", "Semantic Equivalence", "Partial Improvement", "Correct Location", "Off", "N/A")
@@ -15,29 +18,36 @@ NOT_GENERATED = "N/A"
 SLICES = ("all", "generated", "single_file", "multi_file", "single_module", "multi_module")
 
 
-def fold_outcomes(candidates: DataFrame, outcomes: DataFrame, must_pass: str | None = ORIGINAL) -> DataFrame:
+def fold_outcomes(
+    candidates: DataFrame, outcomes: DataFrame, must_pass: str | None = ORIGINAL, settings: TestSettings = EVALUATION
+) -> DataFrame:
     """AG-22: one result per candidate from the outcomes of its logs.
 
     A patch that does not apply fails everything; else the first failing log in
-    run order decides (the original version runs first). A failure of the
-    version ``must_pass`` is an error of the setup. Without any log the test
-    fields are null.
+    run order decides (the original version runs first), and later logs may be
+    absent, as the runs stop there. A failure of the version ``must_pass`` is an
+    error of the setup. So is a candidate without a failing log that lacks a log
+    of either version; its test fields are null.
     """
     failed = F.col("compile_error") | ~F.col("build_ok")
     order = F.struct("run_no", F.when(F.col("version") == ORIGINAL, 0).otherwise(1))
+    last = settings.first_run + settings.runs - 1
+    expected = F.col("version").isin(ORIGINAL, PATCHED) & F.col("run_no").between(settings.first_run, last)
     first = outcomes.groupBy("commit_id").agg(
-        F.count(F.lit(1)).alias("_logs"),
+        F.count_if(expected).alias("_logs"),
         F.min_by(F.struct("version", "compile_error"), F.when(failed, order)).alias("_first"),
     )
-    kind = F.col("_first.compile_error")
-    ran = F.col("patch_applicable") & F.col("_logs").isNotNull()
-    error = F.lit(False) if must_pass is None else ran & (F.coalesce(F.col("_first.version"), F.lit("")) == must_pass)
+    stopped = F.col("_first").isNotNull()
+    complete = F.coalesce(F.col("_logs") == 2 * settings.runs, F.lit(False))
+    ran = F.col("patch_applicable") & (stopped | complete)
+    lacking = F.col("patch_applicable") & ~stopped & ~complete
+    broken = F.lit(False) if must_pass is None else F.col("patch_applicable") & F.coalesce(F.col("_first.version") == must_pass, F.lit(False))
     return candidates.join(first, "commit_id", "left").select(
         "commit_id",
         "patch_applicable",
-        F.when(~F.col("patch_applicable"), F.lit(False)).when(ran, ~F.coalesce(kind, F.lit(False))).alias("compile_success"),
-        F.when(~F.col("patch_applicable"), F.lit(False)).when(ran, F.col("_first").isNull()).alias("test_success"),
-        error.alias("setup_error"),
+        F.when(~F.col("patch_applicable"), F.lit(False)).when(ran, ~F.coalesce(F.col("_first.compile_error"), F.lit(False))).alias("compile_success"),
+        F.when(~F.col("patch_applicable"), F.lit(False)).when(ran, ~stopped).alias("test_success"),
+        (broken | lacking).alias("setup_error"),
     )
 
 

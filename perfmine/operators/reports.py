@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from perfmine.functions import links
 from perfmine.functions.stats import exact_quantiles
+from perfmine.functions.text import stripped
 from perfmine.schemas import SUCCESS_STATUS
 
 # Report bounds and star buckets, closed on the left, open on the right.
@@ -89,7 +90,7 @@ def by_stars(dataset: DataFrame) -> DataFrame:
 def with_years_and_stars(dataset: DataFrame, years: DataFrame, stars: DataFrame) -> DataFrame:
     """JN-11: year by ``repo@sha`` and stars by repository; unknown stays null."""
     keyed = dataset.withColumn("_key", links.commit_key(F.col("repo"), F.col("after_commit"))).withColumn(
-        "_repo", F.trim("repo")
+        "_repo", stripped(F.col("repo"))
     )
     by_key = years.select(F.col("commit_key").alias("_key"), "commit_year")
     by_repo = stars.select(F.col("repo").alias("_repo"), F.col("stars").alias("repo_stars"))

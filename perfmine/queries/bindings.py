@@ -95,6 +95,21 @@ union all
 select l_suppkey as commit_id, {_VERSION} as version, l_orderkey % 31 + 1 as run_no, max(l_orderkey) * 8 + 9 as line_no,
        case when l_suppkey % 7 = 3 and l_orderkey % 31 = 5 then '[INFO] BUILD FAILURE' else '[INFO] BUILD SUCCESS' end as line
 from lineitem group by l_suppkey, {_VERSION}, l_orderkey % 31""",
+    # logs of few commits, as files: commits 0 and 2 get faster, 4 slower, 3 has a failed log, 5 lacks one
+    "b_log_files": f"""
+select commit_id, version, run_no, line_no, line from (
+select commit_id, version, run_no, line_no,
+       concat('[INFO] Tests run: 3, Failures: 0, Errors: 0, Skipped: 0, Time elapsed: ',
+              cast(q + case when commit_id in (0, 2) and version = 'original' or commit_id = 4 and version = 'patched' then 60 else 0 end as string),
+              '.5 s -- in org.x.T', cast(pk % 5 as string)) as line
+from (select l_suppkey % 7 as commit_id, {_VERSION} as version, l_orderkey % 31 + 1 as run_no,
+             l_orderkey * 8 + l_linenumber as line_no, min(l_partkey) as pk, cast(min(l_quantity) as bigint) as q
+      from lineitem group by 1, 2, 3, 4) t
+union all
+select l_suppkey % 7 as commit_id, {_VERSION} as version, l_orderkey % 31 + 1 as run_no, max(l_orderkey) * 8 + 9 as line_no,
+       case when l_suppkey % 7 = 3 and l_orderkey % 31 = 5 and {_VERSION} = 'patched' then '[INFO] BUILD FAILURE' else '[INFO] BUILD SUCCESS' end as line
+from lineitem group by l_suppkey % 7, {_VERSION}, l_orderkey % 31) a
+where not (commit_id = 5 and version = 'patched' and run_no = 9)""",
     # build output with successes and all kinds of failure
     "b_build_logs": f"""
 select commit_id, version, run_no, line_no,
@@ -170,6 +185,13 @@ select patch_id, seq,
 from (select l_suppkey as patch_id, l_orderkey * 8 + l_linenumber as seq, min(l_linenumber) as ln,
              min(l_partkey) as pk, min(l_returnflag) as f
       from lineitem group by 1, 2) t""",
+    # coverage of the files that the diffs name
+    "b_diff_coverage": f"""
+select distinct l_suppkey as commit_id, {_VERSION} as version, concat('src/test/java/T', cast(l_orderkey % 20 as string), '/m') as test_path,
+       'PASSED' as result, concat('x', cast(l_partkey % 7 as string)) as file,
+       concat(cast(l_partkey % 100 + 1 as string), '-', cast(l_partkey % 100 + l_linenumber as string),
+              case when l_partkey % 997 = 0 then ',200-2000000000' else '' end) as covered_lines
+from lineitem""",
     "b_poms": """
 select distinct concat('mod', cast(s_suppkey % 5 as string)) as dir from supplier
 union all select distinct concat('mod', cast(s_suppkey % 5 as string), '/src/main') as dir from supplier where s_acctbal < 0

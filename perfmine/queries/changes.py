@@ -102,6 +102,13 @@ def _(t):
     )
 
 
+@query("st_03_line_lists", oracle=f"""with {_NUMBERED}
+select patch_id, version, array_to_string(list_sort(list_distinct(list(line_no))), ' ') as line_list from numbered group by all""")
+def _(t):
+    numbers = F.transform(F.sort_array(F.collect_set("line_no")), lambda n: n.cast("string"))
+    return c.numbered_lines(t.bind("b_diff_lines")).groupBy("patch_id", "version").agg(F.array_join(numbers, " ").alias("line_list"))
+
+
 @query("w_08_current_file", oracle=r"""
 select patch_id, seq, last_value(nullif(regexp_extract(line, '^\+\+\+ (?:b/)?([^\t]+)', 1), '') ignore nulls) over (partition by patch_id order by seq) as file
 from b_diff_lines""")
@@ -290,6 +297,59 @@ def _(t):
     return c.coverage_rows(coverage_source.read_reports(t.spark, folder)).distinct()
 
 
+# strict: a hunk has as many lines as its header says; its header line may leave out the length of one line
+_STRICT = r"""
+headed as (
+  select *, regexp_extract(line, '^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@', ['a', 'b', 'c', 'd']) as h, left(line, 1) as k from b_diff_lines
+),
+spans as (select *, sum(case when h.a <> '' then 1 else 0 end) over (partition by patch_id order by seq) as hunk from headed),
+sizes as (
+  select *, max(try_cast(h.a as bigint)) over g as old_start, max(try_cast(h.c as bigint)) over g as new_start,
+         max(case when h.a <> '' then coalesce(try_cast(h.b as bigint), 1) end) over g as old_lines,
+         max(case when h.a <> '' then coalesce(try_cast(h.d as bigint), 1) end) over g as new_lines,
+         sum(case when k in ('-', ' ') then 1 else 0 end) over w as o, sum(case when k in ('+', ' ') then 1 else 0 end) over w as n
+  from spans window g as (partition by patch_id, hunk), w as (partition by patch_id, hunk order by seq)
+),
+inner_lines as (
+  select *, k in ('-', '+', ' ') and coalesce(o - (case when k in ('-', ' ') then 1 else 0 end) < old_lines or n - (case when k in ('+', ' ') then 1 else 0 end) < new_lines, false) as inside
+  from sizes
+),
+files as (
+  select *, last_value(case when not inside then nullif(regexp_extract(line, '^--- (?:a/)?([^\t]+)', 1), '') end ignore nulls) over w as old_file,
+         last_value(case when not inside then nullif(regexp_extract(line, '^\+\+\+ (?:b/)?([^\t]+)', 1), '') end ignore nulls) over w as new_file
+  from inner_lines window w as (partition by patch_id order by seq)
+),
+strict_lines as (
+  select patch_id, seq, case k when '-' then 'original' else 'patched' end as version,
+         case k when '-' then coalesce(nullif(old_file, '/dev/null'), nullif(new_file, '/dev/null')) else coalesce(nullif(new_file, '/dev/null'), nullif(old_file, '/dev/null')) end as file,
+         cast(case k when '-' then old_start + o - 1 else new_start + n - 1 end as bigint) as line_no
+  from files where inside and k in ('-', '+')
+)"""
+
+
+@query("sc_10_strict_lines", oracle=f"with {_STRICT} select patch_id, seq, version, file, line_no from strict_lines")
+def _(t):
+    return c.changed_lines_by_file(t.bind("b_diff_lines"))
+
+
+@query("e4_durations_from_diffs", oracle=f"""with {_STRICT},
+parts as (select commit_id, version, test_path, file, trim(unnest(string_split(covered_lines, ','))) as p from b_diff_coverage),
+ranges as (select *, cast(split_part(p, '-', 1) as bigint) as low, cast(split_part(p, '-', -1) as bigint) as high from parts where p <> ''),
+tests as (
+  select distinct commit_id, test_path from ranges r
+  join (select distinct patch_id, version, file, line_no from strict_lines) s
+    on s.patch_id = r.commit_id and s.version = r.version and s.file = r.file and s.line_no between low and high
+)
+select t.commit_id, sum(o.duration) as original, sum(p.duration) as patched from tests t
+left join b_test_durations o on o.commit_id = t.commit_id and o.test_path = t.test_path and o.version = 'original'
+left join b_test_durations p on p.commit_id = t.commit_id and p.test_path = t.test_path and p.version = 'patched' group by t.commit_id""")
+def _(t):
+    """From diff text and coverage to the time of the tests that cover a change."""
+    changed = c.changed_lines_by_file(t.bind("b_diff_lines")).withColumnRenamed("patch_id", "commit_id")
+    tests = c.covering_tests(changed, t.bind("b_diff_coverage"))
+    return c.total_durations(c.both_durations(tests, t.bind("b_test_durations")))
+
+
 @query("sc_27_covered_paths", oracle="""
 select distinct commit_id, concat('mod', cast(commit_id % 2 as varchar), '/src/main/java/', file, '.java') as path from b_coverage where commit_id % 2 = 1
 union all select distinct commit_id, concat('src/main/java/', file, '.java') as path from b_coverage where commit_id % 2 = 0""")

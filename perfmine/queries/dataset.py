@@ -143,9 +143,9 @@ select count(*) filter (o.repo is not null and u.repo is not null) as matched,
        count(*) filter (u.repo is null) as only_old, count(*) filter (o.repo is null) as only_new
 from b_dataset o full join updates u on o.repo = u.repo and o.after_commit = u.after_commit""")
 def _(t):
-    old = t.bind("b_dataset").select("repo", "after_commit", F.lit(1).alias("o"))
+    old = t.bind("b_dataset").select("repo", "after_commit", F.lit(1).alias("o"), F.lit(None).cast("int").alias("n"))
     new = _updates(t).select("repo", "after_commit", F.lit(1).alias("n"))
-    return old.join(new, ["repo", "after_commit"], "full_outer").agg(
+    return d.upsert(old, new).agg(
         F.count_if(F.col("o").isNotNull() & F.col("n").isNotNull()).alias("matched"),
         F.count_if(F.col("n").isNull()).alias("only_old"),
         F.count_if(F.col("o").isNull()).alias("only_new"),

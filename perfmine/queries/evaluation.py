@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from perfmine.functions import links, paths
 from perfmine.operators import changes, evaluation as e, measurement, mining, tasks
+from perfmine.plans import measurement as plan
 from perfmine.queries.changes import _MODULES
-from perfmine.queries.measurement import _OUTCOMES
+from perfmine.queries.measurement import _OUTCOMES, _TOTALS, _tail
 from perfmine.queries.registry import query
 from perfmine.session import scratch_path
 from perfmine.sources import labels, results
@@ -17,12 +18,16 @@ ranked as (
   select *, row_number() over (partition by commit_id order by (compile_error or not build_ok) desc, run_no, version) as rn
   from outcomes
 ),
-first_log as (select commit_id, version, compile_error, (compile_error or not build_ok) as failed from ranked where rn = 1),
+first_log as (
+  select commit_id, version, compile_error, (compile_error or not build_ok) as failed,
+         (select count(*) from outcomes o where o.commit_id = ranked.commit_id and o.run_no between 1 and 2) as logs
+  from ranked where rn = 1
+),
 folded as (
   select c.commit_id, c.patch_applicable,
-         case when not patch_applicable then false when l.commit_id is not null then not (failed and compile_error) end as compile_success,
-         case when not patch_applicable then false when l.commit_id is not null then not failed end as test_success,
-         patch_applicable and l.commit_id is not null and failed and version = 'original' as setup_error
+         case when not patch_applicable then false when failed or logs = 4 then not (failed and compile_error) end as compile_success,
+         case when not patch_applicable then false when failed or logs = 4 then not failed end as test_success,
+         patch_applicable and case when coalesce(failed, false) then version = 'original' else coalesce(logs, 0) < 4 end as setup_error
   from b_candidates c left join first_log l on l.commit_id = c.commit_id
 )"""
 
@@ -43,6 +48,72 @@ def _(t):
     return results.read_evaluations(t.spark, path).select("commit_id", "patch_applicable", "compile_success", "test_success")
 
 
+_RESULTS = f"""with {_TOTALS.strip()},
+ended as (
+  select commit_id, version, run_no, bool_or(contains(line, 'BUILD SUCCESS')) and not bool_or(contains(line, 'BUILD FAILURE') or contains(line, 'BUILD ERROR')) as good
+  from b_run_logs group by all
+),
+stops as (
+  select commit_id, count(*) filter (run_no between 1 and 31) as logs, arg_min(version, run_no * 2 + cast(version <> 'original' as int)) filter (not good) as broken
+  from ended group by all
+),
+states as (
+  select s_suppkey as commit_id, s_suppkey % 5 <> 4 as applicable, broken, coalesce(logs, 0) as logs, s_suppkey % 5 <> 4 and broken is null and coalesce(logs, 0) = 62 as passed
+  from supplier left join stops on commit_id = s_suppkey
+),
+vectors as (
+  select commit_id, string_agg(cast(cast(round(total_seconds * 1000) as bigint) as varchar), ' ' order by run_no) filter (version = 'original') as original_exec_times,
+         string_agg(cast(cast(round(total_seconds * 1000) as bigint) as varchar), ' ' order by run_no) filter (version = 'patched') as patched_exec_times
+  from totals group by all
+),
+sides as (
+  select o.commit_id, o.test_class, count(*) filter (p.seconds < 0.95 * o.seconds) as wins, count(*) filter (p.seconds > 0.95 * o.seconds) as losses,
+         count(*) filter (o.seconds < 0.95 * p.seconds) as rwins, count(*) filter (o.seconds > 0.95 * p.seconds) as rlosses
+  from last_times o join last_times p on o.commit_id = p.commit_id and o.run_no = p.run_no and o.test_class = p.test_class
+   and o.version = 'original' and p.version = 'patched'
+  where o.run_no > 1 group by all having count(*) = 30 and min(least(o.seconds, p.seconds)) >= 0.01
+),
+classes as (
+  select commit_id, string_agg(test_class, '|' order by test_class) filter ({_tail('wins', 'losses')} < 0.1) as improved,
+         string_agg(test_class, '|' order by test_class) filter (not coalesce({_tail('wins', 'losses')} < 0.1, false) and {_tail('rwins', 'rlosses')} < 0.1) as regressed
+  from sides group by all
+)
+select s.commit_id, applicable as patch_applicable,
+       case when not applicable then false when broken is not null or passed then true end as compile_success,
+       case when not applicable then false when broken is not null or passed then passed end as test_success,
+       case when passed then coalesce(improved, '') end as improved, case when passed then coalesce(regressed, '') end as regressed,
+       case when passed then original_exec_times end as original_exec_times, case when passed then patched_exec_times end as patched_exec_times,
+       applicable and case when broken is not null then broken = 'original' else not passed end as setup_error
+from states s left join vectors v using (commit_id) left join classes c using (commit_id)"""
+
+
+def _results(t):
+    candidates = t.table("supplier").select(F.col("s_suppkey").alias("commit_id"), (F.col("s_suppkey") % 5 != 4).alias("patch_applicable"))
+    return plan.evaluation_results(candidates, t.bind("b_run_logs"), measurement.DEFAULT)
+
+
+def _plain(results_):
+    cell = F.col("significant_improvements")
+    millis = lambda c: F.array_join(F.transform(c, lambda s: F.round(s * 1000).cast("bigint").cast("string")), " ").alias(c)
+    return results_.select(
+        "commit_id", "patch_applicable", "compile_success", "test_success",
+        F.array_join(cell[measurement.IMPROVED], "|").alias("improved"), F.array_join(cell[measurement.REGRESSED], "|").alias("regressed"),
+        millis("original_exec_times"), millis("patched_exec_times"), *[c for c in ("setup_error",) if c in results_.columns],
+    )
+
+
+@query("e3_evaluation_results", oracle=_RESULTS)
+def _(t):
+    return _plain(_results(t))
+
+
+@query("snk_03_whole_results", oracle=f"select * exclude (setup_error) from ({_RESULTS}) where not setup_error")
+def _(t):
+    path = scratch_path(t.spark, "results")
+    results.write_evaluations(_results(t).where("not setup_error").drop("setup_error"), path)
+    return _plain(results.read_evaluations(t.spark, path))
+
+
 # pull request numbers are those of a repository: 7 numbers occur in several, with several commits each
 _MATCHED = """
 dataset as (
@@ -256,9 +327,8 @@ def _(t):
 
 
 @query("sc_23_commit_diffs", oracle="""
-with fitting as (select sha from b_commit_files group by sha having count(*) <= 20)
 select sha, string_agg(concat('--- ', path, chr(10), '@@ ', status, chr(10)), '' order by path, status) as diff
-from b_commit_files semi join fitting using (sha) where path not like '%.xml' group by sha""")
+from b_commit_files where path not like '%.xml' group by sha""")
 def _(t):
-    # one cell per commit: only for what FLT-04 lets through, as in the mining plan
-    return tasks.commit_diffs(_patches(mining.files_of_small_commits(t.bind("b_commit_files"))))
+    # one cell per commit, as large as the commit; sc_23_diff_pieces has the same as rows
+    return tasks.commit_diffs(_patches(t.bind("b_commit_files")))

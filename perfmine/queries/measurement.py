@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from perfmine.functions import links
 from perfmine.operators import measurement as m
 from perfmine.plans import measurement as plan
 from perfmine.queries.registry import query
+from perfmine.schemas import DATASET
+from perfmine.session import scratch_path
 
 # --- shared SQL of the oracles --------------------------------------------------
 
@@ -317,3 +320,58 @@ def _(t):
     return result.withColumn("exec_time_improvement", F.round("exec_time_improvement", 6)).withColumn(
         "p_value", F.round("p_value", 6)
     )
+
+
+_RECORDED = f"""with {_TOTALS}{_MEASURABLE},
+sides as (
+  select o.commit_id, o.test_class, count(*) filter (p.seconds < 0.95 * o.seconds) as wins, count(*) filter (p.seconds > 0.95 * o.seconds) as losses,
+         count(*) filter (o.seconds < 0.95 * p.seconds) as rwins, count(*) filter (o.seconds > 0.95 * p.seconds) as rlosses
+  from last_times o join last_times p on o.commit_id = p.commit_id and o.run_no = p.run_no and o.test_class = p.test_class
+   and o.version = 'original' and p.version = 'patched'
+  where o.run_no > 1 group by all having count(*) = 30 and min(least(o.seconds, p.seconds)) >= 0.01
+),
+v as (
+  select commit_id, string_agg(test_class, '|' order by test_class) filter ({_tail('wins', 'losses')} < 0.1) as improved,
+         string_agg(test_class, '|' order by test_class) filter (not coalesce({_tail('wins', 'losses')} < 0.1, false) and {_tail('rwins', 'rlosses')} < 0.1) as regressed
+  from sides group by all
+),
+s as (select commit_id, sum(o) as so, sum(p) as sp, count(*) filter (p < 0.95 * o) as wins, count(*) filter (p > 0.95 * o) as losses
+      from total_pairs group by all),
+new as (
+  select s.commit_id, (so - sp) / nullif(so, 0) as improvement, {_tail('wins', 'losses')} as p_value, coalesce(improved, '') as improved, coalesce(regressed, '') as regressed
+  from s left join v using (commit_id) semi join measurable using (commit_id)
+),
+old as (select distinct l_suppkey % 7 as commit_id from lineitem where l_suppkey % 7 <> 1)
+select concat('o/r', cast(commit_id as varchar)) as repo, md5(cast(commit_id as varchar)) as after_commit,
+       case when new.commit_id is not null then 'maven_execution_successful' else 'docker_image_built' end as exec_status,
+       round(improvement, 6) as exec_time_improvement, round(p_value, 6) as p_value, improved, regressed,
+       case when old.commit_id is not null then commit_id + 100 end as pr_number
+from old full join new using (commit_id)""".replace("b_run_logs", "b_log_files")
+
+
+@query("e2_dataset_from_log_files", oracle=_RECORDED)
+def _(t):
+    """From log files of both name forms to the dataset after the upsert."""
+    n = F.col("commit_id")
+    sha = F.md5(n.cast("string").cast("binary"))
+    run = F.col("run_no").cast("string")
+    name = F.when(n % 2 == 0, F.concat("version", F.lit("_repo_mvnw_"), run, F.lit(".log"))).otherwise(
+        F.concat(F.lit("mvnw_"), (F.col("run_no") - 1).cast("string"), F.lit("_"), "version", F.lit(".log"))
+    )
+    path = scratch_path(t.spark, "log-files")
+    key = links.path_key(F.concat(F.lit("o/r"), n.cast("string")), sha)
+    files = t.bind("b_log_files").select(key.alias("commit"), name.alias("name"), "line_no", F.col("line").alias("value"))
+    files.repartition("commit", "name").sortWithinPartitions("commit", "name", "line_no").drop("line_no").write.partitionBy("commit", "name").text(path)
+
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in DATASET}
+    known = t.table("lineitem").select((F.col("l_suppkey") % 7).cast("long").alias("commit_id")).distinct().where("commit_id <> 1")
+    filled = {
+        "repo": F.concat(F.lit("o/r"), n.cast("string")), "after_commit": sha, "exec_status": F.lit("docker_image_built"), "pr_number": n + 100,
+    }
+    dataset = known.select(*[value.alias(c) for c, value in {**empty, **filled}.items()])
+    result = plan.record_measurements(t.spark, path, dataset, F.regexp_extract("file", r"/commit=([^/]*)/", 1))
+    cell = F.col("test_class_improvements")
+    return result.select(
+        "repo", "after_commit", "exec_status", F.round("exec_time_improvement", 6).alias("exec_time_improvement"), F.round("p_value", 6).alias("p_value"),
+        F.array_join(cell[m.IMPROVED], "|").alias("improved"), F.array_join(cell[m.REGRESSED], "|").alias("regressed"), "pr_number",
+    )

@@ -105,14 +105,16 @@ def _(t):
 
 
 @query("jn_11_years_and_stars", oracle="""
-select d.repo, d.after_commit, y.commit_year, s.stars as repo_stars from b_dataset d
+select case when d.after_commit like '0%' then concat(d.repo, chr(9)) else d.repo end as repo, d.after_commit, y.commit_year, s.stars as repo_stars from b_dataset d
 left join (select repo, after_commit, commit_year from b_dataset where exec_status is not null) y on y.repo = d.repo and y.after_commit = d.after_commit
 left join (select full_name, stars from b_repos where not archived) s on s.full_name = d.repo""")
 def _(t):
     data = t.bind("b_dataset")
     years = data.where("exec_status is not null").select(links.commit_key(F.col("repo"), F.col("after_commit")).alias("commit_key"), "commit_year")
     stars = t.bind("b_repos").where("not archived").select(F.col("full_name").alias("repo"), "stars")
-    return r.with_years_and_stars(data.select("repo", "after_commit"), years, stars)
+    # some names end in a tab
+    repo = F.when(F.col("after_commit").startswith("0"), F.concat("repo", F.lit("\t"))).otherwise(F.col("repo"))
+    return r.with_years_and_stars(data.select(repo.alias("repo"), "after_commit"), years, stars)
 
 
 @query("src_17_year_star_cache", oracle="""

@@ -6,6 +6,8 @@ import random
 import re
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from perfmine.functions import scan
@@ -317,14 +319,19 @@ def test_outcomes_fold_in_run_order(spark, rows):
         (1, "original", 1, True, False), (1, "patched", 1, True, False),
         (2, "original", 1, True, False), (2, "patched", 1, False, True), (2, "patched", 2, False, False),
         (3, "original", 1, False, False), (4, "patched", 2, False, False), (4, "original", 2, True, False),
+        *((7, version, run, True, False) for version in ("original", "patched") for run in (1, 2)),
+        *((8, version, run, True, False) for version, run in (("original", 1), ("patched", 1), ("original", 2), ("patched", 3))),
     ]
     outcomes = spark.createDataFrame(logs, "commit_id long, version string, run_no long, build_ok boolean, compile_error boolean")
-    candidates = spark.createDataFrame([(i, i != 5) for i in range(1, 7)], "commit_id long, patch_applicable boolean")
+    candidates = spark.createDataFrame([(i, i != 5) for i in range(1, 9)], "commit_id long, patch_applicable boolean")
     got = rows(evaluation.fold_outcomes(candidates, outcomes), "commit_id", "compile_success", "test_success", "setup_error")
     assert got == [
-        (1, True, True, False), (2, False, False, False), (3, True, False, True), (4, True, False, False),
-        (5, False, False, False), (6, None, None, False),
+        (1, None, None, True), (2, False, False, False), (3, True, False, True), (4, True, False, False),
+        (5, False, False, False), (6, None, None, True), (7, True, True, False), (8, None, None, True),
     ]
+    # with one run each, the first candidate has all its logs
+    one = evaluation.fold_outcomes(candidates, outcomes, settings=measurement.TestSettings(runs=1))
+    assert rows(one.where("commit_id = 1"), "compile_success", "test_success", "setup_error") == [(True, True, False)]
 
 
 def test_task_and_diff_texts(spark):
@@ -333,3 +340,76 @@ def test_task_and_diff_texts(spark):
     assert tasks.task_texts(df, text).first()["task"] == "r|T||m1,m2|a\nb"
     files = spark.createDataFrame([("s", 2, "b", "P2"), ("s", 1, "a", "P1"), ("s", 3, "c", None)], "sha string, position int, path string, patch string")
     assert tasks.commit_diffs(files).first()["diff"] == "--- a\nP1\n--- b\nP2\n"
+
+
+def plain_diff(lines):
+    """(position, version, file, line_no) of a patch, hunk by hunk."""
+    out, old, new, left_old, left_new, old_file, new_file = [], 0, 0, 0, 0, None, None
+    for at, line in enumerate(lines):
+        if left_old > 0 or left_new > 0:
+            if line[:1] == "-":
+                out.append((at, "original", old_file or new_file, old))
+            if line[:1] == "+":
+                out.append((at, "patched", new_file or old_file, new))
+            old, left_old = old + (line[:1] in "- "), left_old - (line[:1] in "- ")
+            new, left_new = new + (line[:1] in "+ "), left_new - (line[:1] in "+ ")
+        elif head := re.match(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", line):
+            old, left_old, new, left_new = (int(x) if x is not None else 1 for x in head.groups())
+        elif line.startswith("--- "):
+            old_file = None if "/dev/null" in line else line[6:]
+        elif line.startswith("+++ "):
+            new_file = None if "/dev/null" in line else line[6:]
+    return out
+
+
+def made_patch(rng):
+    lines = []
+    for n in range(rng.randint(1, 4)):
+        created, deleted = rng.random() < 0.2, rng.random() < 0.2
+        lines += ["diff --git a/x b/x", "--- /dev/null" if created else f"--- a/old{n}", "+++ /dev/null" if deleted and not created else f"+++ b/new{n}"]
+        for _ in range(rng.randint(0, 3)):
+            body = [rng.choice("-+ ") + rng.choice(["x", "-- a/trap", "++ b/trap", "", "@@ -1,1 +1,1 @@"]) for _ in range(rng.randint(1, 9))]
+            old, new = (sum(b[0] in side for b in body) for side in ("- ", "+ "))
+            size = lambda k: "" if k == 1 and rng.random() < 0.5 else f",{k}"
+            lines += [f"@@ -{rng.randint(0, 50)}{size(old)} +{rng.randint(0, 50)}{size(new)} @@ f()", *body]
+            if rng.random() < 0.3:
+                lines.append("\\ No newline at end of file")
+        if rng.random() < 0.3:
+            lines += ["-- ", "2.43.0", "+ signature"]
+    return lines
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 7, 1_000_000])
+def test_strict_diff_equals_a_plain_parser(spark, chunk):
+    rng = random.Random(chunk)
+    patches = [made_patch(rng) for _ in range(25)] + [["--- a/f", "+++ b/f", "@@ -1,2 +1,1 @@", "--- x", " y", "--- z"]]
+    df = spark.createDataFrame([(k, at, line) for k, p in enumerate(patches) for at, line in enumerate(p)], "patch_id long, seq long, line string")
+    got = sorted(tuple(r) for r in changes.changed_lines_by_file(df, chunk=chunk).collect())
+    assert got == sorted((k, *row) for k, p in enumerate(patches) for row in plain_diff(p))
+    assert (25, 3, "original", "f", 1) in got and not [r for r in got if r[:2] == (25, 5)]
+
+
+def test_changed_lines_by_file_agrees_with_the_lenient_numbers(spark):
+    lines = ["+++ b/f", "@@ -3,2 +5,2 @@", "-a", "--- b", "+c", "+++ g", "+d", "tail", "+e"]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "patch_id long, seq long, line string")
+    lenient = changes.changed_lines_by_file(df, strict_diff=False)
+    assert sorted(map(tuple, lenient.drop("file").collect())) == sorted(map(tuple, changes.numbered_lines(df).collect()))
+    assert {r.seq: r.file for r in lenient.collect()} == {2: "f", 4: "f", 6: "g", 8: "g"}
+
+
+@given(st.lists(st.tuples(st.integers(0, 70), st.integers(-2, 40)), max_size=12), st.sets(st.integers(0, 120), max_size=20))
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_interval_join_finds_what_lines_find(spark, ranges, lines):
+    text = ",".join(f"{a}-{a + w}" for a, w in ranges) or " "
+    coverage = spark.createDataFrame([(1, "patched", "T", "f", text), (1, "patched", "U", "other", "1-9")], "commit_id long, version string, test_path string, file string, covered_lines string")
+    changed = spark.createDataFrame([(1, "patched", "f", n) for n in lines], "commit_id long, version string, file string, line_no long")
+    got = sorted(r.line_no for r in changes.changed_and_covered(changed, coverage).collect())
+    assert got == sorted(n for a, w in ranges for n in range(a, a + w + 1) if n in lines)
+
+
+def test_a_huge_range_stays_one_row(spark):
+    coverage = spark.createDataFrame([(1, "patched", "T", "f", "5,1-2000000000,7-7")], "commit_id long, version string, test_path string, file string, covered_lines string")
+    changed = spark.createDataFrame([(1, "patched", "f", n) for n in (1, 5, 7, 1_999_999_999, 2_000_000_001)], "commit_id long, version string, file string, line_no long")
+    hits = changes.changed_and_covered(changed, coverage)
+    assert sorted(r.line_no for r in hits.collect()) == [1, 5, 5, 7, 7, 1_999_999_999]
+    assert "sequence(" not in hits._jdf.queryExecution().toString()
