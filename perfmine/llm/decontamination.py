@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from perfmine.llm.common import arrow_map, id_and_text
+from perfmine.llm.common import arrow_map, id_and_text, staged
 from perfmine.llm.words import folded_words
 
 K1, B = 1.2, 0.75
@@ -134,6 +134,22 @@ def bars(parts: list[Part], scores: list[dict], at_once: int = 256) -> np.ndarra
     return out
 
 
+@dataclass
+class Statistics:
+    """What BM25 needs to know of all items together, whichever index they are in."""
+
+    df: dict[bytes, int]  # parts of items with the word
+    wholes: int  # parts of items
+    words: int
+    stride: int
+
+    @staticmethod
+    def of(items: list[Item]) -> Statistics:
+        parts = [p for k, i in enumerate(items) for p in parts_of(k, i.words)]
+        df = Counter(w for p in parts for w in p.counts)
+        return Statistics(df, len(parts), sum(len(p.words) for p in parts), max((min(PART, len(i.words)) for i in items), default=1))
+
+
 @dataclass
 class Index:
     """BM25 postings of item parts, in blocks."""
@@ -149,12 +165,13 @@ class Index:
     stride: int
 
     @staticmethod
-    def build(items: list[Item]) -> Index:
+    def build(items: list[Item], known: Statistics | None = None) -> Index:
+        """An index of ``items``; ``known`` are the statistics of all items if these are some of them."""
+        known = known or Statistics.of(items)
+        df, wholes, mean = known.df, known.wholes, known.words / max(1, known.wholes)
         parts = [p for k, i in enumerate(items) for p in parts_of(k, i.words)]
-        wholes = len(parts)
-        df = Counter(w for p in parts for w in p.counts)
-        terms = Terms({w: n + 1 for n, w in enumerate(sorted(df))})
-        mean = sum(len(p.words) for p in parts) / max(1, wholes)
+        terms = Terms({w: n + 1 for n, w in enumerate(sorted({w for p in parts for w in p.words}))})
+        own_wholes = len(parts)
         # questions are scored with the statistics of the whole items
         parts += [p for k, i in enumerate(items) if len(i.question) >= LEAST_QUESTION for p in parts_of(k, i.asking)]
         scores = []
@@ -164,7 +181,7 @@ class Index:
             total = sum(score.values())
             scores.append({w: x / total for w, x in score.items()})
         bar = bars(parts, scores)
-        per_block = max(LEAST_BLOCK, -(-wholes // BLOCKS))
+        per_block = max(LEAST_BLOCK, -(-own_wholes // BLOCKS))
         n_blocks = -(-len(parts) // per_block)
         block_max = np.zeros((len(terms) + 1, n_blocks), dtype=np.float32)
         row = np.zeros((len(terms) + 1, n_blocks), dtype=np.int32)
@@ -181,8 +198,7 @@ class Index:
             block_max[used, b] = block[1:].max(axis=1) * 1.00001
             blocks.append(block)
         block_bar = np.array([bar[b * per_block : (b + 1) * per_block].min() for b in range(n_blocks)])
-        stride = max((min(PART, len(i.words)) for i in items), default=1)
-        return Index(items, terms, np.array([p.owner for p in parts], dtype=np.int64), bar, block_bar, block_max, row, blocks, stride)
+        return Index(items, terms, np.array([p.owner for p in parts], dtype=np.int64), bar, block_bar, block_max, row, blocks, known.stride)
 
     def passages(self, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
         """(item, first word, score) of every passage and part of an item that reaches its bar.
@@ -206,7 +222,8 @@ class Index:
             if s not in terms_of:
                 low, high = np.searchsorted(segment, (s - 1, s + 1))
                 terms_of[s] = np.unique(term[low:high])
-            score = self.blocks[b][self.row[terms_of[s], b]].sum(axis=0)
+            # the last digits follow the order of summation, which is not that of another index
+            score = self.blocks[b][self.row[terms_of[s], b]].sum(axis=0).round(9)
             at = b * self.blocks[0].shape[1]
             for p in np.flatnonzero(score >= self.bar[at : at + len(score)]).tolist():
                 part = at + p
@@ -278,17 +295,49 @@ def _clean(index):
     return clean
 
 
+def statistics_of(tests: DataFrame, parts: int) -> list[Statistics]:
+    """The statistics of all items, for each of ``parts`` indexes with the words of its own items only."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            rows = []
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                item = make_item(0, text)
+                if len(item.words) >= SHINGLE:
+                    known = Statistics.of([item])
+                    # the sums of an item stand in a row without a word
+                    rows.append((number, None, 0, known.wholes, known.words, known.stride))
+                    rows += [(number, w, n, 0, 0, 0) for w, n in known.df.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield dict(zip(("index", "word", "df", "wholes", "words", "stride"), map(list, columns), strict=True))
+
+    rows = staged(arrow_map(tests.select("index", "text"), work, "index int, word binary, df long, wholes long, words long, stride long"), "benchmark-words")
+    wholes, words, stride = rows.agg(F.sum("wholes"), F.sum("words"), F.max("stride")).first()
+    df = rows.where("word is not null").groupBy("word").agg(F.sum("df").alias("df"))
+    out = []
+    for number in range(parts):
+        own = rows.where((F.col("index") == number) & F.col("word").isNotNull()).select("word").distinct().join(df, "word")
+        out.append(Statistics({bytes(r["word"]): r["df"] for r in own.toLocalIterator()}, wholes or 0, words or 0, stride or 1))
+    return out
+
+
 def indexes_of(benchmark: DataFrame) -> list:
-    """Broadcast indexes that together hold all items of (item_id, text)."""
+    """Broadcast indexes that together hold all items of (item_id, text).
+
+    A benchmark beyond ``INDEX_CHARS`` is dealt over several indexes, which all use
+    the statistics of the whole benchmark: how it is dealt changes no result.
+    """
     spark = benchmark.sparkSession
-    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-2 * chars // INDEX_CHARS))
+    dealt = tests.withColumn("index", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    known = statistics_of(dealt, parts) if parts > 1 else [None]
     indexes = []
     for number in range(parts):
-        mine = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == number).distinct().orderBy("item_id", "text")
+        mine = dealt.where(F.col("index") == number).orderBy("item_id", "text")
         items = [i for i in (make_item(r.item_id, r.text) for r in mine.collect()) if len(i.words) >= SHINGLE]
-        indexes.append(spark.sparkContext.broadcast(Index.build(items)))
+        indexes.append(spark.sparkContext.broadcast(Index.build(items, known[number])))
     return indexes
 
 

@@ -187,3 +187,12 @@ def test_odd_rows(spark):
 
 def test_empty_index():
     assert dc.Index.build([]).leaks("any text at all") == []
+
+
+def test_many_indexes_give_the_rows_of_one(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    one = sorted(map(tuple, dc.leaked_items(docs, items).collect()), key=repr)
+    chars = items.selectExpr("sum(length(text))").first()[0]
+    monkeypatch.setattr(dc, "INDEX_CHARS", int(chars * 2 / 3) + 1)
+    assert len(dc.indexes_of(items)) == 3
+    assert sorted(map(tuple, dc.leaked_items(docs, items).collect()), key=repr) == one and one
