@@ -102,8 +102,9 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
     all rows with another id. Components are floor(scale * x). Ties go to the
     smaller id. A query with fewer than ``k`` partners gets them all. Rows whose
     id or vector is null, or whose vector has a null or non-finite component, take
-    no part. Rows that repeat id and vector count once. A vector shorter than the
-    longest counts as if it ended in zeros. No queries give no rows.
+    no part. Rows that repeat id and vector count once; rows of one id with other
+    vectors are partners of their own, and a query with several vectors gets the
+    best pairs of them all. A vector shorter than the longest counts as if it ended in zeros. No queries give no rows.
 
     Pivots come from at most ``SAMPLE`` queries; at most ``MOST_PIVOTS`` groups
     are described to the tasks. Blocks are cut by the hash of an id, so equal or
@@ -141,7 +142,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
             ids = batch.column(0).to_numpy()
             low, _ = known.bounds(matrix(batch.column(1), width))
             for cell in np.flatnonzero(blocks):
-                # as many rows as there are in the worst case of repeated ids
+                # k other ids reach what the (k + 1)-th best id does, each with one row at least
                 order = np.argsort(-low[:, cell], kind="stable")
                 for i in order:
                     own = best[cell]
@@ -177,16 +178,21 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
                         "block": np.full(len(needed), block, dtype=np.int32),
                     }
 
+    def distinct_rows(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and vectors of the rows, equal ones once, by id."""
+        rows = np.column_stack([part["vec_id"].to_numpy(), matrix(part["vector"].combine_chunks(), width)])
+        rows = np.unique(rows, axis=0)
+        return rows[:, 0], rows[:, 1:]
+
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if left.num_rows and right.num_rows:
-            ids, first = np.unique(right["vec_id"].to_numpy(), return_index=True)
-            vectors = matrix(right["vector"].combine_chunks(), width)[first]
-            own, first = np.unique(left["vec_id"].to_numpy(), return_index=True)
-            scores = inner_products(matrix(left["vector"].combine_chunks(), width)[first], vectors)
-            for query, line in zip(own, scores, strict=True):
-                order = np.argsort(-line, kind="stable")[: k + 1]
-                found += [(int(query), int(ids[i]), int(line[i])) for i in order if ids[i] != query][:k]
+            (own, asked), (ids, vectors) = distinct_rows(left), distinct_rows(right)
+            for query, line in zip(own, inner_products(asked, vectors), strict=True):
+                others = np.flatnonzero(ids != query)
+                # ~x falls as x rises, at the ends of the range too
+                order = others[np.argsort(~line[others], kind="stable")[:k]]
+                found += [(int(query), int(ids[i]), int(line[i])) for i in order]
         columns = list(zip(*found, strict=True)) if found else [[], [], []]
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 

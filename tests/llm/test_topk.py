@@ -19,15 +19,14 @@ def clipped(score):
 
 
 def brute(rows, k=5, every=50, scale=256):
-    seen = {}
+    seen = set()
     for i, v, *_ in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            seen[i] = [math.floor(scale * x) for x in v]
+            seen.add((i, *(math.floor(scale * x) for x in v)))
     out = []
-    for q, a in seen.items():
-        if q % every == 0:
-            scores = sorted((-clipped(sum(x * y for x, y in zip(a, b))), i) for i, b in seen.items() if i != q)[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    for q in {r[0] for r in seen if r[0] % every == 0}:
+        pairs = [(-clipped(sum(x * y for x, y in zip(a[1:], b[1:], strict=True))), b[0]) for a in seen if a[0] == q for b in seen if b[0] != q]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(pairs)[:k])]
     return sorted(out)
 
 
@@ -74,6 +73,16 @@ def test_odd_rows(spark):
     assert answers(clash) == brute(padded)
 
 
+def test_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 1.0], 0), (0, [0.0, -1.0], 0), (7, [0.0, 1.0], 0), (7, [9.0, 0.0], 0), (7, [9.0, 0.0], 0), (3, [2.0, 2.0], 0), (50, [1.0, 0.5], 0)]
+    rnd = random.Random(4)
+    rows += [(rnd.randrange(40), [rnd.choice([-2.0, 0.5, 3.0]) for _ in range(2)], 0) for _ in range(200)]
+    for order in (rows, rows[::-1]):
+        df, seen = stored(spark, order)
+        assert answers(df, query_every=10) == brute(seen, every=10)
+        assert answers(df.where("vec_id in (0, 7)")) == brute([r for r in seen if r[0] in (0, 7)])
+
+
 @pytest.mark.parametrize("rows", [[], [(1, [1.0], 0)], [(0, None, 0)]])
 def test_no_queries(spark, rows):
     assert answers(spark.createDataFrame(rows, SCHEMA)) == []
