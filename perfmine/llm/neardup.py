@@ -8,11 +8,15 @@ connected with yet; classes of a bucket that are not connected after that are
 compared with each other. Pairs whose signatures are too far apart are left out. Within
 what is already connected nothing is compared again, so a large group of near
 copies costs as many comparisons as it has members.
+
+Signatures of very small sets are not reliable, so these are linked without them:
+sets are joined on what is left when the few elements go that a pair may differ in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,6 +31,10 @@ from perfmine.llm.shingles import SLOTS, WordNumbers, fingerprint, in_portions,
 PERCENT = 75
 #: 32 bands of 4 slots: a pair of similarity 0.75 shares no band once in 190 000 times.
 BAND_SLOTS = 4
+#: A pair in which one set has no more shingles is linked by ``small_links``. The other
+#: has a third more at most, and each lacks a quarter of its own at most in the other.
+SMALL_SET = 9
+LARGEST_PARTNER = SMALL_SET * 4 // 3
 #: Share of equal slots below which two signatures are not compared on full sets.
 #: For a pair of similarity 0.75 it lies five standard deviations below the mean.
 LEAST_AGREEMENT = 0.55
@@ -40,10 +48,11 @@ _SLOT_BYTES = 2
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, signature) of every row.
+    """(doc_id, n_shingles, class, signature, small) of every row.
 
     ``class`` is 128 bits of the shingle set, ``signature`` the low 16 bits of
-    its slots; both are null for texts without words.
+    its slots; both are null for texts without words. ``small`` has the shingles
+    themselves of a set of ``LARGEST_PARTNER`` or fewer.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -58,10 +67,42 @@ def sketch(docs: DataFrame) -> DataFrame:
                     "n_shingles": [len(s) for s in sets],
                     "class": [fingerprint(s) if len(s) else None for s in sets],
                     "signature": [r.tobytes() if len(s) else None for r, s in zip(rows, sets, strict=True)],
+                    "small": [s.tobytes() if 0 < len(s) <= LARGEST_PARTNER else None for s in sets],
                 }
                 at += len(sets)
 
-    return arrow_map(id_and_text(docs), work, "doc_id long, n_shingles long, class binary, signature binary")
+    return arrow_map(id_and_text(docs), work, "doc_id long, n_shingles long, class binary, signature binary, small binary")
+
+
+def small_links(classes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect whatever small sets of ``classes`` (id, small) are similar, and no others.
+
+    With S what two sets share and x, y what each has besides, they are similar if
+    100 |S| >= percent (|S| + x + y). Each set offers S for all x that leave a
+    chance. Of those that offer the same S the one with the fewest elements besides
+    is similar to each that is similar to any, so links to that one are enough.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            ids, keys, shared, besides = [], [], [], []
+            for doc, small in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(small.as_py(), dtype=np.uint64)
+                for x in range(len(own)):
+                    if 100 * (len(own) - x) < percent * len(own):
+                        break
+                    for left_out in combinations(range(len(own)), x):
+                        ids.append(doc)
+                        keys.append(fingerprint(np.delete(own, left_out)))
+                        shared.append(len(own) - x)
+                        besides.append(x)
+            yield {"id": ids, "key": keys, "shared": shared, "besides": besides}
+
+    offers = arrow_map(classes.where("small is not null").select("id", "small"), work, "id long, key binary, shared int, besides int")
+    least = offers.groupBy("key").agg(F.min(F.struct("besides", "id")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    pairs = offers.join(least, "key").where(F.col("id") != F.col("least.id"))
+    fits = 100 * F.col("shared") >= percent * (F.col("shared") + F.col("besides") + F.col("least.besides"))
+    return pairs.where(fits).select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -267,31 +308,41 @@ def across(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return dealt.groupBy("bucket", "x", "y").applyInArrow(pair, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
-
-    Documents are linked when 100 * intersection >= ``percent`` * union of their
-    sets of five-word shingles. ``component_id`` is the smallest id that can be
-    reached, ``kept`` is true for the document that has it. Null, empty and blank
-    texts are linked with nothing. A row without an id is linked with nothing,
-    has no component and is kept. Rows that repeat an id are one document; if
-    their texts differ, its links are those of all its texts.
+def connected(docs: DataFrame, percent: int, owners: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component) of every row of ``docs``, in which an id has one text only.
 
-    Candidates come from signatures, links are confirmed on whole sets; no
-    bucket, group or partner is capped. Two sets are equal if 128 bits of them
-    are; a shingle is 64 bits.
+    ``component`` is the id of some document of it, null for a row without an id.
+    ``owners`` (doc_id, owner) lists documents that are connected with all others
+    of their owner, whatever their texts.
     """
-    docs = id_and_text(docs, id_col, text_col)
     sketches = staged(sketch(docs), "sketch")
     classes = staged(
         sketches.where(F.col("doc_id").isNotNull() & F.col("class").isNotNull())
         .groupBy("class")
-        .agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")),
+        .agg(
+            F.min("doc_id").alias("id"),
+            F.min("n_shingles").alias("n_shingles"),
+            F.min("signature").alias("signature"),
+            F.min("small").alias("small"),
+        ),
         "classes",
     )
     members = staged(buckets(classes), "buckets")
-
-    labels = links = tested = None
+    of_class = classes.select("class", "id")
+
+    links = staged(small_links(classes, percent), "small-links")
+    if owners is not None:
+        parts = staged(
+            owners.join(sketches.select("doc_id", "class"), "doc_id")
+            .join(of_class, "class", "left")
+            .select("owner", F.coalesce("id", "doc_id").alias("id"))
+            .distinct(),
+            "parts",
+        )
+        firsts = parts.groupBy("owner").agg(F.min("id").alias("a"))
+        links = links.unionByName(parts.join(firsts, "owner").where("a <> id").select("a", F.col("id").alias("b")))
+    labels = None if links.isEmpty() else components(links)
+    tested = None
     for step in range(3):
         now = labelled(members, labels)
         if step == 0:
@@ -316,11 +367,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tested = done if tested is None else tested.unionByName(done)
         if new.isEmpty():
             continue
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         labels = components(links)
 
-    # a document with several texts joins their classes
-    groups = labelled(classes.select("class", "id"), labels).select("class", F.col("component").alias("component_id"))
-    found = sketches.drop("signature").join(groups, "class", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    groups = labelled(of_class, labels).select("class", "component")
+    found = sketches.drop("signature", "small").join(groups, "class", "left")
+    if owners is not None and labels is not None:
+        # a text without words is connected through its owner only
+        blank = owners.join(labels, owners["doc_id"] == labels["id"]).select("doc_id", F.col("component").alias("through"))
+        found = found.join(blank, "doc_id", "left").withColumn("component", F.coalesce("component", "through"))
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row.
+
+    Documents are linked when 100 * intersection >= ``percent`` * union of their
+    sets of five-word shingles. ``component_id`` is the smallest id that can be
+    reached, ``kept`` is true for the document that has it. Null, empty and blank
+    texts are linked with nothing. A row without an id is linked with nothing,
+    has no component and is kept. Rows that repeat an id are one document; if
+    their texts differ, its links are those of all its texts, and all its rows
+    have one component.
+
+    Candidates come from signatures, links are confirmed on whole sets; no
+    bucket, group or partner is capped. Pairs with a set of ``SMALL_SET`` shingles
+    or fewer are found without signatures. Bands and bounds are made for a
+    ``percent`` of 75 or more; less is refused. Two sets are equal if 128 bits of
+    them are; a shingle is 64 bits.
+    """
+    if percent < PERCENT:
+        raise ValueError(f"bands and bounds are made for {PERCENT} percent or more, not {percent}")
+    docs = id_and_text(docs, id_col, text_col)
+    text = F.xxhash64("text")
+    several = staged(
+        docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low <> high").select("doc_id"),
+        "several",
+    )
+    if several.isEmpty():
+        found = connected(docs, percent).withColumnRenamed("component", "component_id")
+    else:
+        # each text of such a document gets a number of its own
+        marked = docs.join(several.withColumn("marked", F.lit(True)), "doc_id", "left")
+        number = F.when(F.col("marked"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+        numbered = marked.select(number.alias("number"), "text", F.when(F.col("marked"), F.col("doc_id")).alias("owner"))
+        owners = staged(numbered.where("owner is not null").select(F.col("number").alias("doc_id"), "owner").distinct(), "owners")
+        parts = staged(
+            connected(numbered.select(F.col("number").alias("doc_id"), "text"), percent, owners)
+            .join(owners, "doc_id", "left")
+            .select(F.coalesce("owner", "doc_id").alias("doc_id"), "n_shingles", "component"),
+            "numbered",
+        )
+        least = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        found = parts.join(least, "component", "left")
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept")
+    return found.select("doc_id", "n_shingles", "component_id", kept)

@@ -147,6 +147,37 @@ def test_one_id_with_two_texts(spark):
     assert answers(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_repeated_ids_carry_links_between_other_documents(spark):
+    rnd = random.Random(21)
+    a, b, c, d = (" ".join(words(rnd, 40)) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (2, b), (9, c), (5, ""), (7, c), (7, d), (7, None), (3, d), (6, c), (6, d), (4, "other words")]
+    got = spark.createDataFrame(rows, "doc_id long, text string")
+    assert answers(got) == brute(rows)
+    assert {r.component_id for r in neardup.near_duplicates(got).where("doc_id in (1, 2, 5)").collect()} == {1}
+
+
+def test_small_sets_are_linked_without_signatures(spark, monkeypatch):
+    rnd = random.Random(22)
+    texts = []
+    for n in (1, 4, 5, 6, 7, 8, 9, 11, 13, 16):
+        for _ in range(12):
+            base = words(rnd, n)
+            texts += [base, [*base, "t"], ["h", *base], base[1:], [*base, "t", "u"], [*base[:-1], "v"], [*base, "w", "x", "y"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    # no bands at all: whatever is found comes from the sets themselves
+    monkeypatch.setattr(neardup, "buckets", lambda classes: classes.limit(0).selectExpr("0L as bucket", "0 as band", "id", "id as centre", "1L as degree"))
+    expected = brute(rows)
+    small = {r[0] for r in expected if r[1] <= neardup.SMALL_SET}
+    got = answers(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r for r in got if r[0] in small] == [r for r in expected if r[0] in small]
+    assert sum(not r[3] for r in expected if r[0] in small) > 100
+
+
+def test_lower_similarities_are_refused(spark):
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), percent=74)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, "")], [(1, "one text only")]])
 def test_nothing_to_link(spark, rows):
     assert answers(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
