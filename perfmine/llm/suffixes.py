@@ -9,10 +9,13 @@ the name of its first bytes (80 bits of a hash). Suffixes are never all written:
   So, where two suffixes agree in LENGTH bytes, two sampled ones not more than v - 1
   further agree in LENGTH - v + 1. Sampled suffixes are ranked by that many bytes.
 * Ties. Only a suffix before a tied sampled suffix, less than v bytes away, can be
-  repeated; all others are settled by the sample. These few are named by all their
-  LENGTH bytes and ranked in turn.
+  repeated; all others are settled by the sample. What surrounds a tied sampled
+  suffix is ranked by ``SIDES`` strings around it, each of which all suffixes of one
+  stretch before it have in common. Only stretches of tied strings are left.
+* Blocks. The suffixes of these stretches are named by all their LENGTH bytes and
+  ranked in turn.
 
-Both steps deal names into blocks small enough for a task, and one block is sorted
+All steps deal names into blocks small enough for a task, and one block is sorted
 at a time. A portion of the text sends each of its names once, however often it has
 it, so a string that is everywhere makes one entry per portion and never meets in
 one task as often as it stands in the text. Texts that are the same altogether take
@@ -38,9 +41,11 @@ LENGTH = 400
 #: Orders of the planes that give covers; v = q * q + q + 1 is prime for each.
 _ORDERS = (2, 3, 5, 17, 41, 59, 71, 89, 101)
 #: Places that are named before they are sorted and sent.
-PORTION_PLACES = 1_000_000
+PORTION_PLACES = 400_000
 #: Names of a block, on average, and the fewest blocks.
-BLOCK_NAMES, LEAST_BLOCKS = 2_000_000, 32
+BLOCK_NAMES, LEAST_BLOCKS = 1_000_000, 32
+#: Strings that are compared around a tied suffix of the sample.
+SIDES = 4
 #: Bits of the bitmap of texts that are wanted: two megabytes.
 FILTER_BITS = 1 << 24
 _NAMES, _TIED, _SEGMENTS = 0, 1, 2
@@ -279,19 +284,33 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     no_hint = texts.withColumn("hint", F.lit(None).cast("binary"))
     tied = staged(ties(no_hint, lambda n, _: sampled_places(n, depth, v, cover), depth, blocks(total * len(cover) / v)), "tied")
 
+    # a suffix p has a sampled one at p + d; with d in [k * step, (k + 1) * step) it holds all of the string at p + d - k * step
+    step = -(-v // SIDES)
+    inner = length - step + 1
+
+    def around(n: int, hint: bytes) -> np.ndarray:
+        places = np.unique(np.frombuffer(hint, "<u4").astype(np.int64)[:, None] - step * np.arange(SIDES))
+        return places[(places >= 0) & (places + inner <= n)]
+
     def suspects(n: int, hint: bytes) -> np.ndarray:
-        """Places with a tied sampled place in their next v bytes and ``length`` bytes from them on."""
         steps = np.zeros(n + 1, dtype=np.int32)
         tied_at = np.frombuffer(hint, "<u4").astype(np.int64)
-        np.add.at(steps, np.maximum(tied_at - v + 1, 0), 1)
+        np.add.at(steps, np.maximum(tied_at - step + 1, 0), 1)
         np.add.at(steps, tied_at + 1, -1)
         places = np.flatnonzero(np.cumsum(steps) > 0)
         return places[places + length <= n]
 
-    wanted = filled_bitmap(tied.select("fp"))
-    at_hand = staged(texts.where(wanted(F.col("fp"))).join(merged(tied).withColumnRenamed("places", "hint"), "fp").select("fp", "text", "hint"), "suspects")
-    most = at_hand.agg(F.sum(F.least(F.octet_length("text"), F.octet_length("hint") / 4 * v))).first()[0] or 0
-    repeated = staged(ties(at_hand, suspects, length, blocks(most)), "repeated")
+    def with_hints(of: DataFrame, hints: DataFrame, name: str) -> DataFrame:
+        wanted = filled_bitmap(hints.select("fp"))
+        return staged(of.where(wanted(F.col("fp"))).join(merged(hints).withColumnRenamed("places", "hint"), "fp").select("fp", "text", "hint"), name)
+
+    def most(of: DataFrame, places_per_hint: int) -> float:
+        return of.agg(F.sum(F.least(F.octet_length("text"), F.octet_length("hint") / 4 * places_per_hint))).first()[0] or 0
+
+    near = with_hints(texts, tied, "near")
+    close = staged(ties(near, around, inner, blocks(most(near, SIDES))), "close")
+    at_hand = with_hints(near.select("fp", "text"), close, "suspects")
+    repeated = staged(ties(at_hand, suspects, length, blocks(most(at_hand, step))), "repeated")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
