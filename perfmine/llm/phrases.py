@@ -31,25 +31,26 @@ LEAST, DEPTH, TOP = 10, 3, 2000
 INSIDE_PERCENT = 50
 SCALE = 1_000_000
 #: Words of a portion, suffixes of a part on average, and the fewest parts.
-PORTION_WORDS, PART_SUFFIXES, LEAST_PARTS = 1_500_000, 2_000_000, 32
+PORTION_WORDS, PART_SUFFIXES, LEAST_PARTS = 1_500_000, 500_000, 32
 #: A word with more than one in so many places is very frequent, so there are fewer such words.
 FREQUENT_SHARE = 4096
 #: Bits of the bitmap of words that are not rare: four megabytes.
 FILTER_BITS = 1 << 25
-#: From so few suffixes on a partition is counted instead of partitioned further.
-SMALL = 200
+#: Partitions of so few suffixes are not parted further; all of them are finished by one sort.
+SMALL = 5000
+#: Slices of a language that are cut to its first phrases before they meet.
+SLICES = 32
 
 # fixed values: what ends a piece, and what separates words
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
-_FOLD = bytes.maketrans(bytes(range(65, 91)) + _ENDS + b"\t", bytes(range(97, 123)) + b"\n" * len(_ENDS) + b" ")
+#: A word that no text has: it stands where a piece ends.
+END = b"."
+_FOLD = bytes.maketrans(bytes(range(65, 91)) + _ENDS, bytes(range(97, 123)) + END * len(_ENDS))
 
 
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of each piece of a text, A-Z folded."""
-    for piece in text.translate(_FOLD).split(b"\n"):
-        words = piece.split()
-        if words:
-            yield words
+def words_and_ends(text: bytes) -> list[bytes]:
+    """The words of a text, A-Z folded, and ``END`` between pieces."""
+    return text.translate(_FOLD).replace(END, b" . ").split()
 
 
 def bit_of(lang: str, word: bytes) -> int:
@@ -72,9 +73,9 @@ def counted_words(texts: DataFrame) -> DataFrame:
         counts, held = defaultdict(Counter), 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                for words in pieces(text.as_py()):
-                    counts[lang].update(words)
-                    held += len(words)
+                words = text.as_py().translate(_FOLD).replace(END, b" ").split()
+                counts[lang].update(words)
+                held += len(words)
                 if held >= PORTION_WORDS:
                     yield emit(counts)
                     counts, held = defaultdict(Counter), 0
@@ -110,7 +111,7 @@ def routed(texts: DataFrame, common: np.ndarray, frequent: set[tuple[str, str]],
     shared, heads = spark.sparkContext.broadcast(common), spark.sparkContext.broadcast(frozenset((lang, w.encode()) for lang, w in frequent))
 
     def emit(lang: str, vocabulary: dict[bytes, int], stream: list[int]) -> Iterator[dict]:
-        words = list(vocabulary)
+        words = list(vocabulary)[1:]
         if not words:
             return
         at = np.array([bit_of(lang, w) for w in words], dtype=np.int64)
@@ -140,72 +141,87 @@ def routed(texts: DataFrame, common: np.ndarray, frequent: set[tuple[str, str]],
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
             for rows in np.split(order, cuts[1:]):
-                used, local = np.unique(ids[rows], return_inverse=True)
-                local = local + (used[0] != 0)
+                marked = np.zeros(len(words) + 1, dtype=np.int32)
+                marked[ids[rows].ravel()] = 1
+                marked[0] = 0
+                used, local = np.flatnonzero(marked), np.cumsum(marked, dtype=np.int32)[ids[rows]] * (ids[rows] > 0)
                 yield {
                     "part": [int(part[rows[0]])],
                     "lang": [lang],
-                    "vocabulary": [b"\n".join(words[u - 1] for u in used if u)],
+                    "vocabulary": [b"\n".join([words[u - 1] for u in used.tolist()])],
                     "ids": [local.astype("<i4").tobytes()],
                     "n": [(places[rows] if whole else -places[rows]).astype("<i8").tobytes()],
                 }
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         def fresh() -> tuple[dict, list]:
-            return defaultdict(count(1).__next__), []
+            vocabulary = defaultdict(count(1).__next__)
+            vocabulary[END] = 0
+            return vocabulary, []
 
         portions, held = defaultdict(fresh), 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 vocabulary, stream = portions[lang]
-                for words in pieces(text.as_py()):
-                    stream.extend(map(vocabulary.__getitem__, words))
-                    stream.append(0)
-                    held += len(words)
-                    if held >= PORTION_WORDS:
-                        for name, portion in portions.items():
-                            yield from emit(name, *portion)
-                        portions.clear()
-                        held, (vocabulary, stream) = 0, portions[lang]
+                before = len(stream)
+                stream.extend(map(vocabulary.__getitem__, words_and_ends(text.as_py())))
+                stream.append(0)
+                held += len(stream) - before
+                if held >= PORTION_WORDS:
+                    for name, portion in portions.items():
+                        yield from emit(name, *portion)
+                    portions.clear()
+                    held = 0
         for name, portion in portions.items():
             yield from emit(name, *portion)
 
     return arrow_map(texts, work, "part int, lang string, vocabulary binary, ids binary, n binary")
 
 
-def sorted_counts(ids: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tuple[tuple[int, ...], int]]:
-    """(prefix, weight) of all prefixes of the rows of ``ids`` with ``least`` weight or more; 0 ends a row.
+def sorted_counts(ids: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(prefixes, weights) of all prefixes of the rows of ``ids`` with ``least`` weight or more; 0 ends a row.
 
-    Multikey quicksort without the order: each round parts suffixes into those with a
-    smaller, the same and a larger word than the pivot at their depth.
+    Multikey quicksort: each step parts suffixes into those with a smaller, the same
+    and a larger word than the pivot at their depth; small partitions are sorted at
+    the end, all together. Prefixes come in rows as wide as those of ``ids``.
     """
-    open_ = [(np.flatnonzero(ids[:, 0] > 0), 0, ())]
+    small = []
+    open_ = [(np.flatnonzero(ids[:, 0] > 0), 0)]
     while open_:
-        at, depth, prefix = open_.pop()
+        at, depth = open_.pop()
         if len(at) <= SMALL:
-            found = Counter()
-            for row, n in zip(ids[at].tolist(), weights[at].tolist(), strict=True):
-                for k in range(depth, len(row)):
-                    if not row[k]:
-                        break
-                    found[prefix + tuple(row[depth : k + 1])] += n
-            yield from ((p, n) for p, n in found.items() if n >= least)
+            # the words before this depth are counted where the partition came from
+            small.append((at, depth))
             continue
         word = ids[at, depth]
         pivot = word[len(word) // 2] if len(word) < 1000 else np.partition(word[:: len(word) // 101], 50)[50]
         for side in (word < pivot, word > pivot):
             part = at[side]
             if weights[part].sum() >= least:
-                open_.append((part, depth, prefix))
+                open_.append((part, depth))
         equal = at[word == pivot]
-        weight = int(weights[equal].sum())
+        weight = weights[equal].sum()
         if weight >= least:
-            longer = (*prefix, int(pivot))
-            yield longer, weight
+            prefix = np.zeros((1, ids.shape[1]), dtype=ids.dtype)
+            prefix[0, : depth + 1] = ids[equal[0], : depth + 1]
+            yield prefix, np.array([weight])
             if depth + 1 < ids.shape[1]:
                 equal = equal[ids[equal, depth + 1] > 0]
                 if weights[equal].sum() >= least:
-                    open_.append((equal, depth + 1, longer))
+                    open_.append((equal, depth + 1))
+    for depth in range(ids.shape[1]):
+        at = np.concatenate([np.zeros(0, dtype=np.int64), *(p for p, d in small if d == depth)])
+        at = at[np.lexsort(ids[at].T[::-1])]
+        for k in range(depth, ids.shape[1]):
+            at = at[ids[at, k] > 0]
+            if not len(at):
+                break
+            rows = ids[at, : k + 1]
+            heads = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)])
+            weight = np.add.reduceat(weights[at], heads)
+            prefix = np.zeros((len(heads), ids.shape[1]), dtype=ids.dtype)
+            prefix[:, : k + 1] = rows[heads]
+            yield prefix[weight >= least], weight[weight >= least]
 
 
 def counted_phrases(suffixes: DataFrame, least: int) -> DataFrame:
@@ -224,13 +240,14 @@ def counted_phrases(suffixes: DataFrame, least: int) -> DataFrame:
             ids, n = np.concatenate(all_ids), np.concatenate(all_n)
             words = [b"", *vocabulary]
             # the two words of a negative weight are counted elsewhere
-            for rows, sizes in ((n > 0, range(2, DEPTH + 1)), (n < 0, range(DEPTH, DEPTH + 1))):
-                for prefix, weight in sorted_counts(ids[rows], abs(n[rows]), least):
-                    if len(prefix) in sizes:
-                        out["lang"].append(lang)
-                        out["phrase"].append(b" ".join(words[i] for i in prefix))
-                        out["size"].append(len(prefix))
-                        out["f"].append(weight)
+            for rows, sizes in ((n > 0, (2, 3)), (n < 0, (3,))):
+                for prefixes, counts in sorted_counts(ids[rows], abs(n[rows]), least):
+                    size = (prefixes > 0).sum(axis=1)
+                    fits = np.isin(size, sizes)
+                    out["lang"] += [lang] * int(fits.sum())
+                    out["phrase"] += [b" ".join([words[i] for i in row if i]) for row in prefixes[fits].tolist()]
+                    out["size"] += size[fits].tolist()
+                    out["f"] += counts[fits].tolist()
         return pa.table(
             [pa.array(out["lang"], pa.string()), pa.array(out["phrase"], pa.binary()).cast(pa.string()), pa.array(out["size"], pa.int32()), pa.array(out["f"], pa.int64())],
             names=list(out),
@@ -304,6 +321,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text_col:
     )
     pairs = lowest(2).join(inside, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < INSIDE_PERCENT * F.col("a"), F.lit(True))).drop("longer")
     kept = pairs.unionByName(lowest(3)).select("lang", "phrase", "a", "cut.*")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    first = (F.desc("score"), F.desc("a"), "phrase")
+    sliced = kept.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(SLICES)))
+    for keys in (("lang", "slice"), ("lang",)):
+        sliced = sliced.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*first))).where(F.col("rank") <= top)
+    ranked = sliced
     return ranked.join(F.broadcast(totals), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
