@@ -9,9 +9,11 @@ of the same or a higher priority is suppressed.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -189,27 +191,33 @@ class Scanner:
         words = folded_words(text)
         flat = b" ".join(words).decode()
         live = {i for _, which in self.automaton.iter(flat) for i in which}
-        found = []
-        for i in sorted(live):
-            rule, regex = self.rules[i]
-            for m in regex.finditer(flat):
-                start = flat.count(" ", 0, m.start())
-                found.append((rule, start, start + m.group().count(" ") + 1))
-        return len(words), settled(found)
+        matches = [(rule, *m.span()) for rule, regex in map(self.rules.__getitem__, sorted(live)) for m in regex.finditer(flat)]
+        if not matches:
+            return len(words), []
+        # a place's word number is the number of blanks before it
+        blanks = np.flatnonzero(np.frombuffer(flat.encode("utf-32-le"), dtype="<u4") == ord(" "))
+        starts, ends = (np.searchsorted(blanks, [m[k] for m in matches]).tolist() for k in (1, 2))
+        return len(words), settled([(m[0], a, b + 1) for m, a, b in zip(matches, starts, ends, strict=True)])
 
 
 def settled(found: list[tuple[Rule, int, int]]) -> list[tuple]:
     """Accept by priority, then length, then place; drop what an accepted one contains.
 
+    Detections that overlap without containment are both kept.
+
     Base phrases are all kept and suppress nothing.
     """
-    kept: list[tuple[int, int]] = []
+    # accepted spans that no other accepted one contains: both lists rise
+    starts: list[int] = []
+    ends: list[int] = []
     out = []
     for rule, start, end in sorted(found, key=lambda d: (-d[0].priority, d[1] - d[2], d[1], d[0].name)):
         if not rule.base:
-            if any(a <= start and end <= b for a, b in kept):
+            at = bisect_right(starts, start)
+            if at and ends[at - 1] >= end:
                 continue
-            kept.append((start, end))
+            low, high = bisect_left(starts, start), bisect_right(ends, end)
+            starts[low:high], ends[low:high] = [start], [end]
         out.append((rule.label, rule.name, rule.priority, rule.confidence, start, end, rule.base))
     return sorted(out, key=lambda d: (d[4], d[5], d[1]))
 
