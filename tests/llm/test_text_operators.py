@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -292,3 +295,69 @@ def test_sharding_places_every_row(spark, odd, empty, tmp_path):
     assert sharding.place(empty, ["doc_id"]).count() == 0
     sharding.write_shards(odd, ["doc_id"], f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == odd.count()
+
+
+def test_license_spans_of_long_texts_take_linear_time():
+    scanner = licenses.Scanner(licenses.default_rules())
+    notice = "Licensed under the Apache License, Version 2.0. Ünï Released under CC BY-NC 4.0, all rights reserved. "
+    one = scanner.scan(notice * 10)
+    assert len(one[1]) == 10 * len(scanner.scan(notice * 2)[1]) / 2
+    started = time.time()
+    n, found = scanner.scan(notice * 30_000)
+    assert time.time() - started < 60
+    assert n == 3000 * one[0] and len(found) == 3000 * len(one[1])
+
+
+def test_accepted_spans_equal_a_comparison_with_all():
+    rnd = random.Random(3)
+    rules = [r for r in licenses.default_rules() if not r.base][:40]
+    for _ in range(200):
+        found = []
+        for _ in range(rnd.randint(0, 30)):
+            start = rnd.randint(0, 20)
+            found.append((rnd.choice(rules), start, start + rnd.randint(1, 8)))
+        kept = []
+        for rule, start, end in sorted(found, key=lambda d: (-d[0].priority, d[1] - d[2], d[1], d[0].name)):
+            if not any(a <= start and end <= b for _, a, b in kept):
+                kept.append((rule.name, start, end))
+        assert sorted((d[1], d[4], d[5]) for d in licenses.settled(found)) == sorted(kept)
+
+
+def test_language_answers_equal_a_plain_naive_bayes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows_ = docs.collect()
+    counts, seen = {}, {}
+    for r in rows_:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None:
+            counts.setdefault(r.lang, Counter()).update(language.ngram_buckets(r.text or "").tolist())
+            seen[r.lang] = seen.get(r.lang, 0) + 1
+    sizes = {x: sum(c.values()) + 0.5 * language.BUCKETS for x, c in counts.items()}
+    got = {r.doc_id: r for r in queries.op4_language_id(spark, "/root/testdata/sf0.001").collect()}
+    for r in rows_:
+        if not any(map(str.isalpha, r.text or "")):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        grams = Counter(language.ngram_buckets(r.text).tolist())
+        prior = {x: math.log(n / sum(seen.values())) for x, n in seen.items()}
+        like = {x: sum(n * math.log((counts[x][b] + 0.5) / sizes[x]) for b, n in grams.items()) for x in counts}
+        best = max(sorted(counts), key=lambda x: like[x] + prior[x])
+        part = min(1.0, language.EVIDENCE / sum(grams.values()))
+        weights = {x: like[x] * part + prior[x] for x in counts}
+        score = 1 / sum(math.exp(w - weights[best]) for w in weights.values())
+        assert got[r.doc_id].lang_pred == best and abs(got[r.doc_id].score - score) < 1e-6
+
+
+def test_language_of_a_very_long_text_takes_bounded_memory():
+    names = [f"l{k:02}" for k in range(64)]
+    rng = np.random.default_rng(0)
+    table = np.log(rng.dirichlet(np.ones(language.BUCKETS), 64).T + 1e-9)
+    model = language.Model(names, np.full(64, -math.log(64)), table)
+    text = "Ein langer Text, der sich wiederholt; " * 80_000
+    tracemalloc.start()
+    (answer,) = model.predict_all([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and answer[0] in names
+    assert (language.gram_counts(text) == np.bincount(language.ngram_buckets(text), minlength=language.BUCKETS)).all()
+    together = list(model.predict_all(["kurz", "", text[:500_003], "noch ein Text"] * 3))
+    assert together[4:8] == together[:4] and together[1] == ("und", 0.0)
