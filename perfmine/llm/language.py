@@ -19,7 +19,7 @@ SMOOTHING = 0.5
 #: A score weighs the evidence of at most so many n-grams, else every score would be 1.
 EVIDENCE = 60
 #: Characters whose n-grams are made at once, and cells (n-gram, language) scored at once.
-SLICE, BATCH_CELLS = 250_000, 2_000_000
+SLICE, BATCH_CELLS = 250_000, 200_000
 UNKNOWN = "und"
 _PLANE = 0x3000
 _LETTER = np.array([chr(c).isalpha() for c in range(_PLANE)])
