@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from perfmine.queries.registry import query
 from perfmine.queries.reports import _PRESSURE, _TIMES
 from perfmine.session import scratch_path
-from perfmine.sources import dataset as dataset_source
 from perfmine.streaming import jobs
 
 
@@ -36,8 +35,8 @@ def _(t):
     store = scratch_path(t.spark, "stored")
     checkpoint = scratch_path(t.spark, "progress")
     for rows, stage in ((started, "started"), (done, "done")):
-        jobs.upsert_results(stream_of(t, rows, stage, 1), store, f"{checkpoint}/{stage}").awaitTermination()
-    return dataset_source.load_dataset(t.spark, store).select("repo", "after_commit", "issue_number", "exec_status")
+        jobs.upsert_results(stream_of(t, rows, stage, 1), store, f"{checkpoint}/{stage}", stream=stage).awaitTermination()
+    return jobs.results_store(t.spark, store).read().select("repo", "after_commit", "issue_number", "exec_status")
 
 
 @query("str_02_resumed_commits", oracle="""

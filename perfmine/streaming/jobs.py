@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from perfmine.operators import applog, dataset, mining, pressure
-from perfmine.sources import dataset as dataset_source
-from perfmine.sources import store
+from perfmine import schemas
+from perfmine.operators import applog, mining, pressure
+from perfmine.sources.keyed import KeyedStore
+
+#: A batch reads the buckets its shas fall in, so there are more than a batch has shas.
+SEEN_BUCKETS = 1024
 
 
 def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -21,22 +24,28 @@ def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
+def results_store(spark: SparkSession, path: str) -> KeyedStore:
+    """The dataset as a store that :func:`upsert_results` writes deltas to."""
+    return KeyedStore(spark, path, schemas.DATASET, schemas.DATASET_KEY)
+
+
 def upsert_results(
-    results: DataFrame, path: str, checkpoint: str, order: str = "seq", available_now: bool = True
+    results: DataFrame, path: str, checkpoint: str, order: str = "seq", stream: str = "results", available_now: bool = True
 ) -> StreamingQuery:
-    """STR-01: merge finished analyses into the stored dataset, one merge per batch.
+    """STR-01: add finished analyses to the stored dataset, one delta per batch.
 
-    A batch that is replayed after a failure changes nothing, as the merge is
-    by key. ``order`` decides within a batch; between batches the arrival does: a
-    late row replaces what an earlier batch brought, whatever its ``order``.
+    A batch writes its own rows only; the merge happens when the store is read or
+    compacted. ``order`` decides within a batch and between batches, so a late row
+    changes nothing but what is null. A batch that is replayed after a failure is
+    passed over: ``stream`` names the progress that belongs to ``checkpoint``.
+    ``save_dataset(results_store(...).read(), ...)`` publishes the CSV form.
     """
+    store = results_store(results.sparkSession, path)
 
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        base = store.current(spark, path)
-        new = dataset.newest_values(batch, order)
-        merged = dataset.upsert(dataset_source.load_dataset(spark, path, base), new)
-        dataset_source.save_dataset(merged, path, base)
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        store.write(batch, order, stream, batch_id)
+        store.compact()
+        store.expire()
 
     return _start(results.writeStream.foreachBatch(merge), checkpoint, available_now)
 
@@ -46,19 +55,28 @@ def unseen_commits(
 ) -> StreamingQuery:
     """STR-02: commits that neither came before nor are in the dataset, below ``path``.
 
-    Resuming must not repeat work, so what is written is the memory: each batch is
-    reduced to one row per sha, which combines copies before the shuffle, and
-    leaves out what earlier batches have written. No state is kept besides. A
-    batch that is replayed overwrites its own folder, ``batch=n``.
+    Resuming must not repeat work. Each batch is reduced to one row per sha, which
+    combines copies before the shuffle, and leaves out the shas of a keyed store,
+    ``path/_seen``. Of that a batch reads the latest few deltas and the buckets its
+    shas fall in, not what all earlier batches wrote. The rows go to ``batch=n``
+    before their shas go to the store: a batch that fails in between is repeated
+    whole, one that is replayed later is passed over.
     """
     rows = commits.schema
-    commits.sparkSession.createDataFrame([], rows).write.mode("overwrite").parquet(f"{path}/batch=-1")
-    written = T.StructType([*rows.fields, T.StructField("batch", T.LongType())])
+    spark = commits.sparkSession
+    seen = KeyedStore(spark, f"{path}/_seen", T.StructType([rows["sha"]]), ["sha"], SEEN_BUCKETS)
+    spark.createDataFrame([], rows).write.mode("overwrite").parquet(f"{path}/batch=-1")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        earlier = batch.sparkSession.read.schema(written).parquet(path).where(F.col("batch") < batch_id)
-        fresh = mining.unseen(batch, known).join(earlier.select("sha").distinct(), "sha", "left_anti")
+        before = seen.latest()
+        if batch_id <= before.batches.get("commits", -1):
+            return
+        fresh = mining.unseen(batch, known).join(seen.lookup(batch, before), "sha", "left_anti")
         fresh.select(*rows.names).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        written = spark.read.schema(rows).parquet(f"{path}/batch={batch_id}")
+        seen.write(written.select("sha", F.lit(batch_id).alias("seq")), "seq", "commits", batch_id, before)
+        seen.compact()
+        seen.expire()
 
     return _start(commits.writeStream.foreachBatch(keep), checkpoint, available_now)
 
