@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from perfmine.operators import mining
 from perfmine.session import staged
+from perfmine.sources import answers
 
 
 @dataclass(frozen=True)
@@ -63,3 +64,15 @@ def pending_prompts(host: Host, dataset: DataFrame, verdicts: DataFrame, **limit
     commits = _candidates(host, dataset, limits)
     found = mining.all_refs(commits, host.pulls).select("repo", "sha", "number").distinct()
     return mining.to_judge(mining.prompts(found, commits, host.issues), verdicts)
+
+
+def judged(asked: DataFrame, cache: str, digits: int = answers.DIGITS) -> tuple[DataFrame, DataFrame]:
+    """Questions with their verdict from the table cache at ``cache``, and those it lacks.
+
+    ``asked`` has ``prompt_hash``, as ``pending_prompts`` and ``mining.prompts`` give it.
+    The cache is read once, in the folders of the questions; ``record_answers`` puts in
+    what the model says to the second result, and the next call then finds it.
+    """
+    asked = staged(asked, "asked")
+    verdicts = staged(answers.first_answers(answers.stored_answers(cache, asked, digits)), "verdicts")
+    return mining.with_verdicts(asked, verdicts), mining.to_judge(asked, verdicts)

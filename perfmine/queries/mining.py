@@ -9,6 +9,8 @@ from perfmine.operators import mining as m
 from perfmine.plans import mining as plan
 from perfmine.queries.bindings import PROMPT
 from perfmine.queries.registry import query
+from perfmine.session import scratch_path
+from perfmine.sources import answers
 
 # fixed values: verbs and forms of references
 _FORMS = r"(?:#\d+|GH-\d+|issue\s*#\d+|bug\s*#\d+|[\w.-]+/[\w.-]+#\d+|https?://github\.com/[\w.-]+/[\w.-]+/issues/\d+)"
@@ -339,3 +341,23 @@ def _(t):
     known = t.bind("b_dataset").where("exec_status = 'docker_image_built'")
     found = plan.pending_prompts(_host(t), known, t.bind("b_judgements"), since="1996-01-01")
     return found.select("repo", "sha", "number")
+
+
+@query("e3_answer_rounds", oracle=f"""with {_QUESTIONS},
+judged as (select q.*, contains(lower(trim(j.response)), 'yes') as yes from questions q left join b_judgements j using (prompt_hash))
+select repo, sha, number, 1 as round, case when substr(prompt_hash, 32, 1) < '8' then yes end as confirmed from judged
+union all select repo, sha, number, 2 as round, yes as confirmed from judged""")
+def _(t):
+    # half of the answers are in the cache; what is pending then is asked, answered and appended
+    cache = scratch_path(t.spark, "cache")
+    said = t.bind("b_judgements").select(
+        "prompt_hash", F.lit(0).alias("seq"),
+        F.struct(F.array(F.struct(F.col("response").alias("content"))).alias("samples")).alias("response"),
+    )
+    answers.record_answers(said.where(F.substring("prompt_hash", 32, 1) < "8"), cache, 1)
+    asked = _questions(t)
+    first, pending = plan.judged(asked, cache, 1)
+    answers.record_answers(said.join(pending.select("prompt_hash").distinct(), "prompt_hash", "left_semi"), cache, 1)
+    second, _ = plan.judged(asked, cache, 1)
+    rounds = first.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
+    return rounds.select("repo", "sha", "number", "round", "confirmed")

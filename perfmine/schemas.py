@@ -39,6 +39,7 @@ MESSAGE = _struct(role=_S, content=_S)
 PROMPT = _struct(messages=T.ArrayType(MESSAGE), temp=_D, sample_size=_L, model=_S)
 RESPONSE = _struct(samples=T.ArrayType(_struct(content=_S)))
 INVOCATION = _struct(prompt=PROMPT, response=RESPONSE, invocation_time=_D)
+ANSWER = _struct(prompt_hash=_S, version=_L, prompt=PROMPT, response=RESPONSE, invocation_time=_D)
 
 YEAR_STAR_CACHE = _struct(
     commit_year_by_repo_sha=T.MapType(_S, T.IntegerType()), repo_stars=T.MapType(_S, _L)

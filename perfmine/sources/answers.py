@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from perfmine import schemas
 from perfmine.functions import scan
+from perfmine.session import staged
+
+#: Digits of the hash that name a folder of the table cache.
+DIGITS = 2
 
 _NAME = r"^([0-9a-f]{32})-(\d+)\.json$"
 
@@ -51,10 +56,42 @@ def new_entries(cache: DataFrame, fresh: DataFrame, read_from_cache: bool = True
     ).drop("_cached", "_nth")
 
 
-def append_entries(entries: DataFrame, path: str, digits: int = 2) -> None:
+def append_entries(entries: DataFrame, path: str, digits: int = DIGITS) -> None:
     """Append to a table cache, laid out by the first digits of the hash.
 
     The rebalance hint gives few files per folder and splits a large one.
     """
     laid_out = entries.withColumn("prefix", F.substring("prompt_hash", 1, digits)).hint("rebalance", F.col("prefix"))
     laid_out.write.mode("append").partitionBy("prefix").parquet(path)
+
+
+def stored_answers(path: str, asked: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """The entries of a table cache for the questions ``asked``, by ``prompt_hash``.
+
+    Only folders of hashes that are asked for are read. The driver sees their names,
+    of which there are at most 16 ** ``digits``. A cache that does not exist is empty.
+    """
+    spark = asked.sparkSession
+    cache = T.StructType([*schemas.ANSWER.fields, T.StructField("prefix", T.StringType())])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schemas.ANSWER)
+    hashes = asked.select("prompt_hash").where(F.col("prompt_hash").isNotNull()).distinct()
+    prefixes = [r[0] for r in hashes.select(F.substring("prompt_hash", 1, digits)).distinct().collect()]
+    rows = spark.read.schema(cache).parquet(path).where(F.col("prefix").isin(prefixes))
+    return rows.join(hashes, "prompt_hash", "left_semi").select(*schemas.ANSWER.names)
+
+
+def record_answers(fresh: DataFrame, path: str, digits: int = DIGITS) -> None:
+    """SNK-05: append the answers whose question the table cache does not hold yet.
+
+    ``fresh`` has ``prompt_hash``, ``seq`` and any other columns of an entry; what is
+    absent is stored as null. A repeated call appends nothing. Rows without a hash are
+    left out.
+    """
+    fresh = staged(fresh.where(F.col("prompt_hash").isNotNull()), "answers")
+    entries = new_entries(stored_answers(path, fresh, digits), fresh)
+    columns = [
+        (F.col(f.name) if f.name in entries.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.ANSWER
+    ]
+    append_entries(entries.select(*columns), path, digits)
