@@ -2,9 +2,13 @@
 
 A plain window needs all rows of its partition in one task, so one huge log
 file or patch would decide the run time of the job. Here the position is cut
-into chunks of fixed width. Rows meet only the rows of their own chunk; what
-earlier chunks contribute comes from a table with one row per chunk. Rows are
-shuffled once, on (keys, chunk), which splits a hot key evenly.
+into chunks. Rows meet only the rows of their own chunk; what earlier chunks
+contribute comes from a table with one row per chunk. Rows are shuffled on
+(keys, chunk), which splits a hot key evenly.
+
+Chunks of fixed width need no look at the data and suit positions that count
+lines. Where positions have gaps, a chunk may hold a single row and that table
+be as long as the input; :func:`row_chunks` cuts by rows instead.
 """
 
 from __future__ import annotations
@@ -12,9 +16,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perfmine.session import staged
+
 CHUNK = 1_000_000
 
 
+def row_chunks(df: DataFrame, keys: list[str], position: str, parts: int | None = None) -> DataFrame:
+    """``df`` with ``_chunk``, chunks of about equally many rows whatever their positions.
+
+    Rows are range-partitioned by (keys, position) and written with the number of
+    their partition, so every reader sees the same chunks. A key has at most as many
+    chunks as there are partitions: ``parts`` if given, else as many as the size asks for.
+    """
+    order = [*keys, position]
+    ranged = df.repartitionByRange(*order) if parts is None else df.repartitionByRange(parts, *order)
+    return staged(ranged.withColumn("_chunk", F.spark_partition_id().cast("bigint")), "row-chunks")
+
+
+def cut(df: DataFrame, keys: list[str], position: str, chunk: int | None) -> DataFrame:
+    """``df``, written once for several readers, in chunks of ``chunk`` positions; null cuts by rows."""
+    if chunk is None:
+        return row_chunks(df, keys, position)
+    return staged(df.withColumn("_chunk", _fixed(position, chunk)), "chunks")
+
+
+def _fixed(position: str, chunk: int) -> Column:
+    return F.floor(F.col(position) / F.lit(chunk))
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -33,12 +62,13 @@ def running(
     ``position`` is an integer, unique within a key. ``sums`` count nulls as 0.
     An anchor ``(value, sum)`` is the last ``value - sum`` of the rows that have a
     value: the base from which a counter with that running sum goes on.
-    A second scan over the same keys reuses the ``_chunk`` column that
-    ``keep_chunk`` leaves, and with it the first scan's shuffle.
+    A ``_chunk`` column of the input takes the place of ``chunk``: that of
+    :func:`row_chunks`, or the one ``keep_chunk`` leaves for a second scan over the
+    same keys, which then reuses the first scan's shuffle.
     """
     sums, lasts, mins, anchors = sums or {}, lasts or {}, mins or {}, anchors or {}
     columns = [c for c in df.columns if c != "_chunk"]
-    base = df if "_chunk" in df.columns else df.withColumn("_chunk", F.floor(F.col(position) / F.lit(chunk)))
+    base = df if "_chunk" in df.columns else df.withColumn("_chunk", _fixed(position, chunk))
     for name, expr in {**sums, **lasts, **mins}.items():
         base = base.withColumn(f"_x_{name}", expr)
 

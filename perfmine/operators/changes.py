@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfmine.functions import logtext, paths, scan
-from perfmine.session import staged
 
 # The header of a hunk and of the new file in a unified diff.
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
@@ -31,13 +30,14 @@ def java_tests(files: DataFrame) -> DataFrame:
     return files.where(paths.is_java_test(F.col("path")))
 
 
-def numbered_lines(lines: DataFrame, keys=("patch_id",), position: str = "seq") -> DataFrame:
+def numbered_lines(lines: DataFrame, keys=("patch_id",), position: str = "seq", chunk: int | None = None) -> DataFrame:
     """SC-10 / W-04: added and removed lines with their number in the new or old file.
 
     A context line moves both counters, ``---`` and ``+++`` lines and any other
     text move none. Lines before the first hunk count from zero. The counters
     are chunked running sums, so one huge patch is shared by many tasks. The
-    text is read once; the scans work on a staged table of line kinds.
+    text is read once; the scans work on a staged table of line kinds, cut into
+    chunks of about equally many lines, so ``position`` may have gaps of any width.
     """
     line = F.col("line")
     is_hunk = line.rlike(HUNK_HEADER)
@@ -51,11 +51,13 @@ def numbered_lines(lines: DataFrame, keys=("patch_id",), position: str = "seq")
     def first_line(group: int) -> Column:
         return F.when(is_hunk, F.regexp_extract(line, HUNK_HEADER, group).try_cast("bigint"))
 
-    kinds = staged(
+    kinds = scan.cut(
         lines.select(
             *keys, position, kind.alias("kind"), first_line(1).alias("_old_start"), first_line(3).alias("_new_start")
         ).where(F.col("kind").isNotNull()),
-        "line-kinds",
+        list(keys),
+        position,
+        chunk,
     )
     kind = F.col("kind")
     based = scan.running(
@@ -79,14 +81,16 @@ def numbered_lines(lines: DataFrame, keys=("patch_id",), position: str = "seq")
     )
 
 
-def with_current_file(lines: DataFrame, keys=("patch_id",), position: str = "seq") -> DataFrame:
+def with_current_file(
+    lines: DataFrame, keys=("patch_id",), position: str = "seq", chunk: int | None = None
+) -> DataFrame:
     """W-08: the file each line of a multi-file patch belongs to."""
     path = F.nullif(F.regexp_extract("line", NEW_FILE, 1), F.lit(""))
-    return scan.running(lines, list(keys), position, lasts={"file": path})
+    return scan.running(scan.cut(lines, list(keys), position, chunk), list(keys), position, lasts={"file": path})
 
 
 def changed_lines_by_file(
-    lines: DataFrame, keys=("patch_id",), position: str = "seq", strict_diff: bool = True, chunk: int = scan.CHUNK
+    lines: DataFrame, keys=("patch_id",), position: str = "seq", strict_diff: bool = True, chunk: int | None = None
 ) -> DataFrame:
     """SC-10 and W-08 together: (keys, position, version, file, line_no) of every added and removed line.
 
@@ -114,7 +118,7 @@ def changed_lines_by_file(
         return F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
 
     first = F.substring("line", 1, 1)
-    wanted = staged(
+    wanted = scan.cut(
         lines.where(first.isin("@", "-", "+", " ")).select(
             *keys,
             position,
@@ -127,7 +131,9 @@ def changed_lines_by_file(
             path(OLD_FILE).alias("_old_name"),
             path(NEW_FILE).alias("_new_name"),
         ),
-        "diff-lines",
+        list(keys),
+        position,
+        chunk,
     )
     kind = F.col("_kind")
     mark = F.lit(False) if strict_diff else F.col("_like_header")
@@ -147,7 +153,6 @@ def changed_lines_by_file(
             "_old_before": (at_header, "_old"),
             "_new_before": (at_header, "_new"),
         },
-        chunk=chunk,
         keep_chunk=True,
     )
     # what the hunk has had before this line, against what its header says
@@ -164,7 +169,6 @@ def changed_lines_by_file(
             "_old_file": F.when(~F.col("_inside"), F.col("_old_name")),
             "_new_file": F.when(~F.col("_inside"), F.col("_new_name")),
         },
-        chunk=chunk,
     )
     removed = kind == "-"
     number = F.when(removed, F.coalesce("_old_base", zero) + F.col("_old") - 1).otherwise(F.coalesce("_new_base", zero) + F.col("_new") - 1)

@@ -50,7 +50,9 @@ def new_entries(cache: DataFrame, fresh: DataFrame, read_from_cache: bool = True
         kept = missing.groupBy("prompt_hash").agg(F.min_by(F.struct("seq", *columns), "seq").alias("_r"))
         return kept.select("prompt_hash", F.lit(0).cast("bigint").alias("version"), "_r.*")
     counts = cache.groupBy("prompt_hash").agg(F.count(F.lit(1)).alias("_cached"))
-    numbered = scan.running(fresh, ["prompt_hash"], "seq", sums={"_nth": F.lit(1).cast("bigint")})
+    # the caller's numbers may lie far apart
+    chunks = scan.row_chunks(fresh, ["prompt_hash"], "seq")
+    numbered = scan.running(chunks, ["prompt_hash"], "seq", sums={"_nth": F.lit(1).cast("bigint")})
     return numbered.join(counts, "prompt_hash", "left").withColumn(
         "version", F.coalesce("_cached", F.lit(0).cast("bigint")) + F.col("_nth") - 1
     ).drop("_cached", "_nth")

@@ -175,16 +175,15 @@ PATCH = """--- a/x/A.java\t2026
 +second""".split("\n")
 
 
-@pytest.mark.parametrize("chunk", [3, 10**6])
-def test_line_numbers_and_files(spark, monkeypatch, chunk):
-    monkeypatch.setattr(scan.running, "__defaults__", tuple(chunk if d == scan.CHUNK else d for d in scan.running.__defaults__))
+@pytest.mark.parametrize("chunk", [3, 10**6, None])
+def test_line_numbers_and_files(spark, chunk):
     df = spark.createDataFrame([(1, i, line) for i, line in enumerate(PATCH)], "patch_id long, seq long, line string")
-    got = {tuple(r) for r in changes.numbered_lines(df).select("seq", "version", "line_no").collect()}
+    got = {tuple(r) for r in changes.numbered_lines(df, chunk=chunk).select("seq", "version", "line_no").collect()}
     assert got == {
         (4, "original", 11), (5, "patched", 11), (6, "patched", 12), (9, "original", 40), (10, "patched", 41),
         (15, "patched", 1), (17, "patched", 2),
     }
-    files = {r["seq"]: r["file"] for r in changes.with_current_file(df).collect()}
+    files = {r["seq"]: r["file"] for r in changes.with_current_file(df, chunk=chunk).collect()}
     assert files[0] is None and files[5] == "x/A.java" and files[17] == "B.java"
 
 
@@ -379,9 +378,9 @@ def made_patch(rng):
     return lines
 
 
-@pytest.mark.parametrize("chunk", [1, 3, 7, 1_000_000])
+@pytest.mark.parametrize("chunk", [1, 3, 7, 1_000_000, None])
 def test_strict_diff_equals_a_plain_parser(spark, chunk):
-    rng = random.Random(chunk)
+    rng = random.Random(chunk or 0)
     patches = [made_patch(rng) for _ in range(25)] + [["--- a/f", "+++ b/f", "@@ -1,2 +1,1 @@", "--- x", " y", "--- z"]]
     df = spark.createDataFrame([(k, at, line) for k, p in enumerate(patches) for at, line in enumerate(p)], "patch_id long, seq long, line string")
     got = sorted(tuple(r) for r in changes.changed_lines_by_file(df, chunk=chunk).collect())

@@ -36,6 +36,21 @@ def test_running_equals_plain_window(spark, rows, seed, chunk, exclusive):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("exclusive", [False, True])
+def test_rows_far_apart_make_as_many_chunks_as_partitions(spark, rows, exclusive):
+    """Positions a million apart: every chunk of fixed width holds one row."""
+    df = skewed(spark, 9, 2000).withColumn("pos", F.col("pos") * 1_000_003 - 10**9)
+    chunks = scan.row_chunks(df, ["key"], "pos", 6)
+    per_key = chunks.groupBy("key").agg(F.countDistinct("_chunk").alias("n")).collect()
+    assert max(r["n"] for r in per_key) in (5, 6) and len(per_key) == 6
+    sizes = [r["count"] for r in chunks.groupBy("_chunk").count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 2 * min(sizes)
+    exprs = dict(sums={"s": F.col("a")}, lasts={"l": F.col("b")}, mins={"m": F.col("b")}, exclusive=exclusive)
+    got = scan.running(chunks, ["key"], "pos", **exprs)
+    assert "_chunk" not in got.columns
+    assert rows(got) == rows(scan.running(df, ["key"], "pos", chunk=10**12, **exprs))
+
+
 @pytest.mark.parametrize("seed, chunk", [(6, 9), (7, 100), (8, 10**6)])
 def test_anchor_is_last_value_minus_sum(spark, rows, seed, chunk):
     df = skewed(spark, seed)
