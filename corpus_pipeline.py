@@ -38,10 +38,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stays. A row without an id is no copy of any other and stays.
     """
     docs = docs.select(*COLUMNS)
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = staged(neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct(), "kept-ids")
+    counts = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # few ids repeat, and only the texts of these are brought together
+    repeated = staged(counts, "repeated-ids")
+    stay = docs.join(kept, "doc_id", "left_semi")
     rest = [c for c in COLUMNS if c != "doc_id"]
-    one_each = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
-    return one_each.unionByName(docs.where("doc_id is null"))
+    again = stay.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    once = stay.join(repeated, "doc_id", "left_anti")
+    return once.unionByName(again.select("doc_id", "row.*")).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
