@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from perfmine.queries.registry import query
 from perfmine.queries.reports import _PRESSURE, _TIMES
 from perfmine.session import scratch_path
+from perfmine.sources import lines as line_source
 from perfmine.streaming import jobs
 
 
@@ -77,3 +78,21 @@ def _(t):
     path = scratch_path(t.spark, "times")
     jobs.commit_times(stream_of(t, t.bind("b_app_log"), "app-log"), path, scratch_path(t.spark, "progress")).awaitTermination()
     return jobs.latest_commit_times(t.spark, path)
+
+
+@query("str_04_numbered_lines", oracle="""
+select cast(file_no as varchar) as log, row_number() over (partition by file_no order by line_no) as line_no, line from b_app_log""")
+def _(t):
+    log = t.bind("b_app_log")
+    folder, path, progress = (scratch_path(t.spark, n) for n in ("grown", "numbered", "progress"))
+    longest = log.groupBy("file_no").agg(F.max("line_no").alias("_most"))
+    steps = log.join(longest, "file_no").withColumn("step", F.floor(F.lit(3) * F.col("line_no") / (F.col("_most") + 1)).cast("int"))
+    for step in range(3):
+        ordered = steps.where(F.col("step") == step).repartitionByRange("file_no", "line_no").sortWithinPartitions("file_no", "line_no")
+        rows = ordered.select(F.col("file_no").alias("log"), "step", F.col("line").alias("value"))
+        rows.write.mode("append").partitionBy("log", "step").text(folder)
+        stream = line_source.text_rows(t.spark.readStream.schema("value string").text(f"{folder}/log=*/step=*"), line_source.folder_of())
+        # a write numbers its parts from 0 again
+        part = line_source.folder_of("step").cast("bigint") * 1_000_000 + line_source.part_number()
+        jobs.number_lines(stream, path, progress, part).awaitTermination()
+    return jobs.numbered_lines(t.spark, path)

@@ -18,23 +18,31 @@ def read_lines(spark: SparkSession, path, log: Column | None = None) -> DataFram
     of all earlier blocks. Only the table of blocks is shuffled; it is written
     first, so that its true size decides whether the join sends it to all tasks.
     """
-    rows = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.col("value").alias("line"),
-    )
     # the reader keeps the order of a block, which this id follows
-    rows = rows.withColumn("log", F.col("file") if log is None else log).withColumn("_at", F.monotonically_increasing_id())
+    rows = text_rows(spark.read.text(path), log).withColumn("_at", F.monotonically_increasing_id())
     block = ["log", "file", "_block"]
     sizes = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    # part numbers are compared as numbers: their text has no fixed width
-    part = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("bigint")
-    earlier = Window.partitionBy("log").orderBy(part, "file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("log").orderBy(part_number(), "file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
     blocks = staged(sizes.select(*block, (before + 1 - F.col("_first")).alias("_shift")), "line-blocks")
     return rows.join(blocks, block).select("log", (F.col("_at") + F.col("_shift")).alias("line_no"), "line")
 
 
+def text_rows(texts: DataFrame, log: Column | None = None) -> DataFrame:
+    """(file, _block, line, log) of a text source, batch or stream."""
+    rows = texts.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.col("value").alias("line"),
+    )
+    return rows.withColumn("log", F.col("file") if log is None else log)
+
+
+def part_number() -> Column:
+    """The number in ``part-<n>…``, null for other names; as text it has no fixed width."""
+    return F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("bigint")
+
+
 def write_lines(lines: DataFrame, path: str, log: str, position: str) -> None:
     """Logs as text, one folder per log; a large log becomes several files in order."""
     ordered = lines.repartitionByRange(log, position).sortWithinPartitions(log, position)

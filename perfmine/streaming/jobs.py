@@ -6,7 +6,7 @@ and process what is there when ``available_now`` is set.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from perfmine import schemas
 from perfmine.operators import applog, mining, pressure
 from perfmine.sources.keyed import KeyedStore
+from perfmine.sources.lines import part_number
 
 #: A batch reads the buckets its shas fall in, so there are more than a batch has shas.
 SEEN_BUCKETS = 1024
@@ -81,6 +82,97 @@ def unseen_commits(
     return _start(commits.writeStream.foreachBatch(keep), checkpoint, available_now)
 
 
+#: Lines known of a file; the row without a file is that of the whole log, with its last file.
+_NUMBERED = T.StructType(
+    [
+        T.StructField("log", T.StringType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("part", T.LongType()),
+        T.StructField("last", T.StringType()),
+    ]
+)
+
+
+def number_lines(
+    lines: DataFrame,
+    path: str,
+    checkpoint: str,
+    part: Column | None = None,
+    stream: str = "lines",
+    available_now: bool = True,
+) -> StreamingQuery:
+    """STR-04 / SRC-05: (log, line_no, line) of logs that grow, below ``path``.
+
+    ``lines`` is ``text_rows`` of a streaming text source. A log grows by further
+    files, in the order of ``part`` (by default the number in ``part-<n>``) and name;
+    lines are numbered on from 1 as one read of all of them would. A keyed store
+    remembers how many lines each file and log had, and a batch looks up its own
+    logs only. A file that comes again gives only the lines behind those it had, so a
+    replay gives none, and the last file of a log may be longer than before. Lines
+    for a place before a later file that is numbered already raise ``ValueError``.
+    Rows without a log are left out. ``stream`` names the progress that belongs to
+    ``checkpoint``.
+    """
+    spark = lines.sparkSession
+    seen = KeyedStore(spark, f"{path}/_seen", _NUMBERED, ["log", "file"], SEEN_BUCKETS)
+    spark.createDataFrame([], "log string, line_no bigint, line string").write.mode("overwrite").parquet(f"{path}/stream=none/batch=-1")
+
+    def table(name: str, batch_id: int, rows: DataFrame) -> DataFrame:
+        folder = f"{path}/_{name}/{stream}/{batch_id}"
+        rows.write.mode("overwrite").parquet(folder)
+        return spark.read.schema(rows.schema).parquet(folder)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        before = seen.latest()
+        if batch_id <= before.batches.get(stream, -1):
+            return
+        rows = batch.where(F.col("log").isNotNull()).withColumn("_at", F.monotonically_increasing_id())
+        in_block = ["log", "file", "_block"]
+        blocks = table("blocks", batch_id, rows.groupBy(*in_block).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")))
+        files = blocks.groupBy("log", "file").agg(F.sum("_n").alias("n")).withColumn("part", part_number() if part is None else part)
+        logs = files.select("log", F.lit("").alias("file")).distinct()
+        known = table("known", batch_id, seen.lookup(files.select("log", "file").unionByName(logs), before))
+        had = known.where("file <> ''").select("log", "file", F.col("n").alias("had"))
+        whole = known.where("file = ''").select("log", F.col("n").alias("total"), F.struct("part", F.col("last").alias("file")).alias("end"))
+        earlier = Window.partitionBy("log").orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
+        zero = F.lit(0).cast("bigint")
+        placed = (
+            files.join(had, ["log", "file"], "left").join(whole, "log", "left")
+            .withColumns({"had": F.coalesce("had", zero), "total": F.coalesce("total", zero)})
+            .withColumn("new", F.greatest(zero, F.col("n") - F.col("had")))
+            .withColumn("start", F.col("total") + F.coalesce(F.sum("new").over(earlier), zero) - F.col("had"))
+        )
+        placed = table("files", batch_id, placed)
+        late = placed.where("new > 0").where(F.struct("part", "file") < F.col("end")).select("file").first()
+        if late:
+            raise ValueError(f"{late[0]} has lines before a file that is numbered already")
+        above = Window.partitionBy("log", "file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        shifts = (
+            blocks.withColumn("_shift", F.coalesce(F.sum("_n").over(above), zero) + 1 - F.col("_first"))
+            .join(placed.where("new > 0").select("log", "file", "start", "had"), ["log", "file"])
+            .select(*in_block, "_shift", "start", "had")
+        )
+        at = F.col("_at") + F.col("_shift")
+        numbered = rows.join(shifts, in_block).where(at > F.col("had")).select("log", (F.col("start") + at).alias("line_no"), "line")
+        numbered.write.mode("overwrite").parquet(f"{path}/stream={stream}/batch={batch_id}")
+        grown = placed.where("new > 0")
+        ends = grown.groupBy("log").agg((F.max("total") + F.sum("new")).alias("n"), F.max(F.struct("part", "file")).alias("end"))
+        state = grown.select("log", "file", "n", "part", F.lit(None).cast("string").alias("last")).unionByName(
+            ends.select("log", F.lit("").alias("file"), "n", F.col("end.part").alias("part"), F.col("end.file").alias("last"))
+        )
+        seen.write(state.withColumn("seq", F.lit(before.number)), "seq", stream, batch_id, before)
+        seen.compact()
+        seen.expire()
+
+    return _start(lines.writeStream.foreachBatch(keep), checkpoint, available_now)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`number_lines` has written so far."""
+    return spark.read.schema("log string, line_no bigint, line string, stream string, batch bigint").parquet(path).select("log", "line_no", "line")
+
+
 def pressure_alerts(
     lines: DataFrame, alerts_path: str, reports_path: str, checkpoint: str, available_now: bool = True
 ) -> tuple[StreamingQuery, StreamingQuery]:
