@@ -86,9 +86,17 @@ def decode_cell(cell: Column, kind: T.DataType, python_literals: bool = True) ->
         _peel(F.replace(raw, F.lit('\\"'), F.lit('"'))),
         _peel(F.rtrim(raw, F.lit('"'))),
     )
-    # well-formed cells are read at once; the rest tries its forms in order
-    tried = F.transform(texts, lambda t: F.coalesce(_shaped(t, kind), _shaped(_unwrap(t), kind)))
-    found = F.coalesce(_shaped(raw, kind), F.get(F.filter(tried, lambda v: v.isNotNull()), F.lit(0)))
+    # most forms of a text without outer quotes are the text itself
+    texts = F.array_distinct(texts)
+
+    def read(text: Column) -> Column:
+        # only a text that starts with a quote is a JSON string
+        quoted = F.when(text.rlike(r"""^\s*["']"""), _unwrap(text))
+        return F.coalesce(_shaped(text, kind), _shaped(quoted, kind))
+
+    # well-formed cells are read at once; the rest tries its forms in order, until one is read
+    tried = F.aggregate(texts, F.lit(None).cast(kind), lambda found, t: F.coalesce(found, read(t)))
+    found = F.coalesce(_shaped(raw, kind), tried)
     if not python_literals:
         return found
     fallback = _literal_to_json(_UNWRAPS + 1, kind)(F.when(found.isNull() & cell.isNotNull(), texts))

@@ -100,7 +100,9 @@ def _(t):
         .when(kind == 15, text("['@', None,]"))
         .otherwise(text("  '[\"@\", \"b c\"]' "))
     )
-    return t.table("part").select("p_partkey", F.array_join(cells.decode_cell(cell, _LIST), "|").alias("items"))
+    # one file of a few row groups would be read, and its cells decoded, by as few tasks
+    rows = t.table("part").select("p_partkey", cell.alias("cell")).hint("repartition")
+    return rows.select("p_partkey", F.array_join(cells.decode_cell(F.col("cell"), _LIST), "|").alias("items"))
 
 
 _UPDATES = """
