@@ -267,7 +267,7 @@ def covered_ranges(coverage: DataFrame) -> DataFrame:
         coverage.withColumn("_part", F.explode(F.split("covered_lines", ",")))
         .where(part != "")
         .withColumn("first_line", F.trim(F.substring_index(part, "-", 1)).cast("int"))
-        .withColumn("last_line", F.trim(F.element_at(F.split(part, "-", 2), -1)).cast("int"))
+        .withColumn("last_line", F.trim(F.substr(part, F.instr(part, "-") + 1)).cast("int"))
         .where(F.col("first_line") <= F.col("last_line"))
         .drop("covered_lines", "_part")
     )
@@ -281,30 +281,57 @@ def covered_line_rows(coverage: DataFrame) -> DataFrame:
 def changed_and_covered(changed: DataFrame, coverage: DataFrame) -> DataFrame:
     """JN-08 / SET-04: covered lines that were changed, per version and test.
 
-    An interval join: a range of up to 2^k lines lies in at most two bins of 2^k
-    lines and is sent to those only, however long it is. A changed line looks into
-    its bin of each width that its file's ranges have. The key of the join has the
-    bin, so a file that many tests touch spreads over its bins. Coverage of files
-    without a change, the bulk of a report, is left out first. A line that a text
-    names twice comes twice.
+    A line that a text names twice comes twice.
+    """
+    hits = _changed_ranges(changed, coverage)
+    columns = [c for c in hits.columns if c not in ("first_line", "last_line", "_cell", "_hit")]
+    # the places of the cell that lie in the range
+    first, last = F.greatest(F.col("first_line") - F.col("_cell") * 64, F.lit(0)), F.least(F.col("last_line") - F.col("_cell") * 64, F.lit(63))
+    places = F.slice(F.array(*[F.lit(i) for i in range(64)]), first + 1, last - first + 1)
+    found = hits.withColumn("_place", F.explode(places)).where("shiftright(_hit, _place) & 1 = 1")
+    return found.select(*columns, (F.col("_cell") * 64 + F.col("_place")).alias("line_no"))
+
+
+def _changed_ranges(changed: DataFrame, coverage: DataFrame) -> DataFrame:
+    """The covered ranges with a changed line, once for each cell of 64 lines where they have one.
+
+    An interval join. The changed lines of a cell are the bits of one number
+    (``_hit`` has those within the range), so few rows are sent. A range of up to 64
+    lines lies in at most two cells. One of up to 2^k lines, k over 6, lies in at most
+    two bins of 2^k lines, and the cells of its file look into their bin of each such
+    width that the file's ranges have. So a range is sent to two places, however long
+    it is. The key of the join has the bin: a file that many tests touch spreads over
+    its bins. Coverage of files without a change, the bulk of a report, is left out first.
     """
     file = ["commit_id", "version", "file"]
-    lines = changed.select(*file, F.col("line_no").cast("int").alias("line_no")).distinct()
+    line = F.col("line_no").cast("int")
+    cells = changed.where(line.isNotNull()).groupBy(*file, F.shiftright(line, 6).alias("_cell")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(line_no as int) & 63)")).alias("_lines")
+    )
     touched = coverage.join(changed.select(*file).distinct(), file, "left_semi")
+    length = F.col("last_line").cast("bigint") - F.col("first_line")
+
+    def placed(rows: DataFrame, width: str, to: str) -> DataFrame:
+        first, last = f"shiftright(first_line, {width})", f"shiftright(last_line, {width})"
+        return rows.withColumn(to, F.explode(F.expr(f"if({first} = {last}, array({first}), array({first}, {last}))")))
+
+    short = placed(covered_ranges(touched).where(length < 64), "6", "_cell").join(cells, [*file, "_cell"])
+    # a long range ends at 64 or later; the text tells that without being taken apart
+    may_be_long = touched.where(F.col("covered_lines").rlike(r"-[^,]*(?:6[4-9]|[7-9][0-9]|[0-9]{3})"))
     # the bits of (length - 1) are the least k with 2^k >= length
-    ranges = covered_ranges(touched).withColumn("_width", F.length(F.bin(F.col("last_line").cast("bigint") - F.col("first_line"))))
-    ranges = ranges.withColumn("_width", F.when(F.col("first_line") == F.col("last_line"), 0).otherwise(F.col("_width")))
-    bins = F.expr("array_distinct(array(shiftright(first_line, _width), shiftright(last_line, _width)))")
-    placed = ranges.withColumn("_bin", F.explode(bins))
-    widths = ranges.select(*file, "_width").distinct()
-    asked = lines.join(widths, file).withColumn("_bin", F.expr("shiftright(line_no, _width)"))
-    within = F.col("line_no").between(F.col("first_line"), F.col("last_line"))
-    return placed.join(asked, [*file, "_width", "_bin"]).where(within).drop("first_line", "last_line", "_width", "_bin")
+    long = covered_ranges(may_be_long).where(length >= 64).withColumn("_width", F.length(F.bin(length)))
+    asked = cells.join(long.select(*file, "_width").distinct(), file).withColumn("_bin", F.expr("shiftright(_cell, _width - 6)"))
+    long = placed(long, "_width", "_bin").join(asked, [*file, "_width", "_bin"]).drop("_width", "_bin")
+    met = short.unionByName(long)
+    # bits of the cell's lines that lie in the range
+    inside = "shiftleft(-1L, greatest(first_line - _cell * 64, 0)) & shiftrightunsigned(-1L, 63 - least(last_line - _cell * 64, 63))"
+    apart = (F.expr("shiftright(last_line, 6)") < F.col("_cell")) | (F.expr("shiftright(first_line, 6)") > F.col("_cell"))
+    return met.where(~apart).withColumn("_hit", F.expr(f"_lines & {inside}")).where("_hit <> 0").drop("_lines")
 
 
 def covering_tests(changed: DataFrame, coverage: DataFrame) -> DataFrame:
     """AG-23 / SET-03: distinct tests that cover a change in either version."""
-    return changed_and_covered(changed, coverage).select("commit_id", "test_path").distinct()
+    return _changed_ranges(changed, coverage).select("commit_id", "test_path").distinct()
 
 
 def without_modified_tests(tests: DataFrame, changed_tests: DataFrame) -> DataFrame:
