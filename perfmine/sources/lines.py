@@ -18,14 +18,24 @@ def read_lines(spark: SparkSession, path, log: Column | None = None) -> DataFram
     of all earlier blocks. Only the table of blocks is shuffled; it is written
     first, so that its true size decides whether the join sends it to all tasks.
     """
+    return _numbered(spark, path, {"log": F.col("file") if log is None else log})
+
+
+def _numbered(spark: SparkSession, path, of_file: dict[str, Column]) -> DataFrame:
+    """Lines numbered per ``log``, with what ``of_file`` derives from the path.
+
+    That is asked of each block, not of each line. Lines without a log are left out.
+    """
     # the reader keeps the order of a block, which this id follows
-    rows = text_rows(spark.read.text(path), log).withColumn("_at", F.monotonically_increasing_id())
-    block = ["log", "file", "_block"]
+    rows = text_rows(spark.read.text(path)).drop("log").withColumn("_at", F.monotonically_increasing_id())
+    block = ["file", "_block"]
     sizes = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    named = sizes.select(*block, "_n", "_first", *[value.alias(name) for name, value in of_file.items()])
     earlier = Window.partitionBy("log").orderBy(part_number(), "file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    blocks = staged(sizes.select(*block, (before + 1 - F.col("_first")).alias("_shift")), "line-blocks")
-    return rows.join(blocks, block).select("log", (F.col("_at") + F.col("_shift")).alias("line_no"), "line")
+    blocks = staged(named.select(*block, *of_file, (before + 1 - F.col("_first")).alias("_shift")), "line-blocks")
+    # asked of the written table: before it, the filter would go down to the lines
+    return rows.join(blocks.where(F.col("log").isNotNull()), block).select(*of_file, (F.col("_at") + F.col("_shift")).alias("line_no"), "line")
 
 
 def text_rows(texts: DataFrame, log: Column | None = None) -> DataFrame:
@@ -46,7 +56,9 @@ def part_number() -> Column:
 def write_lines(lines: DataFrame, path: str, log: str, position: str) -> None:
     """Logs as text, one folder per log; a large log becomes several files in order."""
     ordered = lines.repartitionByRange(log, position).sortWithinPartitions(log, position)
-    ordered.select(F.col(log).alias("log"), F.col("line").alias("value")).write.partitionBy("log").text(path)
+    text = ordered.select(F.col(log).alias("log"), F.col("line").alias("value")).write.partitionBy("log")
+    # tasks put their folders in place themselves: the driver would move those of all logs one by one
+    text.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
 
 
 def folder_of(name: str = "log") -> Column:
@@ -67,19 +79,17 @@ def read_log_set(spark: SparkSession, path, commit: Column) -> DataFrame:
     ``file``, the path. Other files are left out. ``missing_logs`` tells what a
     commit lacks.
     """
-    lines = read_lines(spark, path)
-    file = F.col("log")
+    file = F.col("file")
     first, second = LOG_NAMES
     named, counted = F.nullif(F.regexp_extract(file, first, 1), F.lit("")), F.nullif(F.regexp_extract(file, second, 2), F.lit(""))
     version = F.coalesce(counted, named)
     run_no = F.when(counted.isNotNull(), F.regexp_extract(file, second, 1).try_cast("bigint") + 1).otherwise(
         F.regexp_extract(file, first, 2).try_cast("bigint")
     )
-    return (
-        lines.withColumn("file", file)
-        .where(version.isNotNull())
-        .select(
-            commit.alias("commit_id"), F.when(version == "new_patched", F.lit("patched")).otherwise(version).alias("version"),
-            run_no.alias("run_no"), "line_no", "line",
-        )
-    )
+    of_file = {
+        "log": F.when(version.isNotNull(), file),
+        "commit_id": commit,
+        "version": F.when(version == "new_patched", F.lit("patched")).otherwise(version),
+        "run_no": run_no,
+    }
+    return _numbered(spark, path, of_file).select("commit_id", "version", "run_no", "line_no", "line")
