@@ -64,7 +64,7 @@ def append_entries(entries: DataFrame, path: str, digits: int = DIGITS) -> None:
     The rebalance hint gives few files per folder and splits a large one.
     """
     laid_out = entries.withColumn("prefix", F.substring("prompt_hash", 1, digits)).hint("rebalance", F.col("prefix"))
-    laid_out.write.mode("append").partitionBy("prefix").parquet(path)
+    laid_out.write.mode("append").partitionBy("prefix").option("compression", "zstd").parquet(path)
 
 
 def stored_answers(path: str, asked: DataFrame, digits: int = DIGITS) -> DataFrame:
