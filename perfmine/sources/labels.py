@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from perfmine import schemas
 from perfmine.functions.text import stripped
@@ -58,8 +59,18 @@ def read_test_lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_year_star_cache(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """SRC-17: the cache of commit years and stars as two tables."""
-    cache = spark.read.schema(schemas.YEAR_STAR_CACHE).option("multiLine", str(multi_line).lower()).json(path)
+    """SRC-17: the cache of commit years and stars as two tables.
+
+    With one object per line, lines are read as text and parsed in place. The JSON
+    source parses bytes, and for each text with a new name in it copies a table of up
+    to 6000 names so far; in a cache nearly every line has a name of its own.
+    """
+    if multi_line:
+        cache = spark.read.schema(schemas.YEAR_STAR_CACHE).option("multiLine", "true").json(path)
+    else:
+        # a line may also hold a list of objects; an outer row keeps the parser out of a filter of its own
+        objects = F.from_json("value", T.ArrayType(schemas.YEAR_STAR_CACHE))
+        cache = spark.read.text(path).select(F.inline_outer(objects))
     years = cache.select(F.explode("commit_year_by_repo_sha").alias("commit_key", "commit_year"))
     stars = cache.select(F.explode("repo_stars").alias("repo", "stars"))
     return years, stars

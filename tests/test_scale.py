@@ -9,12 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perfmine.functions import cells
+from perfmine import schemas
+from perfmine.functions import cells, scan
 from perfmine.operators import changes
 from perfmine.queries import streams
 from perfmine.queries.registry import Inputs, all_queries
 from perfmine.session import staged
-from perfmine.sources import lines
+from perfmine.sources import labels, lines
 
 COVERAGE = "commit_id long, version string, test_path string, result string, file string, covered_lines string"
 CHANGED = "commit_id long, version string, file string, line_no long"
@@ -52,6 +53,44 @@ def test_changed_lines_of_a_file_meet_a_range_as_few_rows(spark):
     assert changes.changed_and_covered(changed, coverage).count() == 64 + 2 + 640
 
 
+def test_changed_lines_are_worked_out_once(spark, tmp_path):
+    coverage, changed, brute = coverage_of(spark)
+    changed.write.parquet(f"{tmp_path}/changed")
+    tests = changes.covering_tests(spark.read.parquet(f"{tmp_path}/changed"), coverage)
+    assert not any(str(tmp_path) in f for f in tests.inputFiles())
+    assert {(r.commit_id, r.test_path) for r in tests.collect()} == {b[:2] for b in brute}
+
+
+def test_bounds_of_row_chunks_are_looked_for_in_a_table(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(1000).selectExpr("id % 3 as k", "id as seq").mapInArrow(count, "k long, seq long")
+    assert scan.cut(rows, ["k"], "seq", None).count() == 1000
+    assert seen.value == 1000
+
+
+def test_lines_of_a_cache_are_read_as_by_the_json_source(spark, tmp_path):
+    both = '{"commit_year_by_repo_sha": {%s}, "repo_stars": {%s}}'
+    texts = [both % p for p in (
+        ('"a/b@1":2014', '"a/b":7'), ('"x":1,"x":null', '"r":1, "q": 2'), ("", ""), ('"q\\"uo":3', '"\\u0041":4'), ('"big":99999999999', '"big":5'),
+        ('"d":1.5', '"d":2'), ('"s":"2014"', '"s":5'), ('"z":007', '"z":1'), ('"b{r},":1', '"c:o":1'), ('"é":-1', '"":0'), ('"o":{"x":1}', '"o":9'),
+        (",".join(f'"k{i}":{i}' for i in range(3000)), '"long":1'),
+    )]
+    texts += [f"[{texts[0]},{texts[1]}]", texts[0] + " tail", " " + texts[0], '{"repo_stars":{"only":3}}', "", "null", "[]", "broken {", '{"a":1}']
+    (tmp_path / "cache").write_text("\n".join(texts), encoding="utf-8")
+    source = spark.read.schema(schemas.YEAR_STAR_CACHE).json(f"{tmp_path}/cache")
+    got = labels.read_year_star_cache(spark, f"{tmp_path}/cache", multi_line=False)
+    for table, field in zip(got, schemas.YEAR_STAR_CACHE.names, strict=True):
+        expected = source.select(F.explode(field)).collect()
+        assert sorted(map(tuple, table.collect()), key=repr) == sorted(map(tuple, expected), key=repr)
+        assert "Scan json" not in table._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_path_of_a_log_is_taken_apart_once_per_block(spark, tmp_path):
     for name in ("c1/original_repo_mvnw_1.log", "c1/other.log"):
         os.makedirs(tmp_path / "c1", exist_ok=True)
