@@ -34,9 +34,12 @@ def row_chunks(df: DataFrame, keys: list[str], position: str, parts: int | None
 
 
 def cut(df: DataFrame, keys: list[str], position: str, chunk: int | None) -> DataFrame:
-    """``df``, written once for several readers, in chunks of ``chunk`` positions; null cuts by rows."""
+    """``df``, written once for several readers, in chunks of ``chunk`` positions; null cuts by rows.
+
+    Partitioning by range looks for its bounds first: what it reads is written too, or it would be worked out twice.
+    """
     if chunk is None:
-        return row_chunks(df, keys, position)
+        return row_chunks(staged(df, "rows"), keys, position)
     return staged(df.withColumn("_chunk", _fixed(position, chunk)), "chunks")
 
 

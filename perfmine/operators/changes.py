@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfmine.functions import logtext, paths, scan
+from perfmine.session import staged
 
 # The header of a hunk and of the new file in a unified diff.
 HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
@@ -105,31 +106,34 @@ def changed_lines_by_file(
     """
     line = F.col("line")
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    is_hunk = line.rlike(HUNK_HEADER)
+    is_hunk = F.col("_is_hunk")
 
     def header(group: int) -> Column:
-        return F.regexp_extract(line, HUNK_HEADER, group).try_cast("bigint")
+        return F.when(is_hunk, F.regexp_extract(line, HUNK_HEADER, group).try_cast("bigint"))
 
     def length(group: int) -> Column:
         # a header without a length means one line
         return F.when(is_hunk, F.coalesce(header(group), one))
 
-    def path(pattern: str) -> Column:
-        return F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
+    def path(pattern: str, start: str) -> Column:
+        return F.when(line.startswith(start), F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")))
 
     first = F.substring("line", 1, 1)
     wanted = scan.cut(
-        lines.where(first.isin("@", "-", "+", " ")).select(
+        lines.where(first.isin("@", "-", "+", " "))
+        # a column of its own, so that the pattern is tried once
+        .select(*keys, position, "line", (line.startswith("@@ -") & line.rlike(HUNK_HEADER)).alias("_is_hunk"))
+        .select(
             *keys,
             position,
             F.when(is_hunk, "@").when(first != "@", first).alias("_kind"),
             (line.startswith("---") | line.startswith("+++")).alias("_like_header"),
-            F.when(is_hunk, header(1)).alias("_old_start"),
-            F.when(is_hunk, header(3)).alias("_new_start"),
+            header(1).alias("_old_start"),
+            header(3).alias("_new_start"),
             length(2).alias("_old_lines"),
             length(4).alias("_new_lines"),
-            path(OLD_FILE).alias("_old_name"),
-            path(NEW_FILE).alias("_new_name"),
+            path(OLD_FILE, "--- ").alias("_old_name"),
+            path(NEW_FILE, "+++ ").alias("_new_name"),
         ),
         list(keys),
         position,
@@ -160,7 +164,8 @@ def changed_lines_by_file(
     had_new = F.col("_new") - new_step + F.col("_new_before")
     unfinished = F.coalesce((had_old < F.col("_old_length")) | (had_new < F.col("_new_length")), F.lit(False))
     inside = (unfinished & (kind != "@")) if strict_diff else (kind.isin("-", "+", " ") & ~F.col("_like_header"))
-    marked = counted.withColumn("_inside", inside)
+    # read by both halves of the next scan
+    marked = staged(counted.select(*keys, position, "_chunk", "_kind", "_old", "_new", "_old_base", "_new_base", "_old_name", "_new_name", inside.alias("_inside")), "marked")
     named = scan.running(
         marked,
         list(keys),
@@ -305,10 +310,14 @@ def _changed_ranges(changed: DataFrame, coverage: DataFrame) -> DataFrame:
     """
     file = ["commit_id", "version", "file"]
     line = F.col("line_no").cast("int")
-    cells = changed.where(line.isNotNull()).groupBy(*file, F.shiftright(line, 6).alias("_cell")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(line_no as int) & 63)")).alias("_lines")
+    # written: ``changed`` may be a long way from its input, and is read by each part of the join
+    cells = staged(
+        changed.where(line.isNotNull()).groupBy(*file, F.shiftright(line, 6).alias("_cell")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(line_no as int) & 63)")).alias("_lines")
+        ),
+        "cells",
     )
-    touched = coverage.join(changed.select(*file).distinct(), file, "left_semi")
+    touched = coverage.join(cells.select(*file).distinct(), file, "left_semi")
     length = F.col("last_line").cast("bigint") - F.col("first_line")
 
     def placed(rows: DataFrame, width: str, to: str) -> DataFrame:
