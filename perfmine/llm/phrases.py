@@ -31,7 +31,9 @@ LEAST, DEPTH, TOP = 10, 3, 2000
 INSIDE_PERCENT = 50
 SCALE = 1_000_000
 #: Words of a portion, suffixes of a part on average, and the fewest parts.
-PORTION_WORDS, PART_SUFFIXES, LEAST_PARTS = 1_500_000, 500_000, 32
+PORTION_WORDS, PART_SUFFIXES, LEAST_PARTS = 1_500_000, 1_000_000, 32
+#: Parts whose rows a portion sends at once.
+BATCH_PARTS = 256
 #: A word with more than one in so many places is very frequent, so there are fewer such words.
 FREQUENT_SHARE = 4096
 #: Bits of the bitmap of words that are not rare: four megabytes.
@@ -100,6 +102,22 @@ def bitmap_of(words: DataFrame) -> np.ndarray:
     return bitmap.view(np.uint64)
 
 
+def numbered_anew(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in ``ids`` other than 0, rising, and ``ids`` as places among them from 1 on; all are below ``size``.
+
+    Few numbers are sorted, so that the time for them does not depend on ``size``.
+    """
+    if 8 * ids.size < size:
+        used, local = np.unique(ids, return_inverse=True)
+        # 0 stays 0
+        local = local.reshape(ids.shape)
+        return (used[1:], local) if used[0] == 0 else (used, local + 1)
+    marked = np.zeros(size, dtype=np.int32)
+    marked[ids.ravel()] = 1
+    marked[0] = 0
+    return np.flatnonzero(marked), np.cumsum(marked, dtype=np.int32)[ids] * (ids > 0)
+
+
 def routed(texts: DataFrame, common: np.ndarray, frequent: set[tuple[str, str]], parts: int) -> DataFrame:
     """Suffixes of all texts: (part, lang, vocabulary, ids, n), each portion's equal ones once.
 
@@ -114,44 +132,53 @@ def routed(texts: DataFrame, common: np.ndarray, frequent: set[tuple[str, str]],
         words = list(vocabulary)[1:]
         if not words:
             return
-        at = np.array([bit_of(lang, w) for w in words], dtype=np.int64)
-        usual = np.concatenate([[False], (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)])
-        first = np.array(stream + [0] * DEPTH, dtype=np.int64)
-        first[~usual[first]] = 0
+        prefix, digest = lang.encode() + b"\t", xxhash.xxh3_64_intdigest
+        numbers = np.array([digest(prefix + w) for w in words], dtype=np.uint64)
+        at = (numbers % np.uint64(FILTER_BITS)).astype(np.int64)
+        usual = np.flatnonzero(shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+        # only words that are not rare keep a number
+        anew = np.zeros(len(words) + 1, dtype=np.int64)
+        anew[usual + 1] = np.arange(1, len(usual) + 1)
+        numbers = np.concatenate([np.zeros(1, dtype=np.uint64), numbers[usual]])
+        head = np.zeros(len(usual) + 1, dtype=bool)
+        head[[anew[vocabulary[w]] for name, w in heads.value if name == lang and w in vocabulary]] = True
+        head[0] = False
+        words = [words[u] for u in usual.tolist()]
+        first = anew[np.array(stream + [0] * DEPTH, dtype=np.int64)]
         n = len(stream)
         suffixes = np.stack([first[k : n + k] for k in range(DEPTH)], axis=1)
         suffixes[suffixes[:, 1] == 0, 2] = 0
         suffixes = suffixes[(suffixes[:, 0] > 0) & (suffixes[:, 1] > 0)]
-        head = np.concatenate([[False], [(lang, w) in heads.value for w in words]])
-        numbers = np.concatenate([[0], np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)]).astype(np.uint64)
         split = head[suffixes[:, 0]]
         pairs = suffixes[split].copy()
         pairs[:, 2] = 0
-        for chosen, depth, whole in ((suffixes[~split], 2, True), (pairs, 2, True), (suffixes[split & (suffixes[:, 2] > 0)], 3, False)):
-            if not len(chosen):
-                continue
+        all_ids, all_places, all_parts = [], [], []
+        for chosen, depth, sign in ((suffixes[~split], 2, 1), (pairs, 2, 1), (suffixes[split & (suffixes[:, 2] > 0)], 3, -1)):
             key = (chosen[:, 0] << 42) | (chosen[:, 1] << 21) | chosen[:, 2]
             key, places = np.unique(key, return_counts=True)
             ids = np.stack([key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF], axis=1)
-            route = np.full(len(ids), xxhash.xxh3_64_intdigest(lang.encode()), dtype=np.uint64)
+            route = np.full(len(ids), digest(lang.encode()), dtype=np.uint64)
             for k in range(depth):
                 route = (route ^ numbers[ids[:, k]]) * np.uint64(0x9E3779B97F4A7C15)
                 route ^= route >> np.uint64(29)
-            part = (route % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-            for rows in np.split(order, cuts[1:]):
-                marked = np.zeros(len(words) + 1, dtype=np.int32)
-                marked[ids[rows].ravel()] = 1
-                marked[0] = 0
-                used, local = np.flatnonzero(marked), np.cumsum(marked, dtype=np.int32)[ids[rows]] * (ids[rows] > 0)
-                yield {
-                    "part": [int(part[rows[0]])],
-                    "lang": [lang],
-                    "vocabulary": [b"\n".join([words[u - 1] for u in used.tolist()])],
-                    "ids": [local.astype("<i4").tobytes()],
-                    "n": [(places[rows] if whole else -places[rows]).astype("<i8").tobytes()],
-                }
+            all_ids.append(ids)
+            all_places.append(sign * places)
+            all_parts.append((route % np.uint64(parts)).astype(np.int64))
+        part = np.concatenate(all_parts)
+        order = np.argsort(part, kind="stable")
+        part, ids, places = part[order], np.concatenate(all_ids)[order], np.concatenate(all_places).astype("<i4")[order]
+        starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        ends = [*starts[1:], len(part)]
+        for k in range(0, len(starts), BATCH_PARTS):
+            rows = {"part": [], "lang": [], "vocabulary": [], "ids": [], "n": []}
+            for a, b in zip(starts[k : k + BATCH_PARTS], ends[k : k + BATCH_PARTS], strict=True):
+                used, local = numbered_anew(ids[a:b], len(words) + 1)
+                rows["part"].append(int(part[a]))
+                rows["lang"].append(lang)
+                rows["vocabulary"].append(b"\n".join([words[u - 1] for u in used.tolist()]))
+                rows["ids"].append(local.astype("<i4").tobytes())
+                rows["n"].append(places[a:b].tobytes())
+            yield rows
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         def fresh() -> tuple[dict, list]:
@@ -236,7 +263,7 @@ def counted_phrases(suffixes: DataFrame, least: int) -> DataFrame:
             for k in np.flatnonzero(langs == lang):
                 known = np.array([0, *map(vocabulary.__getitem__, part["vocabulary"][k].as_py().split(b"\n"))], dtype=np.int64)
                 all_ids.append(known[np.frombuffer(part["ids"][k].as_py(), "<i4").reshape(-1, DEPTH)].astype(np.int32))
-                all_n.append(np.frombuffer(part["n"][k].as_py(), "<i8"))
+                all_n.append(np.frombuffer(part["n"][k].as_py(), "<i4").astype(np.int64))
             ids, n = np.concatenate(all_ids), np.concatenate(all_n)
             words = [b"", *vocabulary]
             # the two words of a negative weight are counted elsewhere

@@ -81,6 +81,25 @@ def test_sorting_counts_every_prefix(monkeypatch):
         assert len(rows) == len(expected) and dict(rows) == expected
 
 
+def test_words_of_a_part_are_numbered_alike_however_many_there_are():
+    rng = np.random.default_rng(2)
+    for ids in (rng.integers(0, 50, (40, 3)), rng.integers(1, 50, (7, 3)), rng.integers(0, 9, (1, 3))):
+        for size in (50, 10**6):
+            used, local = phrases.numbered_anew(ids, size)
+            assert used.tolist() == sorted(set(ids.ravel().tolist()) - {0})
+            assert (np.concatenate([[0], used])[local] == ids).all()
+
+
+def test_rows_of_many_parts_are_sent_together(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(phrases, "arrow_map", lambda df, work, schema: sent.append(work))
+    words = [f"w{i}" for i in range(40)]
+    texts = spark.createDataFrame([("en", " ".join(words * 3))], "lang string, text string")
+    phrases.routed(texts, np.full(phrases.FILTER_BITS // 64, 2**64 - 1, dtype=np.uint64), {("en", "w3")}, 30)
+    batches = list(sent[0](iter(texts.toArrow().to_batches())))
+    assert len(batches) == 1 and len(batches[0]["part"]) == len(set(batches[0]["part"])) > 10
+
+
 def test_products_beyond_64_bits(spark):
     a = 3_000_000_000_000
     row = spark.sql(f"select 1000000 * (cast({a} as decimal(15,0)) * cast({a} as decimal(15,0))) div (cast({a + 1} as decimal(18,0)) * cast({a} as decimal(18,0)))").first()
