@@ -38,15 +38,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stays. A row without an id is no copy of any other and stays.
     """
     docs = docs.select(*COLUMNS)
-    kept = staged(neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct(), "kept-ids")
-    counts = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    # few ids repeat, and only the texts of these are brought together
-    repeated = staged(counts, "repeated-ids")
-    stay = docs.join(kept, "doc_id", "left_semi")
+    verdicts = neardup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    # few documents go and few ids repeat: only the texts of these are looked up, the others stay where they are
+    marked = staged(verdicts.where("n > 1 or not kept").select(F.col("doc_id").alias("id"), "kept"), "marked-ids")
+    repeated = marked.where("kept")
+    maybe_marked, maybe_repeated = neardup.maybe_among(marked), neardup.maybe_among(repeated)
+    own = F.col("doc_id").cast("long")
+    alone = docs.where(own.isNull() | ~maybe_marked(own))
+    once = docs.where(own.isNotNull() & maybe_marked(own)).join(marked, F.col("doc_id") == F.col("id"), "left_anti")
     rest = [c for c in COLUMNS if c != "doc_id"]
-    again = stay.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
-    once = stay.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(again.select("doc_id", "row.*")).unionByName(docs.where("doc_id is null"))
+    again = docs.where(own.isNotNull() & maybe_repeated(own)).join(repeated, F.col("doc_id") == F.col("id"), "left_semi")
+    again = again.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
+    return alone.unionByName(once).unionByName(again)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,13 +15,13 @@ sets are joined on what is left when the few elements go that a pair may differ
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perfmine.llm.common import arrow_map, id_and_text, staged
@@ -126,25 +126,30 @@ def buckets(classes: DataFrame) -> DataFrame:
     return members.drop("n").join(centres, "bucket")
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` joined with ``wanted`` by id.
-
-    A bitmap of fixed size tells most of the texts that nobody wants before the
-    shuffle, so that only few of them travel. If it fills up, more travel.
-    """
+def maybe_among(wanted: DataFrame) -> Callable[[Column], Column]:
+    """A test of an id that is true for all of ``wanted`` (id), and for few others until the fixed bitmap fills up."""
     at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
     words = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     bitmap = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+    shared = wanted.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
 
     @F.pandas_udf("boolean")
     def maybe(places: pd.Series) -> pd.Series:
         at = places.to_numpy()
         return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
 
-    some = docs.where(maybe(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))))
+    return lambda id_: maybe(F.pmod(F.xxhash64(id_), F.lit(FILTER_BITS)))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` joined with ``wanted`` by id.
+
+    A bitmap of fixed size tells most of the texts that nobody wants before the
+    shuffle, so that only few of them travel. If it fills up, more travel.
+    """
+    some = docs.where(maybe_among(wanted)(F.col("doc_id")))
     return some.join(wanted, some["doc_id"] == wanted["id"])
 
 

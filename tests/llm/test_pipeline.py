@@ -88,6 +88,18 @@ def test_stages_on_odd_and_empty_input(spark, tmp_path):
                 assert None in own and len(own) == len(set(own))
 
 
+def test_only_copies_are_looked_up(spark):
+    copy, other = " ".join(f"w{i}" for i in range(30)), "quite another text, all on its own here"
+    rows = [(4, other, 1), (5, copy, 2), (3, copy, 3), (4, "a much " + other, 4), (5, copy, 5), (None, copy, 6), (8, "", 7), (3, copy, 8), (9, None, 9)]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for i, t, n in rows], "doc_id int, text string, lang string, source string, n_chars int")
+    got = pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(((r.doc_id, r.n_chars) for r in got.collect()), key=repr) == sorted([(3, 3), (4, 4), (8, 7), (9, 9), (None, 6)], key=repr)
+    # the other texts take part in no join, so none of them is shuffled
+    children = got._jdf.queryExecution().optimizedPlan().children()
+    plans = [children.apply(i).toString() for i in range(children.size())]
+    assert any("maybe" in p and "Join" not in p and "Aggregate" not in p for p in plans)
+
+
 def test_the_tokenizer_is_where_the_queries_say():
     from perfmine.llm.queries import tokenizer_path
 
