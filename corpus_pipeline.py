@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences.
 
 Each stage gets what its predecessor kept. All stages but the last return the
-columns of ``documents``.
+columns of ``documents``. Each bounds the batches of texts that go to Python.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perfmine.llm import decontamination, language, neardup, packing, pii
-from perfmine.llm.common import staged, table
+from perfmine.llm.common import bounded_batches, staged, table
 from perfmine.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,6 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     language reaches ``LEAST_SCORE``. Where nothing is labelled there is nothing
     to recognise, and all documents go.
     """
+    bounded_batches(spark)
     return language.recognised(docs.select(*COLUMNS), language.trained_on_rest(docs), LEAST_SCORE)
 
 
@@ -37,6 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat an id are one document, of which the row with the least text
     stays. A row without an id is no copy of any other and stays.
     """
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     verdicts = neardup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
     # few documents go and few ids repeat: only the texts of these are looked up, the others stay where they are
@@ -54,16 +56,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that repeat an item of the benchmark."""
+    bounded_batches(spark)
     return decontamination.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep all documents, with personal data replaced by its kind."""
+    bounded_batches(spark)
     return pii.redacted_documents(docs.select(*COLUMNS))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 4096 ids."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline as pipeline
+import pandas as pd
 import public_tokenizers
 import pytest
 from helpers import DOCS, odd_rows
@@ -12,6 +13,7 @@ from test_neardup import brute as brute_groups
 from test_text_operators import check_packing
 
 from perfmine.llm import language, pii
+from perfmine.session import BATCH_BYTES, BATCH_KEY
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,6 +102,26 @@ def test_only_copies_are_looked_up(spark):
     assert any("maybe" in p and "Join" not in p and "Aggregate" not in p for p in plans)
 
 
+@pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
+def test_texts_go_to_python_in_small_batches(spark, name):
+    # ten texts of 0.4 MB in one partition, a batch of ten before
+    docs = spark.range(10, numPartitions=1).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("mail a@b.example "), F.repeat(F.lit("word "), 80_000)).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(400_017).cast("long").alias("n_chars")
+    )
+
+    @F.pandas_udf("long")
+    def in_batch(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    spark.conf.unset(BATCH_KEY)
+    assert {r.n for r in docs.select(in_batch("text").alias("n")).collect()} == {4_000_170}
+    made = dict(pipeline.STAGES)[name](spark, docs, SF)
+    # a stage that replaces texts does so in the very batch that is measured
+    of = made if name == "personal_data" else docs
+    rows = of.select(F.length("text").alias("own"), in_batch("text").alias("n")).collect()
+    assert len(rows) == 10 and all(r.own <= r.n <= 3 * BATCH_BYTES // 2 for r in rows)
+
+
 def test_the_tokenizer_is_where_the_queries_say():
     from perfmine.llm.queries import tokenizer_path
 
